@@ -182,9 +182,9 @@ def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]
 def bitmap(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits with a bit set for the top bits of each hash.  Its size doesn't
     depend on the data, so it may be broadcast; executors OR their parts before the shuffle."""
-    slot = F.shiftrightunsigned(F.col(column), 64 - bits)
+    slots = hashes.select(F.shiftrightunsigned(F.col(column), 64 - bits).alias("slot"))
     rows = (
-        hashes.select(F.shiftrightunsigned(slot, 6).alias("at"), F.shiftleft(F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("bit"))
+        slots.selectExpr("shiftrightunsigned(slot, 6) AS at", "shiftleft(1L, CAST(slot & 63 AS INT)) AS bit")
         .groupBy("at").agg(F.bit_or("bit").alias("word")).toArrow()
     )
     words = np.zeros(1 << (bits - 6), np.int64)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,15 +16,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
+    "op2_decontamination": op2_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
+#: Lower case for A-Z alone, then the words.
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
 SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+        WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
+        sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM item WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS words
+                FROM sized, unnest(range(1, len(w) - n + 2)) AS t(i)),
+        doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        place AS (SELECT doc_id, i, k.n, array_to_string(w[i:i + k.n - 1], ' ') AS words
+                  FROM doc, (SELECT DISTINCT n FROM win) AS k, unnest(range(1, len(w) - k.n + 2)) AS t(i)),
+        hit AS (SELECT doc_id, i, n, item_id FROM place JOIN win USING (n, words)),
+        cover AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM hit, unnest(range(i, i + n)) AS t(j) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+                  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM doc LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
