@@ -10,6 +10,7 @@ from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
 from .license_scan import license_report
 from .pii import pii_report
+from .simhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,11 +35,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op6_pii": op6_pii,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_simhash": op9_simhash,
 }
 
 #: Lower case for A-Z alone, then the words.
