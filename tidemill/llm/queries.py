@@ -14,6 +14,7 @@ from .pieces import encode
 from .pii import pii_report
 from .quality import quality_report
 from .simhash import near_duplicates
+from .substring_dedup import substring_report
 from .toxicity import toxicity_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_table(spark, sf_dir, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Query] = {
     "op2_decontamination": op2_decontamination,
     "op3_license_scan": op3_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
