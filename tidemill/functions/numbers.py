@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .text import given
 
@@ -134,7 +135,7 @@ def version(c: Column) -> Column:
     return F.left(F.sha2(F.coalesce(c, F.lit("")), 256), F.lit(16))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repaired_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON text from a model's loose reply: without fences and talk around it, with straight quotes, quoted keys
     and no trailing commas, a cut list closed after its last whole object, and a lone list unwrapped from an
@@ -165,8 +166,11 @@ def repaired_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
                 last = i if c == "}" and depth == 1 else last
         return text[: last + 1] + "]" if last > 0 else text
 
+    def without_commas(text: str) -> str:
+        return re.sub(r",\s*([\]}])", r"\1", text.translate(quotes))
+
     def loosened(text: str) -> str:
-        text = re.sub(r",\s*([\]}])", r"\1", text.translate(quotes))
+        text = without_commas(text)
         text = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', text)
         return re.sub(r"(?<=[\[{,:])(\s*)'([^']*)'(?=\s*[,:\]}])", r'\1"\2"', text)
 
@@ -180,7 +184,7 @@ def repaired_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             end = max(text.rfind("]"), text.rfind("}"))
             inner = text[start.start():end + 1] if end > start.start() else text[start.start():]
             tail = text[start.start():]
-            tries += [inner, loosened(inner), closed(tail), loosened(closed(tail))]
+            tries += [inner, inner.translate(quotes), without_commas(inner), loosened(inner), closed(tail), loosened(closed(tail))]
         for t in tries:
             value = parsed(t)
             if value is not None:

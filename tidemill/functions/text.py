@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # Query parameters that only track where a visitor came from.
 TRACKING_PARAMS = [
@@ -165,14 +166,14 @@ def canonical_url(c: Column) -> Column:
 
 # --- where Spark has no function --------------------------------------------------
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded_key(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The key under which names are equal in any script: compatibility forms composed, case folded, spaces collapsed."""
     for s in names:
         yield s.fillna("").map(lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def latin_slug(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A slug in which accented Latin letters lose their accents; other scripts are dropped."""
     for s in names:
@@ -180,7 +181,7 @@ def latin_slug(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield plain.str.replace("'", "", regex=False).str.replace("[^a-z0-9]+", "-", regex=True).str.strip("-").str.slice(0, 250)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def matching_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Twice the characters in matching blocks over the characters of both texts (Ratcliff and Obershelp)."""
     from difflib import SequenceMatcher

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def limiter(events: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
+def limiter(events: DataFrame, key: str, ts: str, seconds: int, limit: int, grace: str = "10 minutes") -> DataFrame:
     """Each event of the stream with n, the hits of its key in the ``seconds`` up to it, and blocked (n over the limit).
 
-    A key's state is the times in its window, no more than the window holds, and goes when the window has passed."""
+    A key's state is the times in its window, no more than the window holds, and goes when the watermark (``grace`` behind
+    the newest event) has passed it."""
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -26,12 +27,12 @@ def limiter(events: DataFrame, key: str, ts: str, seconds: int, limit: int) -> D
             held = [x for x in held if x > t - seconds * 1_000_000] + [t]
             counts.append(len(held))
         state.update((held,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(held[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": name[0], "us": new, "n": counts})
 
     kind = events.schema[key].dataType.simpleString()
-    found = events.select(F.col(key).alias("key"), F.unix_micros(ts).alias("us")).groupBy("key").applyInPandasWithState(
-        step, f"key {kind}, us long, n long", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout,
+    found = events.withWatermark(ts, grace).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")).groupBy("key").applyInPandasWithState(
+        step, f"key {kind}, us long, n long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout,
     )
     return found.select("key", F.timestamp_micros("us").alias("ts"), "n", (F.col("n") > limit).alias("blocked"))
 
