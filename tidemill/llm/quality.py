@@ -21,7 +21,7 @@ from . import crf
 from .toxicity import held_out_rows, training_rows
 
 #: Labelled documents of each class, at most (about), that the model is fitted on, and the bytes of the longest of them.
-TRAIN_DOCS = 2_500
+TRAIN_DOCS = 800
 TRAIN_BYTES = 40_000
 THRESHOLD = 0.5
 #: Ways to cut a feature's range; each part is a weight of its own.
@@ -88,10 +88,11 @@ def line_features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.
 def slots(found: np.ndarray, cuts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """For each line the weights that apply: one of each feature of it, of the line before and of the line after."""
     n, k = found.shape
-    part = np.empty((n, k), np.int64)
+    part = np.empty((n, k), np.int32)
     for j in range(k):
         part[:, j] = np.searchsorted(cuts[j], found[:, j], "right") + j * (PARTS + 1)
-    before, after = np.full((n, k), PARTS, np.int64) + np.arange(k) * (PARTS + 1), np.full((n, k), PARTS, np.int64) + np.arange(k) * (PARTS + 1)
+    outside = np.broadcast_to(PARTS + np.arange(k, dtype=np.int32) * (PARTS + 1), (n, k))
+    before, after = outside.copy(), outside.copy()
     if n > 1:
         heads = np.zeros(n + 1, bool)
         heads[firsts] = True
@@ -121,7 +122,7 @@ def train(texts: pa.Array, good: np.ndarray, prior: float) -> Model:
     data, bounds = parts[0]
     found, lengths, firsts = line_features(data, bounds)
     cuts = np.quantile(found, np.arange(1, PARTS) / PARTS, axis=0).T
-    used = slots(found, cuts, firsts)
+    used = np.asfortranarray(slots(found, cuts, firsts))
     row = np.repeat(np.arange(len(good)), np.diff(firsts))
     labels = good[row].astype(np.int64)
     # Each document counts alike, and each line by its share of it.
@@ -129,10 +130,10 @@ def train(texts: pa.Array, good: np.ndarray, prior: float) -> Model:
     weigh *= len(weigh) / weigh.sum()
 
     def gather(w: np.ndarray) -> np.ndarray:
-        return w[0] + w[used].sum(axis=1)
+        return w[0] + sum(w[own] for own in used.T)
 
     def spread(e: np.ndarray) -> np.ndarray:
-        slope = np.bincount(used.reshape(-1), np.repeat(e, used.shape[1]), size)
+        slope = sum(np.bincount(own, e, size) for own in used.T)
         slope[0] = e.sum()
         return slope
 
