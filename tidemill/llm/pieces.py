@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by a Viterbi pass that words share.
 
-Texts are cut into marked words: white space that a word follows, and the word.  No piece crosses
-such a cut, so every distinct word is encoded once.  The distinct words, sorted, are a trie walked
-depth-first: a word keeps the forward states of the prefix that it shares with the word before.
+Texts are cut into marked words wherever two characters meet that stand side by side in no piece:
+before white space that a word follows, and mostly around punctuation and rare letters.  No piece
+crosses such a cut, so every distinct word is encoded once.  The distinct words, sorted, are a trie
+walked depth-first: a word keeps the forward states of the prefix that it shares with the word
+before.
 
 A forward state is the best score of a prefix and its last piece.  In a unigram model the score is
 the sum of the pieces' scores.  A BPE model's pieces have ranks, whose sum its merges don't
@@ -27,6 +29,7 @@ from . import common as C
 #: A public SentencePiece model of 32,000 pieces; a parameter of every function that reads one.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
+_PLAIN_MARK = "\udc81"  # stands for the mark itself in a text; no valid text has it
 #: Distinct words that a worker remembers; with more of them it starts anew.
 MEMORY = 600_000
 UNKNOWN_PENALTY = 10.0
@@ -42,6 +45,14 @@ class Vocabulary:
     bytes_at: list[int]
     shown: list[bytes]
     bpe: bool
+    joined: np.ndarray = None  # of the last byte of a character and the first of the next, whether such meet in a piece
+
+    def __post_init__(self) -> None:
+        self.joined = np.zeros((256, 256), bool)
+        for name in self.pieces:
+            chars = [c.encode() for c in name.replace(MARK, " ")]
+            for a, b in zip(chars, chars[1:]):
+                self.joined[a[-1], b[0]] = True
 
 
 def vocabulary(path: str = MODEL_PATH, proto: bytes | None = None) -> Vocabulary:
@@ -69,8 +80,6 @@ def vocabulary(path: str = MODEL_PATH, proto: bytes | None = None) -> Vocabulary
         elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
             shown.append(b"")
         else:
-            if MARK in name.lstrip(MARK):
-                raise ValueError(f"piece {name!r} crosses words")
             pieces[name] = i
             shown.append(name.replace(MARK, " ").encode())
     return Vocabulary(pieces, [sp.get_score(i) for i in range(sp.vocab_size())], bytes_at, shown, model.trainer_spec.model_type == 2)
@@ -95,29 +104,28 @@ class Encoder:
 
     def __init__(self, v: Vocabulary):
         self.v = v
-        self.root: dict = {}
+        self.root: tuple[dict, int] = ({}, -1)  # what follows by character, and the piece that ends here
         self.names = {}
         for name, i in v.pieces.items():
             if v.bpe and len(merged(name, v)) > 1:
                 continue  # no merges lead to it
             node = self.root
-            for c in name:
-                node = node.setdefault(c, {})
-            node[""] = i
+            for c in name[:-1]:
+                node = node[0].setdefault(c, ({}, -1))
+            below = node[0].get(name[-1])
+            node[0][name[-1]] = (below[0] if below else {}, i)
             self.names[i] = name
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
         self.lowest = min((v.scores[i] for i in v.pieces.values()), default=0.0) - UNKNOWN_PENALTY
 
     def follows(self, a: int, b: int) -> bool:
         """Whether merges leave pieces a and b apart when they stand together."""
-        known = self.apart.get((a, b))
-        if known is None:
-            known = self.apart[a, b] = merged(self.names[a] + self.names[b], self.v) == [self.names[a], self.names[b]]
+        known = self.apart[a << 32 | b] = merged(self.names[a] + self.names[b], self.v) == [self.names[a], self.names[b]]
         return known
 
     def encode(self, words: list[str]) -> list[list[int]]:
         """Ids of each of the distinct words, which must be sorted."""
-        bpe, scores, root, follows = self.v.bpe, self.v.scores, self.root, self.follows
+        bpe, scores, root, apart, follows = self.v.bpe, self.v.scores, self.root, self.apart, self.follows
         # By depth: the best score, the last piece (-1: a character without a piece), where it starts, and the pieces begun but not ended.
         best, last, start = [0.0], [-1], [0]
         begun: list[list[tuple[int, dict]]] = [[]]
@@ -132,27 +140,33 @@ class Encoder:
             for d in range(depth, len(word)):
                 c = word[d]
                 alive = []
-                top = piece = origin = None
-                for s, node in [*begun[d], (d, root)]:
-                    node = node.get(c)
-                    if node is None:
-                        continue
-                    alive.append((s, node))
-                    i = node.get("")
-                    if i is None or best[s] is None:
+                # A character without a piece of its own may stand alone, at a price; a piece beats it.
+                alone = c not in root[0] or root[0][c][1] < 0
+                piece, origin = -1, d
+                top = (best[d] + (-1.0 if bpe else self.lowest)) if alone else -np.inf
+                for s, node in [*begun[d], (d, root[0])]:
+                    below = node.get(c)
+                    if below is None:
                         continue
-                    if not bpe:
-                        score = best[s] + scores[i]
-                    elif s and last[s] >= 0 and not follows(last[s], i):
+                    if below[0]:
+                        alive.append((s, below[0]))
+                    i = below[1]
+                    if i < 0:
                         continue
-                    else:
+                    if bpe:
                         score = best[s] - 1.0
-                    if top is None or score > top:
-                        top, piece, origin = score, i, s
-                if c not in root or "" not in root[c]:  # no piece for this character alone
-                    score = best[d] + (-1.0 if bpe else self.lowest) if best[d] is not None else None
-                    if score is not None and (top is None or score > top):
-                        top, piece, origin = score, -1, d
+                        if score <= top:
+                            continue
+                        a = last[s]
+                        if a >= 0 and s:
+                            ok = apart.get(a << 32 | i)
+                            if not (follows(a, i) if ok is None else ok):
+                                continue
+                    else:
+                        score = best[s] + scores[i]
+                        if score <= top:
+                            continue
+                    top, piece, origin = score, i, s
                 best.append(top)
                 last.append(piece)
                 start.append(origin)
@@ -162,7 +176,7 @@ class Encoder:
             while d:
                 i, s = last[d], start[d]
                 if i < 0:
-                    ids += [self.v.bytes_at[x] for x in reversed(word[s:d].replace("\0\0", MARK).encode())]
+                    ids += [self.v.bytes_at[x] for x in reversed(word[s:d].replace(_PLAIN_MARK, MARK).encode())]
                 else:
                     ids.append(i)
                 d = s
@@ -176,15 +190,14 @@ class Encoder:
 _workers: dict[int, tuple[Encoder, dict[int, int], array, array]] = {}
 
 
-def marked_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def marked_words(v: Vocabulary, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The rows' bytes with a space before each row that isn't empty, the words' starts and ends, and the
-    rows' bounds in the words.  A word begins at a space that follows none, and before and after a line end."""
+    rows' bounds in the words.  A word begins at a character that no piece has after the one before."""
     full = np.diff(bounds) > 0
     out = np.insert(data, bounds[:-1][full], 32)
     cuts = bounds + np.concatenate([[0], np.cumsum(full)])
-    space, line = out == 32, out == 10
     begins = np.zeros(len(out), bool)
-    begins[1:] = (space[1:] & ~space[:-1]) | line[1:] | line[:-1]
+    begins[1:] = ((out[1:] & 0xC0) != 0x80) & ~v.joined[out[:-1], out[1:]]
     begins[cuts[:-1][full]] = True
     starts = np.flatnonzero(begins)
     return out, starts, np.append(starts[1:], len(out))[: len(starts)], np.searchsorted(starts, cuts)
@@ -197,7 +210,7 @@ def encoded_rows(v: Vocabulary, data: np.ndarray, bounds: np.ndarray) -> tuple[n
         _workers.clear()
         _workers[key] = (Encoder(v), {}, array("i"), array("q", [0]))
     encoder, known, flat, offsets = _workers[key]
-    out, starts, ends, firsts = marked_words(data, bounds)
+    out, starts, ends, firsts = marked_words(v, data, bounds)
     hashes, first, back = np.unique(C.span_hashes(C.prefix_sums(out), starts, ends), return_index=True, return_inverse=True)
     if len(known) > MEMORY:
         known.clear()
@@ -205,7 +218,7 @@ def encoded_rows(v: Vocabulary, data: np.ndarray, bounds: np.ndarray) -> tuple[n
     hashed = hashes.tolist()
     fresh = [i for i, h in enumerate(hashed) if h not in known]
     raw = out.tobytes()
-    texts = [raw[starts[i]:ends[i]].decode().replace(MARK, "\0\0").replace(" ", MARK) for i in first[fresh].tolist()]
+    texts = [raw[starts[i]:ends[i]].decode().replace(MARK, _PLAIN_MARK).replace(" ", MARK) for i in first[fresh].tolist()]
     order = sorted(range(len(fresh)), key=texts.__getitem__)
     for k, ids in zip(order, encoder.encode([texts[k] for k in order])):
         known[hashed[fresh[k]]] = len(offsets) - 1
