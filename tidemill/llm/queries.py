@@ -81,7 +81,6 @@ QUERIES: dict[str, Query] = {
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 SQL: dict[str, str] = {
-    "op1_language_id": op1_language_id,
     "op2_decontamination": f"""
         WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
         sized AS (SELECT item_id, w, least(10, len(w)) AS n FROM item WHERE len(w) > 0),
