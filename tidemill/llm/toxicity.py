@@ -22,7 +22,7 @@ from . import common as C
 from . import crf
 
 #: Labelled documents of each class, at most (about), that the model is fitted on, and the bytes of the longest of them.
-TRAIN_DOCS = 2_500
+TRAIN_DOCS = 1_500
 TRAIN_BYTES = 40_000
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
