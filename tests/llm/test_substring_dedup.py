@@ -58,6 +58,12 @@ def test_hot_buckets_and_other_lengths(spark):
     assert run(spark, rows, length=30, q=12) == brute(rows, 30)
 
 
+def test_documents_dealt_to_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 3_000)
+    rows = corpus(3, 50) + [(900, None), (None, "x" * 300), (903, "x" * 200)]
+    assert run(spark, rows, hot_rows=3, bitmap_bits=1) == brute(rows, 50)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

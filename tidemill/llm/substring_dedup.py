@@ -7,7 +7,8 @@ equal anchors, and only a suffix in some fourteen enters the work.
 1. Copies of whole texts are told by grouping on the text's SHA-256; all but the first are out.
 2. Initial buckets are the anchors' q-grams.  Tasks send owners of hash ranges Golomb-coded lists
    of them; owners answer with a bitmap of buckets in several documents and the list of those with
-   very many rows.
+   very many rows.  Where the bitmap would be too dense, documents are dealt to blocks first, and
+   owners answer each block.
 3. Rows of the marked buckets carry the bytes that strings over the anchor can reach.  A bucket's
    rows meet in one task, where buckets of 8 bytes are refined to 16, 32 and ``length`` by sorting
    on pairs of bucket identifiers, each at the offset that the refinement before it has reached.
@@ -30,16 +31,20 @@ from . import common as C
 from .exact_dedup import golomb_decode, golomb_encode
 
 LENGTH = 50
-Q = 24
+Q = 28
 #: Rows of a bucket that may meet in one task.
 HOT_ROWS = 4_000
-#: Bits of the bitmap of marked buckets, at most (128 MB); a fuller one lets more rows through and changes no result.
-BITMAP_BITS = 30
+#: Bits of the bitmap of marked buckets, at most (256 MB).  If there are more than twice as many anchors (at least 20 GB of
+#: text), documents are dealt to blocks instead.
+BITMAP_BITS = 31
+#: Bytes of text in a block, about.
+BLOCK_BYTES = 64 << 20
 #: Rows, and intervals in them, up to which a table is broadcast.
 BROADCAST_ROWS = 200_000
 BROADCAST_INTERVALS = 2_000_000
-#: Rows that a task gathers before it sends their bytes.
-GATHER = 400_000
+#: Rows that a task gathers before it sends their bytes, and bytes of text that it turns into arrays at once.
+GATHER = 100_000
+CHUNK = 1 << 20
 _LAST = (1 << 63) - 1
 _NONE = np.zeros(0, np.int64)
 
@@ -53,7 +58,9 @@ def _sliding(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions and hashes of the anchors, and the hashes' prefix sums.  Equal q-grams of one string are all anchors."""
+    """Positions of the anchors, hashes of their grams, and the hashes' prefix sums.  Equal q-grams of one string are all anchors.
+
+    The least of several hashes is a small number, so hashes are mixed once more before they share out work."""
     if len(data) < length:
         return _NONE, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     sums = C.prefix_sums(data)
@@ -65,40 +72,69 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, q: int =
     least[np.arange(len(least)) + length > row_ends] = 0
     edge = np.zeros(width - 1, np.uint64)
     at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == h)
-    return at, h[at], sums
+    return at, C.mixed(h[at]), sums
 
 
 # --- buckets in several documents -------------------------------------------
 
+def _prints(batches: Iterator[pa.RecordBatch], bits: int, length: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading ``bits`` bits of all anchors' hashes in order, and the documents that have them, by number."""
+    prints, owner_doc, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], 0
+    for rows, data, bounds in C.chunks(batches, limit=CHUNK):
+        at, h, _ = anchors(data, bounds, length, q)
+        prints.append(h >> np.uint64(64 - bits))
+        owner_doc.append((np.searchsorted(bounds, at, "right") - 1 + base).astype(np.int32))
+        base += rows.num_rows
+    fp, doc = np.concatenate(prints), np.concatenate(owner_doc)
+    order = np.argsort(fp, kind="stable")  # documents stay in order
+    return fp[order], doc[order]
+
+
+def _listed(fp: np.ndarray, doc: np.ndarray, owners: int, bits: int) -> tuple[np.ndarray, list[bytes], list[bytes]]:
+    """The owners that a sender has buckets for, one Golomb-coded list for each, and with it marks of those buckets that
+    several documents have and the magnitudes of the numbers of their rows."""
+    new = np.concatenate([[True], fp[1:] != fp[:-1]])[: len(fp)]
+    values, first = fp[new], np.flatnonzero(new)
+    counts = np.diff(np.append(first, len(fp)))
+    several = doc[first] != doc[first + counts - 1]
+    marks = np.where(counts > 1, np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64) + 1, 63) | (several.astype(np.int64) << 6), 0).astype(np.uint8)
+    starts = _range_starts(owners, bits)
+    cuts = np.append(np.searchsorted(values, starts), len(values))
+    full = np.flatnonzero(np.diff(cuts))
+    codes, told = [], []
+    for o in full.tolist():
+        a, b = cuts[o], cuts[o + 1]
+        codes.append(golomb_encode(values[a:b] - starts[o]))
+        m = marks[a:b]
+        told.append(np.packbits(m > 0).tobytes() + m[m > 0].tobytes())
+    return full, codes, told
+
+
+def _pooled(table: pa.Table, start: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """What an owner was sent: the lists, all their values in order, whether several documents have each, and about how many rows."""
+    lists, rows, several = [], [], []
+    for code, marks in zip(table.column("code").to_pylist(), table.column("marks").to_pylist()):
+        v = golomb_decode(code)
+        n = (len(v) + 7) // 8
+        held = np.unpackbits(np.frombuffer(marks, np.uint8, n))[: len(v)] > 0
+        m = np.zeros(len(v), np.uint8)
+        m[held] = np.frombuffer(marks, np.uint8, offset=n)
+        lists.append(v + np.uint64(start))
+        rows.append(np.exp2(np.maximum(m & 63, 1) - 1.0))
+        several.append(m >> 6)
+    v = np.concatenate(lists)
+    order = np.argsort(v, kind="stable")
+    v = v[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+    shared = (np.diff(np.append(first, len(v))) > 1) | (np.add.reduceat(np.concatenate(several)[order].astype(np.int64), first) > 0)
+    return lists, v[first], shared, np.add.reduceat(np.concatenate(rows)[order], first)
+
+
 def _send(rest: DataFrame, owners: int, bits: int, length: int, q: int) -> DataFrame:
-    """Each task's distinct buckets: one Golomb-coded list for each owner of a range, with marks of those that several
-    documents have and the magnitudes of the numbers of their rows."""
+    """Each task's lists of buckets for the owners."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, owner_doc, base = [np.zeros(0, np.uint64)], [_NONE], 0
-        for rows, data, bounds in C.chunks(batches):
-            at, h, _ = anchors(data, bounds, length, q)
-            prints.append(h >> np.uint64(64 - bits))
-            owner_doc.append(np.searchsorted(bounds, at, "right") - 1 + base)
-            base += rows.num_rows
-        fp, doc = np.concatenate(prints), np.concatenate(owner_doc)
-        order = np.argsort(fp, kind="stable")  # documents stay in order
-        fp, doc = fp[order], doc[order]
-        new = np.concatenate([[True], fp[1:] != fp[:-1]])[: len(fp)]
-        values, first = fp[new], np.flatnonzero(new)
-        counts = np.diff(np.append(first, len(fp)))
-        several = doc[first] != doc[first + counts - 1]
-        marks = np.where(counts > 1, np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64) + 1, 63) | (several.astype(np.int64) << 6), 0).astype(np.uint8)
-        cuts = np.searchsorted(values, _range_starts(owners, bits))
-        cuts = np.append(cuts, len(values))
-        starts = _range_starts(owners, bits)
-        full = np.flatnonzero(np.diff(cuts))
-        codes, told = [], []
-        for o in full.tolist():
-            a, b = cuts[o], cuts[o + 1]
-            codes.append(golomb_encode(values[a:b] - starts[o]))
-            m = marks[a:b]
-            told.append(np.packbits(m > 0).tobytes() + m[m > 0].tobytes())
+        full, codes, told = _listed(*_prints(batches, bits, length, q), owners, bits)
         yield pa.record_batch({"owner": pa.array(full, pa.int32()), "code": pa.array(codes, pa.binary()), "marks": pa.array(told, pa.binary())})
 
     return rest.mapInArrow(work, "owner int, code binary, marks binary")
@@ -112,24 +148,8 @@ def _marked(lists: DataFrame, owners: int, bits: int, map_bits: int, hot_rows: i
     """The bitmap of buckets that several documents have, and the sorted fingerprints of those of more than ``hot_rows`` rows."""
 
     def own(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        start = int(_range_starts(owners, bits)[key[0].as_py()])
-        values, rows, several = [], [], []
-        for code, marks in zip(table.column("code").to_pylist(), table.column("marks").to_pylist()):
-            v = golomb_decode(code)
-            n = (len(v) + 7) // 8
-            held = np.unpackbits(np.frombuffer(marks, np.uint8, n))[: len(v)] > 0
-            m = np.zeros(len(v), np.uint8)
-            m[held] = np.frombuffer(marks, np.uint8, offset=n)
-            values.append(v)
-            rows.append(np.exp2(np.maximum(m & 63, 1) - 1.0))
-            several.append(m >> 6)
-        v = np.concatenate(values) + np.uint64(start)
-        order = np.argsort(v, kind="stable")
-        v = v[order]
-        first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-        shared = (np.diff(np.append(first, len(v))) > 1) | (np.add.reduceat(np.concatenate(several)[order].astype(np.int64), first) > 0)
-        size = np.add.reduceat(np.concatenate(rows)[order], first)
-        v, size = v[first][shared], size[shared]
+        _, v, shared, size = _pooled(table, int(_range_starts(owners, bits)[key[0].as_py()]))
+        v, size = v[shared], size[shared]
         slots = (v >> np.uint64(bits - map_bits)).astype(np.int64)
         low = int(slots[0]) >> 3 if len(slots) else 0
         part = np.zeros((int(slots[-1]) >> 3) - low + 1 if len(slots) else 0, np.uint8)
@@ -137,76 +157,119 @@ def _marked(lists: DataFrame, owners: int, bits: int, map_bits: int, hot_rows: i
         return pa.table({"at": pa.array([low], pa.int64()), "bits": pa.array([part.tobytes()], pa.binary()), "hot": pa.array([v[size > hot_rows].astype(np.int64)], pa.list_(pa.int64()))})
 
     table, hot = np.zeros(1 << (map_bits - 3), np.uint8), [_NONE]
-    for row in lists.groupBy("owner").applyInArrow(own, "at long, bits binary, hot array<long>").toLocalIterator():  # bounded: the bitmap's size
-        part = np.frombuffer(row["bits"], np.uint8)
-        table[row["at"]:row["at"] + len(part)] |= part
-        hot.append(np.array(row["hot"], np.int64))
+    parts = lists.groupBy("owner").applyInArrow(own, "at long, bits binary, hot array<long>").toArrow()  # bounded: the bitmap's size
+    for low, packed, own_hot in zip(parts.column("at").to_pylist(), parts.column("bits").to_pylist(), parts.column("hot").to_pylist()):
+        part = np.frombuffer(packed, np.uint8)
+        table[low:low + len(part)] |= part
+        hot.append(np.array(own_hot, np.int64))
     return table, np.sort(np.concatenate(hot)).astype(np.uint64)
 
 
 # --- rows of the marked buckets -----------------------------------------------
 
-_ROW = "bucket long, context long, rank long, part int, pos int, before int, after int, bytes binary"
+#: ``place`` holds the position (32 bits) and how many bytes lie before and from it (16 bits each).
+_ROW = "bucket long, context long, rank long, part int, place long, bytes binary"
+_ARROW_ROW = pa.schema([("bucket", pa.int64()), ("context", pa.int64()), ("rank", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("bytes", pa.binary())])
 
 
-def _rows(rest: DataFrame, known, bits: int, map_bits: int, hot: bool, length: int, q: int) -> DataFrame:
-    """A row for each anchor of a marked bucket: bucket and context (hashes of the q-gram, and of all bytes that strings over it
-    reach), the document, the position, and how many bytes lie before and from it.  Of the rows of one context that a task
-    has gathered, the one with the smallest rank carries the bytes."""
+def _unpacked(place: np.ndarray) -> list[np.ndarray]:
+    return [place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF]
+
+
+def _row_batches(batches: Iterator[pa.RecordBatch], pick, bits: int, length: int, q: int) -> Iterator[pa.RecordBatch]:
+    """A row for each anchor whose fingerprint ``pick`` takes: bucket and context (hashes of the q-gram, and of all bytes that strings
+    over it reach), the document and the place.  Of the rows of one context that a task has gathered, the one
+    with the smallest rank carries the bytes."""
     reach = length - q
+    held: list[tuple] = []
+    n_held = 0
+
+    def sent() -> pa.RecordBatch:
+        bucket, context, rank, part, pos, before, after, raw = (np.concatenate([x[i] for x in held]) for i in range(8))
+        order = np.lexsort((rank, context, bucket))
+        first = order[np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (context[order][1:] != context[order][:-1])])]
+        carried = np.zeros(len(bucket), bool)
+        carried[first] = True
+        size = np.where(carried, before + after, 0)
+        flat = raw[carried][np.arange(raw.shape[1])[None, :] < size[carried][:, None]]
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        text = pa.Array.from_buffers(pa.binary(), len(bucket), [pa.py_buffer(np.packbits(carried, bitorder="little").tobytes()), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(rank), pa.array(part), pa.array(pos << 32 | before << 16 | after), text],
+            ["bucket", "context", "rank", "part", "place", "bytes"],
+        )
+
+    for rows, data, bounds in C.chunks(batches, limit=CHUNK):
+        at, h, sums = anchors(data, bounds, length, q)
+        keep = pick(h >> np.uint64(64 - bits)) if len(at) else np.zeros(0, bool)
+        at, h = at[keep], h[keep]
+        if not len(at):
+            continue
+        row = np.searchsorted(bounds, at, "right") - 1
+        before, after = np.minimum(reach, at - bounds[row]), np.minimum(length, bounds[row + 1] - at)
+        context = C.mixed(C.span_hashes(sums, at - before, at + after) ^ before.astype(np.uint64))
+        window = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(reach + length, np.uint8)]), reach + length)
+        rank, part = rows.column("rank").to_numpy(), rows.column("part").to_numpy()
+        held.append((h, context, rank[row], part[row], at - bounds[row], before, after, window[at - before]))
+        n_held += len(at)
+        if n_held > GATHER:
+            yield sent()
+            held, n_held = [], 0
+    if held:
+        yield sent()
+
+
+def _rows(rest: DataFrame, known, bits: int, map_bits: int, hot: bool, length: int, q: int) -> DataFrame:
+    """The rows of buckets that the bitmap marks, of those with very many rows or of the others."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, hot_prints = known.value
-        held: list[tuple] = []
-        n_held = 0
-
-        def sent() -> pa.RecordBatch:
-            cols = [np.concatenate([x[i] for x in held]) for i in range(8)]
-            bucket, context, rank, part, pos, before, after, raw = cols
-            order = np.lexsort((rank, context, bucket))
-            first = order[np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (context[order][1:] != context[order][:-1])])]
-            carried = np.zeros(len(bucket), bool)
-            carried[first] = True
-            size = np.where(carried, before + after, 0)
-            flat = raw[carried][np.arange(raw.shape[1])[None, :] < size[carried][:, None]]
-            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            text = pa.Array.from_buffers(pa.binary(), len(bucket), [pa.py_buffer(np.packbits(carried, bitorder="little").tobytes()), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(rank), pa.array(part), *(pa.array(x.astype(np.int32)) for x in (pos, before, after)), text],
-                ["bucket", "context", "rank", "part", "pos", "before", "after", "bytes"],
-            )
-
-        for rows, data, bounds in C.chunks(batches):
-            at, h, sums = anchors(data, bounds, length, q)
-            if not len(at):
-                continue
-            fp = h >> np.uint64(64 - bits)
+
+        def pick(fp: np.ndarray) -> np.ndarray:
             slot = fp >> np.uint64(bits - map_bits)
             keep = (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            if len(hot_prints):
-                found = np.minimum(np.searchsorted(hot_prints, fp), len(hot_prints) - 1)
-                keep &= (hot_prints[found] == fp) == hot
-            elif hot:
-                keep[:] = False
-            at, h = at[keep], h[keep]
-            if not len(at):
-                continue
-            row = np.searchsorted(bounds, at, "right") - 1
-            before, after = np.minimum(reach, at - bounds[row]), np.minimum(length, bounds[row + 1] - at)
-            context = C.mixed(C.span_hashes(sums, at - before, at + after) ^ before.astype(np.uint64))
-            window = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(reach + length, np.uint8)]), reach + length)
-            rank, part = rows.column("rank").to_numpy(), rows.column("part").to_numpy()
-            held.append((h, context, rank[row], part[row], at - bounds[row], before, after, window[at - before]))
-            n_held += len(at)
-            if n_held > GATHER:
-                yield sent()
-                held, n_held = [], 0
-        if held:
-            yield sent()
+            found = np.minimum(np.searchsorted(hot_prints, fp), len(hot_prints) - 1)
+            return keep & ((hot_prints[found] == fp) == hot if len(hot_prints) else not hot)
+
+        yield from _row_batches(batches, pick, bits, length, q)
 
     return rest.mapInArrow(work, _ROW)
 
 
+def _dealt_rows(rest: DataFrame, owners: int, blocks: int, bits: int, hot_rows: int, length: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """The same rows, of ordinary buckets and of those with very many rows, where a bitmap would be too dense: documents are dealt to
+    blocks by a hash, and owners answer every block's list with two bits for each of its buckets."""
+    dealt = rest.withColumn("block", F.pmod(F.xxhash64("rank", "part"), F.lit(blocks)).cast("int"))
+
+    def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        full, codes, told = _listed(*_prints(table.to_batches(), bits, length, q), owners, bits)
+        return pa.table({"block": pa.array([key[0].as_py()] * len(full), pa.int32()), "owner": pa.array(full, pa.int32()), "code": pa.array(codes, pa.binary()), "marks": pa.array(told, pa.binary())})
+
+    def own(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        lists, v, shared, size = _pooled(table, int(_range_starts(owners, bits)[key[0].as_py()]))
+        flags = shared.astype(np.uint8) + (shared & (size > hot_rows))
+        told = [np.packbits((flags[np.searchsorted(v, x)][:, None] >> np.array([0, 1], np.uint8)) & 1).tobytes() for x in lists]
+        return pa.table({"block": table.column("block"), "owner": table.column("owner"), "flags": pa.array(told, pa.binary())})
+
+    answers = C.written(dealt.groupBy("block").applyInArrow(send, "block int, owner int, code binary, marks binary").groupBy("owner").applyInArrow(own, "block int, owner int, flags binary"), "answers")
+
+    def taken(hot: bool):
+        def take(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
+            values = np.unique(_prints(table.to_batches(), bits, length, q)[0])
+            cuts = np.append(np.searchsorted(values, _range_starts(owners, bits)), len(values))
+            flags = np.zeros(len(values), np.uint8)
+            for o, packed in zip(told.column("owner").to_pylist(), told.column("flags").to_pylist()):
+                n = cuts[o + 1] - cuts[o]
+                bit = np.unpackbits(np.frombuffer(packed, np.uint8))[: 2 * n].reshape(n, 2)
+                flags[cuts[o]:cuts[o + 1]] = bit[:, 0] + 2 * bit[:, 1]
+            wanted = flags == 2 if hot else flags == 1  # one more than shared: very many rows
+            return pa.Table.from_batches(list(_row_batches(table.to_batches(), lambda fp: wanted[np.searchsorted(values, fp)], bits, length, q)), _ARROW_ROW)
+        return take
+
+    cold, hot = (dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(taken(x), _ROW) for x in (False, True))
+    return cold, hot
+
+
 def _refined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Identifiers of the buckets that pairs of bucket identifiers make, in their order."""
     pair = a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b
@@ -276,15 +339,15 @@ def resolved(cols: list[np.ndarray], texts: list[bytes | None], length: int, q:
 
 
 def _cold_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
-    names = ["bucket", "context", "rank", "part", "pos", "before", "after"]
+    names = ["bucket", "context", "rank", "part", "place"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; a bucket cut by a batch's end waits for the rest."""
-        cols: list[np.ndarray] = [_NONE] * 7
+        cols: list[np.ndarray] = [_NONE] * 5
         texts: list[bytes | None] = []
 
         def told(cols: list[np.ndarray], texts: list[bytes | None]) -> pa.RecordBatch:
-            gone, a, b = resolved(cols, texts, length, q)
+            gone, a, b = resolved([*cols[:4], *_unpacked(cols[4])], texts, length, q)
             return pa.record_batch({"rank": pa.array(cols[2][gone], pa.int64()), "part": pa.array(cols[3][gone].astype(np.int32)), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
 
         for batch in batches:
@@ -292,7 +355,7 @@ def _cold_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
                 continue
             cols = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(cols, names)]
             texts += batch.column("bytes").to_pylist()
-            if len(texts) < 40_000:
+            if len(texts) < 15_000:
                 continue
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             if cut:
@@ -314,7 +377,7 @@ def _hot_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             data = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8)
-            before, after = batch.column("before").to_numpy().astype(np.int64), batch.column("after").to_numpy().astype(np.int64)
+            _, before, after = _unpacked(batch.column("place").to_numpy())
             begin = np.concatenate([[0], np.cumsum(before + after)])[:-1]
             low = np.maximum(0, length - after)
             count = np.maximum(before - low + 1, 0)
@@ -332,9 +395,10 @@ def _hot_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
     answers = C.written(firsts.join(partial, ["bucket", "context"], "left"), "hot-answers")
     held = rows.drop("bytes").join(C.sized(answers, answers.count(), BROADCAST_ROWS), ["bucket", "context"])
     later = F.col("rank") > F.col("first")
-    low = F.when(later, F.greatest(F.lit(0), F.lit(length) - F.col("after"))).otherwise(F.col("low"))
-    high = F.when(later, F.col("before")).otherwise(F.col("high"))
-    return held.filter(later | F.col("low").isNotNull()).select("rank", "part", (F.col("pos") - high).cast("int").alias("a"), (F.col("pos") - low + length).cast("int").alias("b"))
+    pos, before, after = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(0xFFFF), F.col("place").bitwiseAND(0xFFFF)
+    low = F.when(later, F.greatest(F.lit(0), F.lit(length) - after)).otherwise(F.col("low"))
+    high = F.when(later, before).otherwise(F.col("high"))
+    return held.filter(later | F.col("low").isNotNull()).select("rank", "part", (pos - high).cast("int").alias("a"), (pos - low + length).cast("int").alias("b"))
 
 
 def merged_runs(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -364,7 +428,7 @@ def _runs(intervals: DataFrame) -> DataFrame:
     return grouped.mapInArrow(work, "rank long, part int, runs array<struct<a:int,b:int>>")
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, q: int = Q, hot_rows: int = HOT_ROWS) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = LENGTH, q: int = Q, hot_rows: int = HOT_ROWS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """``docs`` (doc_id, text) with runs (array<struct<a, b>>: the bytes to remove, end exclusive) in place of further columns.
 
     A null text counts as empty.  A null doc_id is larger than any other.  Rows of one doc_id don't
@@ -381,14 +445,18 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, q: int = Q, hot_rows: i
     copy: Column = F.coalesce(F.col("first") < F.col("rank"), F.lit(False))
     rest = docs.filter(~copy & (F.octet_length("text") >= length)).select("rank", "part", "text")
 
-    expected = max(2, int(total) * 2 // (length - q + 2)).bit_length()
-    bits, map_bits = min(60, max(32, expected + 14)), min(BITMAP_BITS, max(12, expected + 2))
+    n_anchors = max(2, int(total) * 2 // (length - q + 2))
+    bits, map_bits = min(60, max(32, n_anchors.bit_length() + 14)), min(bitmap_bits, max(12, n_anchors.bit_length() + 2))
     owners = C.shuffle_partitions(spark)
-    sc = spark.sparkContext
-    marks = sc.broadcast(_marked(_send(rest, owners, bits, length, q), owners, bits, map_bits, hot_rows))
-    intervals = _cold_intervals(_rows(rest, marks, bits, map_bits, False, length, q), length, q)
-    if len(marks.value[1]):
-        intervals = intervals.unionByName(_hot_intervals(_rows(rest, marks, bits, map_bits, True, length, q), length, q))
+    if n_anchors <= 2 << bitmap_bits:
+        marks = spark.sparkContext.broadcast(_marked(_send(rest, owners, bits, length, q), owners, bits, map_bits, hot_rows))
+        cold = _rows(rest, marks, bits, map_bits, False, length, q)
+        hot = _rows(rest, marks, bits, map_bits, True, length, q) if len(marks.value[1]) else None
+    else:
+        cold, hot = _dealt_rows(rest, owners, max(1, int(total) // BLOCK_BYTES), bits, hot_rows, length, q)
+    intervals = _cold_intervals(cold, length, q)
+    if hot is not None:
+        intervals = intervals.unionByName(_hot_intervals(hot, length, q))
     runs = C.written(_runs(intervals), "runs")
     n_runs, n_intervals = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
     runs = C.sized(runs, n_runs, BROADCAST_ROWS if n_intervals <= BROADCAST_INTERVALS else -1)
@@ -411,7 +479,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
         yield rows, kept, runs
 
 
-def substring_report(docs: DataFrame, length: int = LENGTH, q: int = Q, hot_rows: int = HOT_ROWS) -> DataFrame:
+def substring_report(docs: DataFrame, length: int = LENGTH, q: int = Q, hot_rows: int = HOT_ROWS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """The digest of :func:`repeated_runs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +490,7 @@ def substring_report(docs: DataFrame, length: int = LENGTH, q: int = Q, hot_rows
                 "n_spans": pa.array([len(own) for own in runs], pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept]),
             })
 
-    found = repeated_runs(docs, length, q, hot_rows)
+    found = repeated_runs(docs, length, q, hot_rows, bitmap_bits)
     return found.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
