@@ -390,8 +390,10 @@ def _hot_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
     firsts = rows.groupBy("bucket", "context").agg(F.min("rank").alias("first"))
     each = rows.filter("bytes IS NOT NULL").mapInArrow(strings, "bucket long, context long, offset int, string long, rank long")
     each = C.written(each.groupBy("bucket", "context", "offset", "string").agg(F.min("rank").alias("rank")), "hot-strings")
-    least = each.groupBy("bucket", "offset", "string").agg(F.min("rank").alias("least"))
-    partial = each.join(least, ["bucket", "offset", "string"]).filter("least < rank").groupBy("bucket", "context").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
+    # Strings of several contexts are few; the join is dealt by a table, so that a string of very many contexts can be split.
+    least = each.groupBy("bucket", "offset", "string").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").drop("most")
+    least = C.written(least, "hot-least")
+    partial = each.join(C.sized(least, least.count(), BROADCAST_ROWS), ["bucket", "offset", "string"]).filter("least < rank").groupBy("bucket", "context").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
     answers = C.written(firsts.join(partial, ["bucket", "context"], "left"), "hot-answers")
     held = rows.drop("bytes").join(C.sized(answers, answers.count(), BROADCAST_ROWS), ["bucket", "context"])
     later = F.col("rank") > F.col("first")
