@@ -52,6 +52,12 @@ def test_base_kinds(spark):
     ])
 
 
+def test_cards_of_single_digits(spark):
+    texts = [" ".join("4111111111111111"), "-".join("4111111111111111"), "row " + "0 " * 16 + "end", " ".join("4111111111111112")]
+    agrees(spark, texts)
+    assert [r.n_card for r in report(spark, texts)] == [1, 1, 1, 0]
+
+
 def test_long_texts_need_no_stack(spark):
     long = ["1" * 200_000, "1 " * 100_000, "1." * 100_000, "a." * 100_000 + "@" + "b." * 100_000, "a" * 300_000, "a@b" + ".c" * 150_000, "+1" + "2 " * 100_000]
     for r in report(spark, long):

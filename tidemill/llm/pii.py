@@ -62,7 +62,7 @@ KINDS = [
     # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", valid=_small_parts, base=0.6, context="ip|address|host|server|login"),
     # [0-9]([\x20-]?[0-9])+ of 16 to 19 digits: a whole run of digits with single separators.
-    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])", "[0-9]{2}", valid=lambda m: luhn(_digits(m)), base=0.7, context="card|visa|credit|payment|karte|carte|tarjeta"),
+    Kind("card", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){15,18}(?![ -]?[0-9])", "[0-9][ -]?[0-9]", valid=lambda m: luhn(_digits(m)), base=0.7, context="card|visa|credit|payment|karte|carte|tarjeta"),
     # \+[0-9][\x20().0-9-]+[0-9]
     Kind("phone", r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", valid=lambda m: F.length(_digits(m)).between(8, 15), base=0.7, context="phone|call|tel|mobile|fax"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", valid=lambda m: mod97(F.replace(m, F.lit(" "), F.lit(""))), base=0.9, context="iban|bank|account|konto|compte|cuenta"),
