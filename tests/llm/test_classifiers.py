@@ -98,3 +98,23 @@ def test_quality_without_labels(spark):
     d = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert len(Q.quality_report(d, none).collect()) == 2 and Q.quality_report(d.limit(0), none).count() == 0
+
+
+def test_every_tied_form_has_a_weight():
+    """The last fifty toxic documents share a word that no earlier one has."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemill.llm import common as C
+    from tidemill.llm import toxicity as T
+
+    rng = random.Random(8)
+    n = T.FIT_DOCS + 100
+    text = lambda word: " ".join([f"w{rng.randrange(3000)}" for _ in range(20)] + [word])
+    texts = [text("vile" if i < n - 50 else "late") for i in range(n)] + [text("kind") for _ in range(n)]
+    model = T.train(pa.array(texts), np.arange(2 * n) < n, 0.5)
+    for word in (b"vile", b"late"):
+        form = C.span_hashes(C.prefix_sums(np.frombuffer(word, np.uint8)), np.array([0]), np.array([4]))[0]
+        assert model.weights[1 + np.flatnonzero(model.forms == form)[0]] > 0

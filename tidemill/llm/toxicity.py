@@ -28,7 +28,8 @@ TRAIN_BYTES = 40_000
 BEGINNINGS = (4, 5, 6)
 #: Forms with weights of their own beside those tied to toxic documents: the ones in most documents.
 COMMON_FORMS = 4_000
-#: Documents of each class that the field's weights are fitted on; which forms are tied to toxic ones is told by all of the sample.
+#: Documents of each class, by a hash of doc_id, that the field's weights are fitted on, besides one for each tied form that
+#: those lack; which forms are tied to toxic ones is told by all of the sample.
 FIT_DOCS = 600
 #: Slots of the table that finds a form's weight, as a power of two.
 SLOT_BITS = 21
@@ -133,7 +134,7 @@ def _cut(data: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.nda
 
 
 def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
-    """``prior``: the share of toxic documents among all labelled ones, to which scores are calibrated."""
+    """``texts`` in the order in which they are preferred.  ``prior``: the share of toxic documents among all labelled ones, to which scores are calibrated."""
     level = np.log(prior / (1 - prior)) if 0 < prior < 1 else (10.0 if prior else -10.0)
     none = Model(np.zeros(0, np.uint64), np.zeros(1), crf.Chain(), np.array([0.0, 0.0, level]))
     parts = [(data, bounds) for _, data, bounds in C.chunks([pa.RecordBatch.from_arrays([pc.utf8_lower(texts)], ["text"])], limit=1 << 62)]
@@ -151,6 +152,11 @@ def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
     fit = np.zeros(len(toxic), bool)
     for y in (toxic, ~toxic):
         fit[np.flatnonzero(y)[:FIT_DOCS]] = True
+    row = np.repeat(np.arange(len(toxic)), np.diff(firsts))
+    for h in forms:
+        on = np.flatnonzero(np.isin(h, tied) & toxic[row])
+        on = on[~np.isin(h[on], h[on[fit[row[on]]]])]
+        fit[row[on[np.unique(h[on], return_index=True)[1]]]] = True
     data, bounds = _cut(data, bounds, fit)
     toxic = toxic[fit]
     _, _, firsts, forms = features(data, bounds)
@@ -177,7 +183,7 @@ def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, column: str, per_class: int, longest: int) -> tuple[pa.Table, float]:
-    """About ``per_class`` labelled rows of each class that aren't held out, chosen by a hash of doc_id (text, y),
+    """About ``per_class`` labelled rows of each class that aren't held out, chosen by a hash of doc_id (text, y, drawn),
     and the share of class 1 among all of them.  Of a document with several labels the largest counts."""
     known = labels.filter(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).alias("y"))
     known = known.filter(~held_out)
@@ -187,7 +193,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, column:
     for y, n in counts.items():
         keep = keep | ((F.col("y") == y) & (drawn < int(min(1.0, per_class / n) * (1 << 24))))
     rows = docs.select("doc_id", "text").join(F.broadcast(known.filter(keep).limit(4 * per_class)), "doc_id")
-    rows = rows.filter(F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("text", F.col("y").cast("int").alias("y"))
+    rows = rows.filter(F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("text", F.col("y").cast("int").alias("y"), drawn.alias("drawn"))
     return rows.toArrow(), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
@@ -205,7 +211,7 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS)
     from.  Repeated rows are judged each for itself; further columns are ignored."""
     held_out = held_out_rows(4, 2)
     table, prior = training_rows(docs, labels, held_out, "toxic", per_class, TRAIN_BYTES)
-    table = table.combine_chunks()
+    table = table.sort_by("drawn").combine_chunks()
     texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
     model = train(texts, table.column("y").to_numpy() == 1, prior)
     known = docs.sparkSession.sparkContext.broadcast(model)
