@@ -74,9 +74,36 @@ def test_refinement_names_equal_strings():
     text[20:] = text[:20]
     text[20:, 70] ^= 1
     ids = S.string_buckets(text, 50, 27)
-    raw = [t.tobytes() for t in text]
     seen = {}
     for i in range(40):
         for c in range(27):
-            assert seen.setdefault(raw[i][c:c + 50], ids[i, c]) == ids[i, c]
+            assert seen.setdefault((c, text[i].tobytes()[c:c + 50]), ids[i, c]) == ids[i, c]
     assert len(set(seen.values())) == len(seen)
+
+
+def test_bytes_decide_where_hashes_meet(spark, monkeypatch):
+    """All contexts have one hash."""
+    monkeypatch.setattr(S.C, "span_hashes", lambda sums, a, b, f=S.C.span_hashes: f(sums, a, b) if len(a) == 0 or int(b[0]) - int(a[0]) == S.Q else np.zeros(len(a), np.uint64))
+    docs = corpus(4, 40)
+    batch = S.pa.record_batch({"rank": S.pa.array([d for d, _ in docs]), "part": S.pa.array([0] * len(docs), S.pa.int32()), "text": S.pa.array([t for _, t in docs])})
+    rows = next(S._row_batches(iter([batch]), lambda fp: np.ones(len(fp), bool), 60, 50, 28))
+    raw = {d: [t.encode() for e, t in docs if e == d] for d, _ in docs}
+    for before, text, members in zip(rows.column("before").to_pylist(), rows.column("bytes").to_pylist(), rows.column("members").to_pylist()):
+        for rank, _, pos in np.frombuffer(members, S._MEMBER).tolist():
+            assert any(t[pos - before:pos - before + len(text)] == text for t in raw[rank])
+
+
+def test_a_text_longer_than_a_chunk(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 2_000)
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(30_000))
+    rows = [(1, long), (2, long[10_000:12_000] + "z" * 60), (3, "z" * 55 + long[29_000:]), (4, long + "!")]
+    assert run(spark, rows) == brute(rows, 50)
+    assert run(spark, rows, hot_rows=2) == brute(rows, 50)
+
+
+def test_a_million_bytes(spark):
+    rng = np.random.default_rng(6)
+    long = bytes(rng.integers(97, 123, 1_200_000).astype(np.uint8)).decode()
+    rows = [(1, long), (2, long[500_000:500_400]), (3, "q" + long[1_000_000:])]
+    assert run(spark, rows) == [(1, 1_200_000, 0, 0, hashlib.sha256(long.encode()).hexdigest()), (2, 400, 400, 1, hashlib.sha256(b"").hexdigest()), (3, 200_001, 200_000, 1, hashlib.sha256(b"q").hexdigest())]

@@ -9,12 +9,13 @@ equal anchors, and only a suffix in some fourteen enters the work.
    of them; owners answer with a bitmap of buckets in several documents and the list of those with
    very many rows.  Where the bitmap would be too dense, documents are dealt to blocks first, and
    owners answer each block.
-3. Rows of the marked buckets carry the bytes that strings over the anchor can reach.  A bucket's
-   rows meet in one task, where buckets of 8 bytes are refined to 16, 32 and ``length`` by sorting
-   on pairs of bucket identifiers, each at the offset that the refinement before it has reached.
-   In the final buckets the smallest doc_id tells which strings are repeated.
-4. Buckets of very many rows don't meet in one task: each of their strings is a key of its own,
-   combined in the map tasks first.
+3. Rows of the marked buckets carry the bytes that strings over the anchor can reach; places with the
+   same bytes are put in one row before they leave a task.  A bucket's rows meet in one task, where
+   buckets of suffixes are refined by sorting on the buckets of later offsets, which have been
+   refined before.  Neighbours in the final order are compared byte for byte, and of equal strings
+   the smallest doc_id tells which are repeated.
+4. Buckets of very many rows don't meet in one task: each of their strings is a key of its own, byte
+   for byte, combined in the map tasks first.
 """
 
 from __future__ import annotations
@@ -41,9 +42,13 @@ BITMAP_BITS = 31
 BLOCK_BYTES = 64 << 20
 #: Rows, and intervals in them, up to which a table is broadcast.
 BROADCAST_ROWS = 200_000
+BROADCAST_CONTEXTS = 50_000
 BROADCAST_INTERVALS = 2_000_000
 #: Rows that a task gathers before it sends their bytes, and bytes of text that it turns into arrays at once.
 GATHER = 100_000
+#: Bytes of an initial bucket, and neighbours that are compared at once.
+STEP = 8
+SLICE = 1 << 18
 CHUNK = 1 << 20
 _LAST = (1 << 63) - 1
 _NONE = np.zeros(0, np.int64)
@@ -167,37 +172,54 @@ def _marked(lists: DataFrame, owners: int, bits: int, map_bits: int, hot_rows: i
 
 # --- rows of the marked buckets -----------------------------------------------
 
-#: ``place`` holds the position (32 bits) and how many bytes lie before and from it (16 bits each).
-_ROW = "bucket long, context long, rank long, part int, place long, bytes binary"
-_ARROW_ROW = pa.schema([("bucket", pa.int64()), ("context", pa.int64()), ("rank", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("bytes", pa.binary())])
+#: A row stands for the anchors of one bucket and one context that a task has gathered: ``bytes`` are all that strings over the
+#: anchor reach, ``before`` of them in front of it; ``members`` are the places, by rank, of which ``first`` is the smallest and ``last`` the largest.
+_ROW = "bucket long, context long, before int, bytes binary, first long, last long, members binary"
+_ARROW_ROW = pa.schema([("bucket", pa.int64()), ("context", pa.int64()), ("before", pa.int32()), ("bytes", pa.binary()), ("first", pa.int64()), ("last", pa.int64()), ("members", pa.binary())])
+_MEMBER = np.dtype([("rank", "<i8"), ("part", "<i4"), ("pos", "<i4")])
 
 
-def _unpacked(place: np.ndarray) -> list[np.ndarray]:
-    return [place >> 32, place >> 16 & 0xFFFF, place & 0xFFFF]
+def _binary(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column end to end, and their sizes."""
+    if not pa.types.is_large_binary(col.type):
+        col = col.cast(pa.large_binary())
+    bounds = np.frombuffer(col.buffers()[1], np.int64, len(col) + 1, col.offset * 8)
+    data = np.frombuffer(col.buffers()[2], np.uint8) if col.buffers()[2] is not None and col.buffers()[2].size else np.zeros(0, np.uint8)
+    return data[bounds[0]:bounds[-1]], np.diff(bounds)
 
 
 def _row_batches(batches: Iterator[pa.RecordBatch], pick, bits: int, length: int, q: int) -> Iterator[pa.RecordBatch]:
-    """A row for each anchor whose fingerprint ``pick`` takes: bucket and context (hashes of the q-gram, and of all bytes that strings
-    over it reach), the document and the place.  Of the rows of one context that a task has gathered, the one
-    with the smallest rank carries the bytes."""
+    """The rows of the anchors whose fingerprint ``pick`` takes.  Bucket and context are hashes of the q-gram and of the bytes around;
+    places are put in one row only if the bytes themselves are equal."""
     reach = length - q
     held: list[tuple] = []
     n_held = 0
 
     def sent() -> pa.RecordBatch:
-        bucket, context, rank, part, pos, before, after, raw = (np.concatenate([x[i] for x in held]) for i in range(8))
-        order = np.lexsort((rank, context, bucket))
-        first = order[np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (context[order][1:] != context[order][:-1])])]
-        carried = np.zeros(len(bucket), bool)
-        carried[first] = True
-        size = np.where(carried, before + after, 0)
-        flat = raw[carried][np.arange(raw.shape[1])[None, :] < size[carried][:, None]]
-        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-        text = pa.Array.from_buffers(pa.binary(), len(bucket), [pa.py_buffer(np.packbits(carried, bitorder="little").tobytes()), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(bucket.view(np.int64)), pa.array(context.view(np.int64)), pa.array(rank), pa.array(part), pa.array(pos << 32 | before << 16 | after), text],
-            ["bucket", "context", "rank", "part", "place", "bytes"],
-        )
+        bucket, context, rank, part, pos, before, size, raw = (np.concatenate([x[i] for x in held]) for i in range(8))
+        raw[np.arange(raw.shape[1])[None, :] >= size[:, None]] = 0
+        while True:
+            order = np.lexsort((rank, context, bucket))
+            head = np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (context[order][1:] != context[order][:-1])])
+            lead = order[head][np.cumsum(head) - 1]
+            differs = order[(raw[order] != raw[lead]).any(axis=1) | (before[order] != before[lead]) | (size[order] != size[lead])]
+            if not len(differs):
+                break
+            context[differs] = C.mixed(context[differs] + np.uint64(1))  # equal hashes of different bytes
+        lead, begin = order[head], np.flatnonzero(head)
+        n = np.diff(np.append(begin, len(order)))
+        members = np.empty(len(order), _MEMBER)
+        members["rank"], members["part"], members["pos"] = rank[order], part[order], pos[order]
+        return pa.RecordBatch.from_arrays([
+            pa.array(bucket[lead].view(np.int64)), pa.array(context[lead].view(np.int64)), pa.array(before[lead].astype(np.int32)),
+            _binary(raw[lead][np.arange(raw.shape[1])[None, :] < size[lead][:, None]], size[lead]),
+            pa.array(rank[lead]), pa.array(rank[order][begin + n - 1]), _binary(members.view(np.uint8), n * _MEMBER.itemsize),
+        ], schema=_ARROW_ROW)
 
     for rows, data, bounds in C.chunks(batches, limit=CHUNK):
         at, h, sums = anchors(data, bounds, length, q)
@@ -210,7 +232,7 @@ def _row_batches(batches: Iterator[pa.RecordBatch], pick, bits: int, length: int
         context = C.mixed(C.span_hashes(sums, at - before, at + after) ^ before.astype(np.uint64))
         window = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(reach + length, np.uint8)]), reach + length)
         rank, part = rows.column("rank").to_numpy(), rows.column("part").to_numpy()
-        held.append((h, context, rank[row], part[row], at - bounds[row], before, after, window[at - before]))
+        held.append((h, context, rank[row], part[row], at - bounds[row], before, before + after, window[at - before]))
         n_held += len(at)
         if n_held > GATHER:
             yield sent()
@@ -270,137 +292,164 @@ def _dealt_rows(rest: DataFrame, owners: int, blocks: int, bits: int, hot_rows:
     return cold, hot
 
 
-def _refined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Identifiers of the buckets that pairs of bucket identifiers make, in their order."""
-    pair = a.astype(np.int64) * (int(b.max(initial=0)) + 1) + b
-    return np.unique(pair, return_inverse=True)[1].reshape(a.shape)
-
-
 def string_buckets(text: np.ndarray, length: int, columns: int) -> np.ndarray:
-    """Identifiers of the strings of ``length`` bytes (17 or more) that begin in the first ``columns`` columns of a byte matrix:
-    equal for equal strings."""
-    span = columns + length
-    wide = np.concatenate([text, np.zeros((len(text), max(0, span - text.shape[1])), np.uint8)], axis=1)
-    value = np.zeros((len(text), span - 8), np.uint64)
-    for j in range(8):
-        value = (value << np.uint64(8)) | wide[:, j:j + span - 8]
-    bucket, size = np.unique(value, return_inverse=True)[1].reshape(value.shape), 8
-    while size < length:
-        step = min(size, length - size)  # the next bucket's offset; it overlaps if it needn't reach so far
-        bucket = _refined(bucket[:, : bucket.shape[1] - step], bucket[:, step:])
-        size += step
-    return bucket[:, :columns]
-
-
-def resolved(cols: list[np.ndarray], texts: list[bytes | None], length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of whole buckets (bucket, context, rank, part, pos, before, after), which have bytes to remove, and from where to where."""
-    bucket, context, rank, _, pos, before, after = cols
+    """Identifiers of the strings of ``length`` bytes (STEP or more) that begin in the first ``columns`` columns of a byte matrix, equal for
+    equal strings of one column.
+
+    Every suffix of a row begins in the bucket of its first STEP bytes and points at the bucket of the suffix STEP bytes on.  A bucket is
+    refined by sorting on what its suffixes point at; from the last columns to the first, so that all that a bucket points at has been
+    refined before, by what that points at in turn.  Equal strings then stand together in the order of the suffixes, and neighbours are
+    compared byte for byte."""
+    span = columns - 1 + length
+    wide = np.zeros((len(text), span + STEP), np.uint8)
+    wide[:, : min(span, text.shape[1])] = text[:, :span]
+    value = np.zeros((len(text), span), np.uint64)
+    for j in range(STEP):
+        value = (value << np.uint64(8)) | wide[:, j:j + span]
+    bucket = np.unique(value, return_inverse=True)[1].reshape(value.shape).astype(np.int64)
+    for a in range((span - 1) // STEP * STEP - STEP, -1, -STEP):
+        later = bucket[:, a + STEP:a + 2 * STEP]
+        pair = bucket[:, a:a + later.shape[1]] * (int(bucket.max()) + 1) + later
+        bucket[:, a:a + later.shape[1]] = np.unique(pair, return_inverse=True)[1].reshape(pair.shape)
+    suffix = bucket[:, :columns] + np.arange(columns) * (int(bucket.max(initial=0)) + 1)
+    order = np.argsort(suffix, axis=None, kind="stable")
+    row, col = np.divmod(order, columns)
+    strings = np.lib.stride_tricks.sliding_window_view(wide, length, axis=1)
+    new = np.ones(len(order), bool)
+    for at in range(1, len(order), SLICE):
+        to = slice(at, min(at + SLICE, len(order)))
+        back = slice(to.start - 1, to.stop - 1)
+        new[to] = (col[to] != col[back]) | (strings[row[to], col[to]] != strings[row[back], col[back]]).any(axis=1)
+    ids = np.empty(len(order), np.int64)
+    ids[order] = np.cumsum(new) - 1
+    return ids.reshape(len(text), columns)
+
+
+def resolved(bucket: np.ndarray, context: np.ndarray, before: np.ndarray, flat: np.ndarray, sizes: np.ndarray, members: np.ndarray, counts: np.ndarray, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For rows of whole buckets, their bytes end to end, and their members: which members have bytes to remove, from where to where."""
     reach = length - q
-    n = len(bucket)
-    order = np.lexsort((rank, context, bucket))
-    head = np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (context[order][1:] != context[order][:-1])])
-    group = np.empty(n, np.int64)
+    text = np.zeros((len(bucket), reach + length), np.uint8)  # the anchors stand below one another
+    cell = np.arange(reach + length)[None, :] - (reach - before)[:, None]
+    text[(cell >= 0) & (cell < sizes[:, None])] = flat
+    low, high = np.maximum(0, length - (sizes - before)), before  # offsets of the strings' starts before the anchor
+    begin = np.cumsum(counts) - counts
+    # Rows of different tasks with the same bytes are one.
+    order = np.lexsort((context, bucket))
+    a, b = order[1:], order[:-1]
+    head = np.concatenate([[True], (bucket[a] != bucket[b]) | (context[a] != context[b]) | (before[a] != before[b]) | (sizes[a] != sizes[b]) | (text[a] != text[b]).any(axis=1)])
+    group = np.empty(len(bucket), np.int64)
     group[order] = np.cumsum(head) - 1
-    first = rank[order][head]  # of each context
-    low, high = np.maximum(0, length - after), before.copy()  # offsets of the strings' starts before the anchor
-    later = rank > first[group]
-    # Contexts that share their bucket with others: their strings one by one.
-    of = bucket[order][head]
+    lead = order[head]
+    first = np.minimum.reduceat(members["rank"][begin][order], np.flatnonzero(head))
+    # Of buckets with several texts, the strings one by one.
+    of = bucket[lead]
     cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    several = np.repeat(np.diff(np.append(cut, len(of))) > 1, np.diff(np.append(cut, len(of))))
-    have = np.array([t is not None for t in texts], bool) & several[group]
-    _, pick = np.unique(group[have], return_index=True)
-    source = np.flatnonzero(have)[pick]
-    if len(source):
-        text = np.zeros((len(source), reach + length), np.uint8)
-        flat = np.frombuffer(b"".join(texts[i] for i in source.tolist()), np.uint8)
-        size = before[source] + after[source]
-        cell = np.arange(reach + length)[None, :] - (reach - before[source])[:, None]
-        text[(cell >= 0) & (cell < size[:, None])] = flat
-        ids = string_buckets(text, length, reach + 1)  # column c: the string that starts reach - c before the anchor
+    own = np.diff(np.append(cut, len(of)))
+    several = np.flatnonzero(np.repeat(own > 1, own))
+    found_low, found_high = np.full(len(lead), reach + 1), np.full(len(lead), -1)
+    if len(several):
+        source = lead[several]
+        ids = string_buckets(text[source], length, reach + 1)  # column c: the string that starts reach - c before the anchor
         offset = reach - np.arange(reach + 1)[None, :]
         valid = (offset >= low[source][:, None]) & (offset <= high[source][:, None])
-        where, offset = np.nonzero(valid)[0], np.broadcast_to(offset, valid.shape)[valid]
-        key, own = ids[valid], first[group[source]][where]
-        by = np.lexsort((own, key))
-        new = np.concatenate([[True], key[by][1:] != key[by][:-1]])
-        least = own[by][new][np.cumsum(new) - 1]
-        hit = by[least < own[by]]
-        a, b = np.full(len(source), reach + 1), np.full(len(source), -1)
-        np.minimum.at(a, where[hit], offset[hit])
-        np.maximum.at(b, where[hit], offset[hit])
-        low_of, high_of = np.full(len(first), reach + 1), np.full(len(first), -1)
-        low_of[group[source]], high_of[group[source]] = a, b
-        low, high = np.where(later, low, low_of[group]), np.where(later, high, high_of[group])
-    else:
-        high = np.where(later, high, -1)
-    gone = np.flatnonzero(high >= low)
-    return gone, (pos - high)[gone], (pos - low + length)[gone]
+        where, offset = several[np.nonzero(valid)[0]], np.broadcast_to(offset, valid.shape)[valid]
+        least = np.full(int(ids.max()) + 1, _LAST)
+        np.minimum.at(least, ids[valid], first[where])
+        hit = np.flatnonzero(least[ids[valid]] < first[where])
+        np.minimum.at(found_low, where[hit], offset[hit])
+        np.maximum.at(found_high, where[hit], offset[hit])
+    row = np.repeat(np.arange(len(bucket)), counts)
+    later = members["rank"] > first[group[row]]
+    a, b = np.where(later, low[row], found_low[group[row]]), np.where(later, high[row], found_high[group[row]])
+    gone = np.flatnonzero(b >= a)
+    pos = members["pos"][gone].astype(np.int64)
+    return gone, pos - b[gone], pos - a[gone] + length
 
 
-def _cold_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
-    names = ["bucket", "context", "rank", "part", "place"]
+_INTERVAL = "rank long, part int, a int, b int"
+
+
+def _intervals(members: np.ndarray, gone: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"rank": pa.array(np.ascontiguousarray(members["rank"][gone])), "part": pa.array(np.ascontiguousarray(members["part"][gone])), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
 
+
+def _cold_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket; a bucket cut by a batch's end waits for the rest."""
-        cols: list[np.ndarray] = [_NONE] * 5
-        texts: list[bytes | None] = []
+        held: list[np.ndarray] | None = None  # bucket, context, before, bytes, sizes, members, counts
 
-        def told(cols: list[np.ndarray], texts: list[bytes | None]) -> pa.RecordBatch:
-            gone, a, b = resolved([*cols[:4], *_unpacked(cols[4])], texts, length, q)
-            return pa.record_batch({"rank": pa.array(cols[2][gone], pa.int64()), "part": pa.array(cols[3][gone].astype(np.int32)), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
+        def told(x: list[np.ndarray]) -> pa.RecordBatch:
+            return _intervals(x[5], *resolved(*x, length, q))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(cols, names)]
-            texts += batch.column("bytes").to_pylist()
-            if len(texts) < 15_000:
+            flat, sizes = _flat(batch.column("bytes"))
+            members, counts = _flat(batch.column("members"))
+            new = [batch.column("bucket").to_numpy(), batch.column("context").to_numpy(), batch.column("before").to_numpy().astype(np.int64), flat, sizes, members.view(_MEMBER), counts // _MEMBER.itemsize]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if len(held[0]) < 15_000:
                 continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))
+            cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
-                yield told([x[:cut] for x in cols], texts[:cut])
-                cols, texts = [x[cut:] for x in cols], texts[cut:]
-        if texts:
-            yield told(cols, texts)
+                cuts = [cut, cut, cut, int(held[4][:cut].sum()), cut, int(held[6][:cut].sum()), cut]
+                yield told([x[:c] for x, c in zip(held, cuts)])
+                held = [x[c:] for x, c in zip(held, cuts)]
+        if held is not None:
+            yield told(held)
 
     n = C.shuffle_partitions(rows.sparkSession)
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "rank long, part int, a int, b int")
+    return rows.drop("first", "last").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(work, _INTERVAL)
 
 
 def _hot_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
-    """The same for buckets of very many rows: contexts and strings are keys, and the smallest ranks of each are combined in the map tasks."""
+    """The same for buckets of very many rows: their contexts and strings are keys, byte for byte, and the smallest ranks of each are
+    combined in the map tasks."""
+    context = ["bucket", "before", "bytes"]
     rows = C.written(rows, "hot-rows")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            data = np.frombuffer(b"".join(batch.column("bytes").to_pylist()), np.uint8)
-            _, before, after = _unpacked(batch.column("place").to_numpy())
-            begin = np.concatenate([[0], np.cumsum(before + after)])[:-1]
-            low = np.maximum(0, length - after)
+            data, sizes = _flat(batch.column("bytes"))
+            before = batch.column("before").to_numpy().astype(np.int64)
+            low = np.maximum(0, length - (sizes - before))
             count = np.maximum(before - low + 1, 0)
             row = np.repeat(np.arange(batch.num_rows), count)
             offset = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            at = begin[row] + before[row] - offset
-            key = C.span_hashes(C.prefix_sums(data), at, at + length)
-            yield pa.RecordBatch.from_arrays([batch.column("bucket").take(pa.array(row)), batch.column("context").take(pa.array(row)), pa.array(offset.astype(np.int32)), pa.array(key.view(np.int64)), batch.column("rank").take(pa.array(row))], ["bucket", "context", "offset", "string", "rank"])
-
-    firsts = rows.groupBy("bucket", "context").agg(F.min("rank").alias("first"))
-    each = rows.filter("bytes IS NOT NULL").mapInArrow(strings, "bucket long, context long, offset int, string long, rank long")
-    each = C.written(each.groupBy("bucket", "context", "offset", "string").agg(F.min("rank").alias("rank")), "hot-strings")
+            at = (np.cumsum(sizes) - sizes)[row] + before[row] - offset
+            string = data[at[:, None] + np.arange(length)[None, :]]
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("id", "bucket", "first")), pa.array(offset.astype(np.int32)), _binary(string.reshape(-1), np.full(len(row), length))], ["id", "bucket", "rank", "offset", "string"])
+
+    contexts = rows.groupBy(*context).agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    contexts = C.written(contexts.withColumn("id", F.monotonically_increasing_id()), "hot-contexts")
+    each = C.written(contexts.mapInArrow(strings, "id long, bucket long, rank long, offset int, string binary"), "hot-strings")
     # Strings of several contexts are few; the join is dealt by a table, so that a string of very many contexts can be split.
     least = each.groupBy("bucket", "offset", "string").agg(F.min("rank").alias("least"), F.max("rank").alias("most")).filter("least < most").drop("most")
     least = C.written(least, "hot-least")
-    partial = each.join(C.sized(least, least.count(), BROADCAST_ROWS), ["bucket", "offset", "string"]).filter("least < rank").groupBy("bucket", "context").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
-    answers = C.written(firsts.join(partial, ["bucket", "context"], "left"), "hot-answers")
-    held = rows.drop("bytes").join(C.sized(answers, answers.count(), BROADCAST_ROWS), ["bucket", "context"])
-    later = F.col("rank") > F.col("first")
-    pos, before, after = F.shiftright("place", 32), F.shiftright("place", 16).bitwiseAND(0xFFFF), F.col("place").bitwiseAND(0xFFFF)
-    low = F.when(later, F.greatest(F.lit(0), F.lit(length) - after)).otherwise(F.col("low"))
-    high = F.when(later, before).otherwise(F.col("high"))
-    return held.filter(later | F.col("low").isNotNull()).select("rank", "part", (pos - high).cast("int").alias("a"), (pos - low + length).cast("int").alias("b"))
+    found = each.join(C.sized(least, least.count(), BROADCAST_ROWS), ["bucket", "offset", "string"]).filter("least < rank").groupBy("id").agg(F.min("offset").alias("low"), F.max("offset").alias("high"))
+    # A context's answer, once for each row that a task has sent, not for each place.
+    answers = C.written(contexts.join(found, "id", "left").filter("first < last OR low IS NOT NULL").select(*context, F.col("first").alias("least"), "low", "high"), "hot-answers")
+    answered = rows.join(C.sized(answers, answers.count(), BROADCAST_CONTEXTS), context).select("before", F.octet_length("bytes").alias("size"), "members", "least", "low", "high")
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, counts = _flat(batch.column("members"))
+            members = flat.view(_MEMBER)
+            row = np.repeat(np.arange(batch.num_rows), counts // _MEMBER.itemsize)
+            before, size, least, low, high = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("before", "size", "least", "low", "high"))
+            later = members["rank"] > least
+            a = np.where(later, np.maximum(0, length - (size - before)), np.nan_to_num(low.astype(float), nan=length))
+            b = np.where(later, before, np.nan_to_num(high.astype(float), nan=-1))
+            gone = np.flatnonzero(b >= a)
+            pos = members["pos"][gone].astype(np.int64)
+            yield _intervals(members, gone, pos - b[gone].astype(np.int64), pos - a[gone].astype(np.int64) + length)
+
+    return answered.mapInArrow(told, _INTERVAL)
 
 
 def merged_runs(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
