@@ -30,9 +30,10 @@ def _found(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def plain_fractions(c: Column) -> Column:
-    for glyph, text in VULGAR_FRACTIONS.items():
-        c = F.replace(c, F.lit(glyph), F.lit(text))
-    return c
+    """Fraction characters as text; one pass over the few texts that have any."""
+    known = F.create_map(*(F.lit(x) for pair in VULGAR_FRACTIONS.items() for x in pair))
+    written_out = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(known, x), x)), "")
+    return F.when(c.rlike(f"[{''.join(VULGAR_FRACTIONS)}]"), written_out).otherwise(c)
 
 
 def quantity(c: Column) -> Column:
@@ -66,13 +67,14 @@ def yield_text(n: Column) -> Column:
     return F.concat(whole.cast("string"), F.when(whole == 1, F.lit(" serving")).otherwise(F.lit(" servings")))
 
 
-def yield_action(text: Column, amount: Column, servings: Column) -> Column:
+def yield_action(text: Column, amount: Column, servings: Column, told: Column | None = None) -> Column:
     """What would make a record's yield fields agree: struct(action, new_text, new_number), null if nothing.
 
-    set_text writes a text for a number, set_servings a number for a text, sync_qty copies the servings."""
+    set_text writes a text for a number, set_servings a number for a text, sync_qty copies the servings.  ``told``: the number
+    that the text tells, where it is a column already."""
     amount, servings = F.coalesce(amount, F.lit(0.0)), F.coalesce(servings, F.lit(0.0))
     number = F.when(amount != 0, amount).otherwise(servings)
-    told = yield_number(text)
+    told = yield_number(text) if told is None else told
     act = lambda name, new_text, n: F.struct(F.lit(name).alias("action"), new_text.alias("new_text"), n.cast("double").alias("new_number"))
     return (
         F.when(~given(text) & (number > 0), act("set_text", yield_text(number), number))

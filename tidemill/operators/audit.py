@@ -13,10 +13,13 @@ from ..functions.numbers import percent
 def link_counts(records: DataFrame, key: str, links: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """``records`` with, for each name of ``links`` (a link table with the same key, and its other column), how many
     distinct things each record is linked to.  Every link table shrinks to a row a record before it is joined,
-    so links don't multiply each other."""
+    so links don't multiply each other; a table of several links is read and joined once."""
+    tables: dict[int, tuple[DataFrame, list[tuple[str, str]]]] = {}
     for name, (table, other) in links.items():
-        counted = table.groupBy(key).agg(F.count_distinct(other).alias(name))
-        records = records.join(counted, key, "left").withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+        tables.setdefault(id(table), (table, []))[1].append((name, other))
+    for table, named in tables.values():
+        counted = table.groupBy(key).agg(*(F.count_distinct(other).alias(name) for name, other in named))
+        records = records.join(counted, key, "left").fillna(0, [name for name, _ in named])
     return records
 
 
@@ -60,8 +63,8 @@ def almost(scores: DataFrame, key: str, most: int, n: int = 50) -> DataFrame:
 
 
 def sampled(records: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` records, the same ones in every run: those of the smallest hashes."""
-    return records.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` records, the same ones in every run: those of the smallest hashes of seed and key."""
+    return records.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def estimated_missing(sample: DataFrame, present: Column, total: int) -> DataFrame:

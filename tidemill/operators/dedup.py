@@ -86,24 +86,27 @@ def similar_names(records: DataFrame, group: str, key: str, name: str, least: fl
     """Pairs of different names of a group whose matching ratio is ``least`` or more: group, a, b, similarity, one row for each
     pair of names (a < b), with the smallest keys that have them (a_key, b_key).
 
-    If 2m / (la + lb) >= r for m matched characters, at most (1 - r)(la + lb) are unmatched, so of as many segments
-    of the shorter name plus one some stands unbroken in the longer one, no further off than that: segments
-    and substrings of these places meet by equality, and only names that share one are compared."""
+    If 2m / (la + lb) >= r for m matched characters, turning one name into the other takes at most (1 - r)(la + lb)
+    insertions and deletions, each of which touches at most two of a name's pairs of characters.  So of the rarest
+    pairs of either name, a few more than that, some one is in both, at places no further apart; names meet by
+    those, and only names that share one are compared.  ``least`` is over 2/3."""
+    if least <= 2 / 3:
+        raise ValueError("similar names need a ratio over 2/3")
     names = records.filter(F.col(name) != "").groupBy(group, name).agg(F.min(key).alias("k")).select(group, F.col(name).alias("x"), "k", F.length(name).alias("n"))
-    slack = (1 - least) / least  # lb is at most la * (1 + 2 * slack) or so, and so is la's share of unmatched ones
-    most = F.floor(F.col("la") * 2 * slack).cast("int")  # unmatched characters, at most, for a shorter name of la characters
-    size = F.greatest(F.lit(1), F.floor(F.col("la") / (most + 1)).cast("int"))
-    short = names.withColumn("la", F.col("n")).withColumn("seg", F.explode(F.sequence(F.lit(0), most)))
-    short = short.select(group, F.col("x").alias("x1"), F.col("k").alias("k1"), "la", "seg", F.substr("x", F.col("seg") * size + 1, size).alias("part")).filter("part <> ''")
-    long = names.withColumn("la", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("n") * least / (2 - least)).cast("int")), F.col("n"))))
-    long = long.withColumn("seg", F.explode(F.sequence(F.lit(0), most)))
-    start = F.col("seg") * size + 1
-    long = long.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(1), start - most), F.least(F.col("n"), start + most))))
-    long = long.select(group, F.col("x").alias("x2"), F.col("k").alias("k2"), "la", "seg", F.substr("x", F.col("at"), size).alias("part")).distinct()
-    pairs = short.join(long, [group, "la", "seg", "part"]).filter("x1 <> x2").select(
-        group, F.least("x1", "x2").alias("a"), F.greatest("x1", "x2").alias("b"),
-        F.when(F.col("x1") < F.col("x2"), F.col("k1")).otherwise(F.col("k2")).alias("a_key"), F.when(F.col("x1") < F.col("x2"), F.col("k2")).otherwise(F.col("k1")).alias("b_key"),
-    ).distinct()
+    edits = F.floor(F.col("n") * (2 * (1 - least) / least)).cast("int")
+    wide = least > 0.8  # pairs of characters; below that they might all be touched, and single characters are taken
+    size = 2 if wide else 1
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n") - (size - 1)))
+    grams = names.select("*", F.posexplode(F.transform(places, lambda p: F.substr("x", p, F.lit(size)))).alias("at", "gram"))
+    # The same pair again in a name is another one, so that names with many of one kind can be told by how many.
+    nth = grams.groupBy(group, "x", "k", "n", "gram").agg(F.array_sort(F.collect_list("at")).alias("ats")).select(group, "x", "k", "n", "gram", F.posexplode("ats").alias("nth", "at"))
+    common = nth.groupBy(group, "gram", "nth").agg(F.count(F.lit(1)).alias("times"))
+    ranked = nth.join(common, [group, "gram", "nth"]).groupBy(group, "x", "k", "n").agg(F.array_sort(F.collect_list(F.struct("times", "gram", "nth", "at"))).alias("all"))
+    rare = ranked.withColumn("edits", edits).select(group, "x", "k", "n", "edits", F.explode(F.slice("all", F.lit(1), size * F.col("edits") + 1)).alias("g"))
+    rare = rare.select(group, "x", "k", "n", "edits", "g.gram", "g.nth", "g.at")
+    a, b = (rare.select(group, "gram", "nth", *(F.col(c).alias(f"{c}{i}") for c in ("x", "k", "n", "edits", "at"))) for i in (1, 2))
+    near = (F.abs(F.col("at1") - F.col("at2")) <= F.greatest("edits1", "edits2")) & (F.least("n1", "n2") * (2 - least) >= F.greatest("n1", "n2") * least)
+    pairs = a.join(b, [group, "gram", "nth"]).filter("x1 < x2").filter(near).select(group, F.col("x1").alias("a"), F.col("x2").alias("b"), F.col("k1").alias("a_key"), F.col("k2").alias("b_key")).distinct()
     return pairs.withColumn("ratio", matching_ratio("a", "b")).filter(F.col("ratio") >= least).withColumn("similarity", F.round("ratio", 4)).drop("ratio")
 
 
@@ -115,5 +118,5 @@ def first_by(rows: DataFrame, by: Sequence[str], order: Column, last: bool = Fal
 
 
 def newest(rows: DataFrame, by: str, order: Column, n: int) -> DataFrame:
-    """The ``n`` newest rows of each key."""
+    """The ``n`` newest rows of each key; tasks keep the ``n`` newest of theirs before the shuffle, so a large key is no burden."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(order))).filter(F.col("rank") <= n)

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import value_list
+
 # Fields by the names that filters use, and operators.
 FIELDS = {"recipecategory": "recipe_category", "recipe_category": "recipe_category", "tags": "tags", "tools": "tools", "recipeingredient.food": "recipe_ingredient.food"}
 OPERATORS = ("IN", "NOT IN", "CONTAINS ALL")
@@ -96,6 +98,11 @@ def unknown_values(filters: DataFrame, key: str, text: str, names: DataFrame) ->
     lists = F.regexp_extract_all(F.col(text), F.lit(f"(?i){clause}"), F.lit(2))
     parts = filters.select(key, F.explode(F.arrays_zip(fields.alias("field"), lists.alias("list"))).alias("c"))
     field = F.coalesce(*(F.when(F.lower("c.field") == k, F.lit(v)) for k, v in FIELDS.items()))
-    each = parts.select(key, field.alias("field"), F.explode(F.transform(F.split("c.list", ","), lambda v: F.regexp_replace(F.trim(v), "^[\"']+|[\"']+$", ""))).alias("value"))
+    each = parts.select(key, field.alias("field"), F.explode(value_list(F.col("c.list"))).alias("value"))
     known = names.select("field", F.lower(F.trim("name")).alias("k")).distinct()
     return each.filter("value <> ''").withColumn("k", F.lower(F.trim("value"))).join(known, ["field", "k"], "left_anti").select(key, "field", "value").distinct()
+
+
+def names_used(filters: DataFrame, text: str) -> DataFrame:
+    """Whether any filter refers to names, which need looking up: one row, needed."""
+    return filters.agg(F.coalesce(F.max(F.col(text).rlike(r"(?i)\b(?:recipe_category|recipeCategory|tags|tools)\.name\b")), F.lit(False)).alias("needed"))

@@ -57,8 +57,8 @@ def after_cursor(records: DataFrame, order: str, cursor: str | None) -> DataFram
     """Records after the cursor in ``order``; all of them if no record is at the cursor."""
     if cursor is None:
         return records
-    known = records.filter(F.col(order) == cursor).limit(1).select(F.lit(True).alias("known"))
-    return records.join(F.broadcast(known), F.lit(True), "left").filter(F.col("known").isNull() | (F.col(order) > cursor)).drop("known")
+    known = records.filter(F.col(order) == cursor).limit(1).select(F.lit(True)).scalar()
+    return records.filter(known.isNull() | (F.col(order) > cursor))
 
 
 def header_line(line: Column) -> Column:
@@ -103,6 +103,16 @@ def first_accepted(attempts: DataFrame, key: str, order: Sequence[str], least: f
     return good.groupBy(key).agg(F.min_by("strategy", rank).alias("strategy"))
 
 
+def attempts_log(attempts: DataFrame, key: str, order: Sequence[str], least: float = 0.8) -> DataFrame:
+    """key, strategy and outcome of the strategies that are tried until one is accepted: those in ``order`` up to it, or all of them."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("strategy"))
+    good = accepted(F.col("confidences"), least)
+    outcome = F.when(F.size(F.coalesce("confidences", F.array().cast("array<double>"))) == 0, "empty parser response").when(good, "accepted").otherwise("below confidence threshold")
+    rows = attempts.filter(rank > 0).select(key, "strategy", rank.alias("_rank"), outcome.alias("outcome"))
+    first = rows.groupBy(key).agg(F.min(F.when(F.col("outcome") == "accepted", F.col("_rank"))).alias("_first"))
+    return rows.join(first, key).filter("_first IS NULL OR _rank <= _first").select(key, "strategy", "outcome")
+
+
 def unprocessed(records: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Records that a checkpoint doesn't list."""
     return records.join(done.select(key).distinct(), key, "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import repaired_json
 from ..functions.text import split_names
+from ..sources.scratch import written
 from .ingest import appended
 
 _ENTRY = "slug string, categories string, category string, tags string, tag string, labels string, tools string, tool string"
@@ -48,15 +49,16 @@ def asked(rows: DataFrame, ask: Callable[[str], str | None]) -> DataFrame:
 
 def entries(replies: DataFrame) -> DataFrame:
     """slug, categories, tags and tools that replies give, under any of the names in use, as lists or as text
-    between commas; the first entry of a slug in a reply counts."""
-    found = replies.withColumn("e", F.explode(F.from_json(repaired_json("reply"), f"array<struct<{_ENTRY.replace(' string', ':string')}>>"))).filter("e.slug IS NOT NULL AND trim(e.slug) <> ''")
+    between commas; the first entry of a slug counts, of several replies the one that was asked with the smallest key."""
+    parsed = replies.select("keys", F.posexplode(F.from_json(repaired_json("reply"), f"array<struct<{_ENTRY.replace(' string', ':string')}>>")).alias("pos", "e"))
+    found = parsed.filter("e.slug IS NOT NULL AND trim(e.slug) <> ''")
 
     def listed(*names: str) -> Column:
         raw = F.coalesce(*(F.col(f"e.{n}") for n in names))
         return F.coalesce(F.from_json(raw, "array<string>"), split_names(raw))
 
     rows = found.select(
-        F.trim("e.slug").alias("slug"), F.monotonically_increasing_id().alias("_o"), listed("categories", "category").alias("categories"),
+        F.trim("e.slug").alias("slug"), F.struct(F.array_min(F.transform("keys", lambda k: k.cast("string"))).alias("k"), "pos").alias("_o"), listed("categories", "category").alias("categories"),
         listed("tags", "labels", "tag").alias("tags"), listed("tools", "tool").alias("tools"),
     )
     return rows.groupBy("slug").agg(F.min_by(F.struct("categories", "tags", "tools"), "_o").alias("x")).select("slug", "x.*")
@@ -80,13 +82,78 @@ def filed(records: DataFrame, found: DataFrame, allowed: DataFrame, column: str,
     return out.select("slug", result.alias(column), have.alias("_old")).filter(F.col(column) != F.col("_old")).drop("_old")
 
 
-def answered(records: DataFrame, key: str, name: str, parts: Column, ask: Callable[[str], str | None], instruction: str, size: int = 25) -> DataFrame:
-    """Entries for records: asked for in batches first, and one by one where a batch brought none."""
+def answered(records: DataFrame, key: str, name: str, parts: Column, ask: Callable[[str], str | None], instruction: str, size: int = 25, split: Mapping[str, str] | None = None) -> DataFrame:
+    """Entries for records: asked for in batches first, one by one where a batch brought none, and where that brings none
+    either by a question for each of ``split`` (field to instruction), whose answers are put together.  Replies are
+    written, so that no prompt is asked twice."""
     lines = prompt_lines(records, key, name, parts)
-    first = entries(asked(prompts(lines, key, size, instruction), ask))
-    left = lines.join(first.select(F.col("slug").alias(key)), key, "left_anti")
-    alone = left.select(F.array(F.col(key)).alias("keys"), F.concat(F.lit(instruction + "\n"), "line").alias("prompt"))
-    return first.unionByName(entries(asked(alone, ask)))
+    none = F.array().cast("array<string>")
+    found = written(entries(asked(prompts(lines, key, size, instruction), ask)).withColumn("rung", F.lit("batch")), "replies")
+    rest = lines.join(found.select(F.col("slug").alias(key)), key, "left_anti")
+    one_by_one = lambda rows, said: rows.select(F.array(F.col(key)).alias("keys"), F.concat(F.lit(said + "\n"), "line").alias("prompt"))
+    single = written(entries(asked(one_by_one(rest, instruction), ask)).withColumn("rung", F.lit("single")), "replies")
+    found = found.unionByName(single)
+    if split:
+        rest = rest.join(single.select(F.col("slug").alias(key)), key, "left_anti")
+        parts_told = None
+        for field, said in split.items():
+            own = entries(asked(one_by_one(rest, said), ask)).select("slug", *(F.col(c) if c == field else none.alias(c) for c in ("categories", "tags", "tools")))
+            parts_told = own if parts_told is None else parts_told.unionByName(own)
+        joined = parts_told.groupBy("slug").agg(*(F.flatten(F.collect_list(F.coalesce(c, none))).alias(c) for c in ("categories", "tags", "tools")))
+        joined = joined.filter(F.size("categories") + F.size("tags") + F.size("tools") > 0).withColumn("rung", F.lit("split"))
+        found = found.unionByName(written(joined, "replies"))
+    return found
+
+
+def filled(found: DataFrame, records: DataFrame, key: str, name: str, parts: Column, field: str, ask: Callable[[str], str | None], instruction: str, size: int = 25) -> DataFrame:
+    """Entries whose ``field`` (tags or tools) is empty with what a question for it alone brings; others as they are."""
+    empty = found.filter(F.size(F.coalesce(field, F.array().cast("array<string>"))) == 0).select(F.col("slug").alias(key))
+    lines = prompt_lines(records.join(empty, key, "left_semi"), key, name, parts)
+    more = written(entries(asked(prompts(lines, key, size, instruction), ask)).select("slug", F.col(field).alias("_more")), "replies")
+    have = F.size(F.coalesce(F.col(field), F.array().cast("array<string>"))) > 0
+    return found.join(more, "slug", "left").withColumn(field, F.when(have, F.col(field)).otherwise(F.coalesce("_more", field))).drop("_more")
+
+
+def targets(records: DataFrame, mode: str, arrays: Mapping[str, Column], replace: bool = False) -> DataFrame:
+    """Records to file: all of them if what they have is to be replaced, else those whose arrays are empty: ``mode`` is missing-categories,
+    missing-tags, missing-tools, or missing-either for any of them."""
+    if replace:
+        return records
+    empty = {k: F.size(F.coalesce(c, F.array().cast("array<string>"))) == 0 for k, c in arrays.items()}
+    wanted = F.lit(False)
+    for k, c in empty.items():
+        wanted = wanted | c if mode in ("missing-either", f"missing-{k}") else wanted
+    return records.filter(wanted)
+
+
+def target_mode(tags: bool = False, categories: bool = False, tools: bool = False) -> str:
+    """The mode that flags ask for; several or none of them ask for any."""
+    asked_for = [name for name, on in (("tags", tags), ("categories", categories), ("tools", tools)) if on]
+    return f"missing-{asked_for[0]}" if len(asked_for) == 1 else "missing-either"
+
+
+def without_cached(records: DataFrame, cache: DataFrame, key: str, arrays: Mapping[str, Column]) -> DataFrame:
+    """Records less those that the cache lists and whose arrays all hold something."""
+    complete = F.lit(True)
+    for c in arrays.values():
+        complete = complete & (F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0)
+    known = cache.select(F.col(key).alias("_key")).distinct().withColumn("_cached", F.lit(True))
+    return records.join(known, F.col(key) == F.col("_key"), "left").filter(F.col("_cached").isNull() | ~complete).drop("_key", "_cached")
+
+
+def counters(records: DataFrame, found: DataFrame, changed: DataFrame, key: str = "slug") -> DataFrame:
+    """The counts of a run in one row: records asked about, answered in batches, alone and by split questions, without an entry, entries
+    of unknown records, changed and unchanged ones, and values added (``changed``: slug, column, n)."""
+    told = records.select(F.col(key).alias("slug"), F.lit(1).alias("a")).distinct().join(found.select("slug", "rung"), "slug", "full_outer")
+    told = told.join(changed.groupBy("slug").pivot("column", ["categories", "tags", "tools"]).agg(F.sum("n")), "slug", "left").fillna(0, ["categories", "tags", "tools"])
+    known, answered_ = F.col("a").isNotNull(), F.col("rung").isNotNull()
+    moved = F.col("categories") + F.col("tags") + F.col("tools") > 0
+    return told.agg(
+        F.count_if(known).alias("recipes"), *(F.count_if(known & (F.col("rung") == r)).alias(f"by_{r}") for r in ("batch", "single", "split")),
+        F.count_if(known & ~answered_).alias("no_classification"), F.count_if(~known).alias("unknown_slugs"),
+        F.count_if(known & answered_ & moved).alias("updated"), F.count_if(known & answered_ & ~moved).alias("no_change"),
+        *(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{c}_added") for c in ("categories", "tags", "tools")),
+    )
 
 
 # --- lists that people pick from ----------------------------------------------------

@@ -76,6 +76,11 @@ def text_matches(records: DataFrame, rules: Sequence[Rule], key: str, name: str,
     return records.select(key, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(key, "hit.section", "hit.target").distinct()
 
 
+def step_matches(steps: DataFrame, rules: Sequence[Rule], key: str, text: str) -> DataFrame:
+    """key, section, target of the rules that any of a record's steps matches (one row a step)."""
+    return text_matches(steps, rules, key, text, text)
+
+
 def part_matches(parts: DataFrame, names: DataFrame, rules: Sequence[Rule], key: str, part: str, name: str) -> DataFrame:
     """key, section, target of the rules that match ``min_matches`` distinct parts of a record (links: key, part; names: part, name).
 

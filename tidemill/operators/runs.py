@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent
+from .ordering import numbered, previous, running
 
 
 def micros(ts: Column | str) -> Column:
@@ -38,18 +39,28 @@ def age_days(ts: Column, now: Column) -> Column:
 
 def over_limit(hits: DataFrame, key: str, ts: str, seconds: int, limit: int) -> DataFrame:
     """Each hit with n, the hits of its key in the ``seconds`` up to it, itself included, and blocked (n over the limit)."""
-    w = Window.partitionBy(key).orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return hits.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("blocked", F.col("n") > limit)
+    return within(hits, [key], ts, seconds, F.lit(1), "n", itself=True).withColumn("blocked", F.col("n") > limit)
+
+
+def within(rows: DataFrame, by: Sequence[str], ts: str, seconds: int, value: Column, name: str, itself: bool) -> DataFrame:
+    """``rows`` with the sum of ``value`` over their key's rows in the ``seconds`` up to them, or before them.
+
+    Time is cut into spans of that length; a row's sum reaches into its own span and the one before, so each row
+    is also dealt to the next span, and a key of very many rows is split by time."""
+    span = seconds * 1_000_000
+    timed = rows.withColumns({"_us": micros(ts), "_value": value})
+    dealt = timed.withColumn("_span", F.explode(F.array(F.floor(F.col("_us") / span), F.floor(F.col("_us") / span) + 1)))
+    w = Window.partitionBy(*by, "_span").orderBy("_us").rangeBetween(-span + 1, 0 if itself else -1)
+    summed = dealt.withColumn(name, F.coalesce(F.sum("_value").over(w), F.lit(0)).cast("long"))
+    return summed.filter(F.col("_span") == F.floor(F.col("_us") / span)).drop("_us", "_value", "_span")
 
 
 def blocked_logins(attempts: DataFrame, key: str, ts: str, failed: Column, seconds: int = 300, most: int = 5) -> DataFrame:
     """Each attempt with recent, the failures of its key in the ``seconds`` before it and since its last success, and blocked
     (as many as ``most``)."""
-    order = Window.partitionBy(key).orderBy(ts, "attempt")
-    epoch = F.coalesce(F.sum((~failed).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    since = attempts.withColumn("epoch", epoch)
-    w = Window.partitionBy(key, "epoch").orderBy(micros(ts)).rangeBetween(-seconds * 1_000_000 + 1, -1)
-    return since.withColumn("recent", F.coalesce(F.sum(failed.cast("int")).over(w), F.lit(0))).withColumn("blocked", F.col("recent") >= most).drop("epoch")
+    since = running(attempts, [key], [ts, "attempt"], (~failed).cast("int"), "_epoch")
+    since = since.withColumn("_epoch", F.col("_epoch") - (~failed).cast("int"))  # a success ends its own epoch
+    return within(since, [key, "_epoch"], ts, seconds, failed.cast("int"), "recent", itself=False).withColumn("blocked", F.col("recent") >= most).drop("_epoch")
 
 
 def firings(schedules: DataFrame, key: str, start: str, seconds: str, until: Column) -> DataFrame:
@@ -89,22 +100,20 @@ def log_summary(events: DataFrame, by: str) -> DataFrame:
 
 def sessions(rows: DataFrame, by: str, order: str, mark: Column) -> DataFrame:
     """``rows`` with session, the number of marks seen so far in their ``by``, and the rows before the first mark in session 0."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("session", F.sum(mark.cast("int")).over(w).cast("long"))
+    return running(rows, [by], [order], mark.cast("int"), "session").withColumn("session", F.col("session").cast("long"))
 
 
 def islands(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """Runs of equal values: by, island (from 1), value, n, first and last of ``order``."""
-    w = Window.partitionBy(by).orderBy(order)
-    changed = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("long")
-    marked = rows.withColumn("_new", changed).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    last = previous(rows.select(by, order, value), [by], [order], value, "_last")
+    changed = F.col("_last").isNull() | ~F.col(value).eqNullSafe(F.col("_last.v"))
+    marked = running(last.withColumn("_new", changed.cast("int")).drop("_last"), [by], [order], F.col("_new"), "island").withColumn("island", F.col("island").cast("long"))
     return marked.groupBy(by, "island", value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
 
 
 def batches(rows: DataFrame, by: str, order: str, size: int) -> DataFrame:
     """``rows`` with batch, from 0, of ``size`` rows of each ``by``."""
-    w = Window.partitionBy(by).orderBy(order)
-    return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    return numbered(rows, [by], [order], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("long"))
 
 
 def settings(*layers: tuple[str, DataFrame]) -> DataFrame:

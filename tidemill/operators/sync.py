@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dedup import first_by
+from .ordering import numbered, rises
 
 
 def plan(existing: DataFrame, desired: DataFrame, key: str, compare: Sequence[str], replace: bool = False) -> DataFrame:
@@ -24,15 +25,19 @@ def to_create(existing: DataFrame, desired: DataFrame, key: str) -> DataFrame:
     return desired.join(existing.select(key).distinct(), key, "left_anti")
 
 
+def shared(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of ``left`` whose key is in ``right`` too."""
+    return left.join(right.select(key).distinct(), key, "left_semi")
+
+
 def difference(before: DataFrame, after: DataFrame, key: str, compare: Sequence[str]) -> DataFrame:
     """Rows added, removed and changed, the k-th of a key matched with the k-th: key, occurrence, change.
 
     Occurrences are numbered by the compared columns, so that the same rows meet in any order."""
-    def numbered(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy(key).orderBy(*compare)
-        return df.select(key, F.row_number().over(w).alias("occurrence"), F.struct(*compare).alias(name))
+    def occurrences(df: DataFrame, name: str) -> DataFrame:
+        return numbered(df.select(key, *compare), [key], list(compare), "occurrence").select(key, F.col("occurrence").cast("int").alias("occurrence"), F.struct(*compare).alias(name))
 
-    both = numbered(before, "old").join(numbered(after, "new"), [key, "occurrence"], "full_outer")
+    both = occurrences(before, "old").join(occurrences(after, "new"), [key, "occurrence"], "full_outer")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "updated")
     return both.select(key, "occurrence", change.alias("change")).filter("change IS NOT NULL")
 
@@ -40,10 +45,9 @@ def difference(before: DataFrame, after: DataFrame, key: str, compare: Sequence[
 def order_changed(before: DataFrame, after: DataFrame, key: str, position: str) -> DataFrame:
     """Whether keys in both stand in another order: one row, changed.
 
-    Each side's keys are ranked among the shared ones; the order is the same if all ranks are."""
+    The order is the same if, along the old positions of the shared keys, the new ones never fall."""
     shared = before.select(key, F.col(position).alias("p")).join(after.select(key, F.col(position).alias("q")), key)
-    chained = shared.groupBy().agg(F.array_sort(F.collect_list(F.struct("p", "q"))).alias("x"))  # lists that a person orders
-    return chained.select((F.transform("x", lambda e: e["q"]) != F.array_sort(F.transform("x", lambda e: e["q"]))).alias("changed"))
+    return rises(shared, "p", "q").select((~F.col("rises")).alias("changed"))
 
 
 def upserted(table: DataFrame, changes: DataFrame, by: Sequence[str], order: str, overwrite: bool = True) -> DataFrame:
@@ -86,9 +90,8 @@ def linked_once(links: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def positions(items: DataFrame, name: str, position: str) -> DataFrame:
-    """``items`` with new_position 1..n by position and name; those without a position last.  For lists that a person orders."""
-    w = Window.orderBy(F.asc_nulls_last(position), name)
-    return items.withColumn("new_position", F.row_number().over(w))
+    """``items`` with new_position 1..n by position and name; those without a position last."""
+    return numbered(items, [], [F.asc_nulls_last(position), F.asc(name)], "new_position")
 
 
 def repaired_slugs(records: DataFrame, key: str, slug: str, expected: str) -> DataFrame:

@@ -59,6 +59,11 @@ def filed(records: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return records.agg(F.count(F.lit(1)).alias("total"), *(F.coalesce(F.count_if(~F.coalesce(c, F.lit(False))), F.lit(0)).alias(f"without_{k}") for k, c in checks.items()))
 
 
+def unused(names: DataFrame) -> DataFrame:
+    """names and unused: how many names (with usage) there are and how many nothing is filed under."""
+    return names.agg(F.count(F.lit(1)).alias("names"), F.count_if(F.col("usage") == 0).alias("unused"))
+
+
 def duplicate_names(items: DataFrame, name: str, index: str) -> DataFrame:
     """Items whose name (whatever its case) an earlier one has, and items without a name: index, error, first_index."""
     key = F.lower(F.trim(F.coalesce(name, F.lit(""))))

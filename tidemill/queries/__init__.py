@@ -1,6 +1,6 @@
 """Registered queries: each applies operators to the test tables; most have the same in SQL beside them."""
 
-from . import audits, filing, logs, merges, names, rules, syncs, takeup
+from . import audits, entities, filing, landing, logs, merges, names, rules, syncs, takeup, views
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "audits", "filing", "logs", "merges", "names", "rules", "syncs", "takeup"]
+__all__ = ["QUERIES", "SQL", "audits", "entities", "filing", "landing", "logs", "merges", "names", "rules", "syncs", "takeup", "views"]

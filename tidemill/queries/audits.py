@@ -55,7 +55,8 @@ def almost_complete(spark, d):
     return audit.almost(_scores(spark, d), "o_orderkey", 6).select("o_orderkey", "score", F.array_join("missing", ",").alias("missing"))
 
 
-@query()
+@query("""WITH s AS (SELECT * FROM orders ORDER BY md5('0:' || o_orderkey), o_orderkey LIMIT 200), c AS (SELECT count(*) AS sampled, count(*) FILTER (o_totalprice > 250000) AS present FROM s)
+    SELECT sampled, present, round_even(present * 100.0::DOUBLE / greatest(sampled, 1), 1) AS pct, CAST(floor((1 - present / greatest(sampled, 1)) * (SELECT count(*) FROM orders)) AS BIGINT) AS estimated_missing FROM c""")
 def sampled_estimate(spark, d):
     """A sample of 200 records by hash, and how many records would lack what the sample lacks."""
     orders = t(spark, d, "orders")

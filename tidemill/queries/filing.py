@@ -17,6 +17,11 @@ def stub(prompt: str) -> str | None:
     return "Here you are:\n```json\n[" + ", ".join(told) + "]\n```"
 
 
+def tags_only(prompt: str) -> str:
+    """A model that knows the same tags for everything."""
+    return "[" + ", ".join(f'{{"slug": "{line.split(":")[0][2:]}", "tags": ["METAL", "nowhere"]}}' for line in prompt.split("\n")[1:]) + "]"
+
+
 def _asked(spark, d):
     part = t(spark, d, "part").withColumn("slug", F.col("p_partkey").cast("string"))
     return part, replies.answered(part, "slug", "p_name", F.split("p_name", " "), stub, "File these:")

@@ -77,9 +77,9 @@ def units_alias_merge(spark, d):
     return dedup.alias_plan(units, aliases, "n_nationkey", "key", by_name)
 
 
-@query("""SELECT alias, array_to_string(list_sort(list(DISTINCT canonical)), ',') AS canonicals FROM (SELECT p_name AS alias, p_type AS canonical FROM part WHERE p_size <= 2) GROUP BY 1 HAVING count(DISTINCT canonical) > 1""")
+@query("""SELECT alias, array_to_string(list_sort(list(DISTINCT canonical)), ',') AS canonicals FROM (SELECT p_name AS alias, p_type AS canonical FROM part) GROUP BY 1 HAVING count(DISTINCT canonical) > 1""")
 def alias_conflicts(spark, d):
-    aliases = t(spark, d, "part").filter("p_size <= 2").select(F.col("p_name").alias("alias"), F.col("p_type").alias("canonical"))
+    aliases = t(spark, d, "part").select(F.col("p_name").alias("alias"), F.col("p_type").alias("canonical"))
     return dedup.alias_conflicts(aliases).select("alias", F.array_join("canonicals", ",").alias("canonicals"))
 
 

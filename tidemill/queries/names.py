@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
+from ..operators import yields
 from .registry import query, t
 
 #: Names as scrapers leave them, made from parts.
@@ -17,8 +18,7 @@ def _raw(spark, d):
 
 
 # SQL for clean_title on these names.
-_SMALL = "'a','an','the','and','but','or','nor','for','yet','so','at','by','in','of','on','to','up','as','from','into','with','over','via','per','vs'"
-_ACRONYM = "'bbq','blt','gf','diy','pb','pbj','xo','hk','thc','vgf','ac'"
+_SMALL, _ACRONYM = (", ".join(f"'{w}'" for w in words) for words in (text.SMALL_WORDS, text.ACRONYMS))
 _CLEAN = rf"""array_to_string(list_transform(ws, lambda w, i:
     CASE WHEN c[i] = '' THEN w ELSE a[i] || CASE WHEN string_split(c[i], '''')[1] IN ({_ACRONYM}) THEN upper(string_split(c[i], '''')[1]) || substr(c[i], length(string_split(c[i], '''')[1]) + 1)
         WHEN i > 1 AND i < len(ws) AND c[i] IN ({_SMALL}) THEN c[i]
@@ -52,16 +52,14 @@ def slugify(spark, d):
     return t(spark, d, "part").select("p_partkey", text.plain_slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
 
 
-@query(f"SELECT doc_id, {_SLUG.format('left(text, 400)')} AS slug, length(text) AS n FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, {_SLUG.format('text')} AS slug, length(text) AS n FROM documents")
 def document_slugs(spark, d):
-    docs = t(spark, d, "documents").filter("lang = 'en'")
-    return docs.select("doc_id", text.plain_slug(F.left("text", F.lit(400))).alias("slug"), F.length("text").cast("long").alias("n"))
+    return t(spark, d, "documents").select("doc_id", text.plain_slug(F.col("text")).alias("slug"), F.length("text").cast("long").alias("n"))
 
 
-@query(r"SELECT doc_id, lower(trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'))) AS key FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query(r"SELECT doc_id, lower(trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g'))) AS key FROM documents")
 def name_keys(spark, d):
-    docs = t(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return docs.select("doc_id", text.name_key(F.substring_index("text", "\n", 1)).alias("key"))
+    return t(spark, d, "documents").select("doc_id", text.name_key(F.substring_index("text", "\n", 1)).alias("key"))
 
 
 @query()
@@ -70,7 +68,7 @@ def folded_keys(spark, d):
     return t(spark, d, "documents").select("doc_id", text.folded_key(F.substring_index("text", "\n", 1)).alias("key"))
 
 
-@query()
+@query(r"""SELECT doc_id, left(regexp_replace(regexp_replace(replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[^\x00-\x7F]', '', 'g'), chr(39), ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 250) AS slug FROM documents""")
 def latin_slugs(spark, d):
     """Slugs of the documents' first lines, without accents."""
     return t(spark, d, "documents").select("doc_id", text.latin_slug(F.substring_index("text", "\n", 1)).alias("slug"))
@@ -119,7 +117,7 @@ def yield_parse(spark, d):
 def yield_gap_actions(spark, d):
     key, size = F.col("p_partkey"), F.col("p_size")
     amount, servings = F.when(key % 3 == 0, 0.0).otherwise(size * 0.5), F.when((key % 6).isin(0, 1), 0.0).otherwise(size * 1.0)
-    return _yields(spark, d).select("p_partkey", numbers.yield_action(F.col("y"), amount, servings).alias("a")).filter("a IS NOT NULL").select("p_partkey", "a.*")
+    return yields.planned(_yields(spark, d).withColumns({"amount": amount, "servings": servings}), "p_partkey", "y", "amount", "servings")
 
 
 @query(r"""WITH s AS (SELECT p_partkey, p_retailprice / 10 AS sec FROM part), r AS (SELECT *, round_even(sec, 1) AS tenths, CAST(round_even(sec, 0) AS BIGINT) AS whole FROM s)
@@ -168,7 +166,8 @@ _REPLIES = [
 ]
 
 
-@query()
+@query(r"""SELECT * FROM (VALUES (1, '[{"slug": "a", "tags": ["x"]}]'), (2, '[{"slug": "b"}]'), (3, '[{"slug": "c", "tags": ["x"]}]'), (4, NULL), (5, '[{"slug": "d"}]'), (6, '[{"slug": "e"}]'), (7, '[{"slug": "g"}]'),
+    (8, NULL), (9, NULL), (10, '[{"slug": "h", "url": "https://x.org/a, b: c"}]')) v(id, json)""")
 def json_repair(spark, d):
     """Model replies in every kind of disorder, as JSON; null where nothing can be saved."""
     return spark.createDataFrame(_REPLIES, "id int, reply string").select("id", numbers.repaired_json("reply").alias("json"))

@@ -56,12 +56,12 @@ def rules_from_taxonomy(spark, d):
     return tools.unionByName(R.rules_from(t(spark, d, "nation"), "n_name", "text_categories", "name"))
 
 
-@query("""WITH r AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END AS target FROM part WHERE p_size <= 4
+@query("""WITH r AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN upper(p_name) ELSE p_name END AS target FROM part
         UNION ALL SELECT 'ghost tag'), k AS (SELECT DISTINCT p_name AS name FROM part WHERE p_name LIKE '%o%')
     SELECT target, name AS known, CASE WHEN name IS NULL THEN 'drop' WHEN name <> target THEN 'rename' ELSE 'keep' END AS action FROM r LEFT JOIN k ON lower(target) = lower(name)""")
 def rule_targets(spark, d):
     part = t(spark, d, "part")
-    wanted = part.filter("p_size <= 4").select(F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("target")).distinct()
+    wanted = part.select(F.when(F.col("p_size") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("target")).distinct()
     wanted = wanted.unionByName(spark.createDataFrame([("ghost tag",)], "target string"))
     return R.resolved(wanted, part.filter("p_name LIKE '%o%'").select(F.col("p_name").alias("name"))).select("target", "known", "action")
 
@@ -96,7 +96,10 @@ def filter_contains_all(spark, d):
     return _filtered(spark, d, 'tags.name CONTAINS ALL ["A", "R"] AND tools.id NOT IN [5, \'6\']')
 
 
-@query()
+@query(r"""WITH n AS (SELECT lower(n_name) AS name, CAST(n_nationkey AS VARCHAR) AS id FROM nation)
+    SELECT 0 AS id, 'tags.name IN ["NATION_1", "nation_2"]' AS filter, 'tags.id IN ["' || (SELECT id FROM n WHERE name = 'nation_1') || '", "' || (SELECT id FROM n WHERE name = 'nation_2') || '"]' AS compiled, '' AS errors
+    UNION ALL SELECT 1, 'tags.name contains  all ["NATION_3"] AND tools.name IN ["x"]', 'tags.id CONTAINS ALL ["' || (SELECT id FROM n WHERE name = 'nation_3') || '"] AND tools.name IN ["x"]', ''
+    UNION ALL SELECT 2, 'tags.name NOT IN ["NATION_1", "nowhere"]', 'tags.name NOT IN ["NATION_1", "nowhere"]', '' UNION ALL SELECT 3, 'recipeCategory.id IN ["1"]', 'recipeCategory.id IN ["1"]', ''""")
 def filters_compiled(spark, d):
     """Saved filters with names, and as they read with ids."""
     ids = {"tags": {r["n_name"].lower(): str(r["n_nationkey"]) for r in t(spark, d, "nation").collect()}}  # a small table that names nations

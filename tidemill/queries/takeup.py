@@ -12,7 +12,7 @@ _NAMES = [
     (-6, "Soup", "privacy-policy", ""), (-7, "Stew", "stew", "Sorry: no instructions found here"), (-8, "Pie", "pie", "bake it"), (-9, "Best ever desserts", "d", ""), (-10, "Restored chair", "restored", ""),
 ]
 _LIKE = lambda c, words: " OR ".join(f"contains({c}, '{w}')" for w in words)
-_JUNK = rf"""WITH p AS (SELECT doc_id AS id, lower(left(text, 200)) AS n, lower(source) AS s, '' AS i FROM documents
+_JUNK = rf"""WITH p AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS n, lower(source) AS s, '' AS i FROM documents
         UNION ALL SELECT * FROM (VALUES {', '.join(f"({a}, '{b.lower()}', '{c.lower()}', '{e.lower()}')" for a, b, c, e in _NAMES)}) v(id, n, s, i)),
     c AS (SELECT id, CASE WHEN regexp_matches(n, '{ingest.HOW_TO}') THEN 'how_to' WHEN regexp_matches(n, '{ingest.LISTICLE}') THEN 'listicle'
         WHEN regexp_matches(n, '{ingest.DIGEST}') OR regexp_matches(replace(s, '-', ' '), '{ingest.DIGEST}') THEN 'digest'
@@ -20,7 +20,7 @@ _JUNK = rf"""WITH p AS (SELECT doc_id AS id, lower(left(text, 200)) AS n, lower(
 
 
 def _junk(spark, d):
-    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(200)).alias("name"), F.col("source").alias("slug"), F.lit("").alias("instructions"))
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.col("source").alias("slug"), F.lit("").alias("instructions"))
     pages = docs.unionByName(spark.createDataFrame(_NAMES, "id long, name string, slug string, instructions string"))
     return pages.select("id", ingest.junk_class(F.col("name"), F.col("slug"), F.col("instructions")).alias("reason"))
 
@@ -67,14 +67,14 @@ def checkpoint_skip(spark, d):
     return ingest.unprocessed(t(spark, d, "documents"), t(spark, d, "labels"), "doc_id").select("doc_id")
 
 
-_LINES = r"""WITH l AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), ['For the sauce', 'Filling:', '  2  cups   of it', 'to serve 4', ''])) AS x FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+_LINES = r"""WITH l AS (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), ['For the sauce', 'Filling:', '  2  cups   of it', 'to serve 4', ''])) AS x FROM documents),
     c AS (SELECT doc_id, trim(regexp_replace(x, '\s+', ' ', 'g')) AS x FROM l),
     h AS (SELECT *, x = '' OR (len(string_split(x, ' ')) <= 8 AND NOT regexp_matches(x, '\d') AND (x LIKE '%:' OR regexp_matches(lower(x), '^(for|to)\s'))) AS header FROM c)"""
 
 
 @query(f"{_LINES} SELECT doc_id, count(*) FILTER (NOT header) AS kept, count(*) FILTER (header) AS dropped FROM h GROUP BY 1")
 def ingredient_lines(spark, d):
-    docs = t(spark, d, "documents").filter(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    docs = t(spark, d, "documents")
     lines = F.concat(F.split("text", "\n"), F.array(*map(F.lit, ["For the sauce", "Filling:", "  2  cups   of it", "to serve 4", ""])))
     kept = F.size(ingest.clean_lines(lines))
     return docs.select("doc_id", kept.cast("long").alias("kept"), (F.size(lines) - kept).cast("long").alias("dropped"))

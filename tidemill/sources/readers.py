@@ -6,11 +6,13 @@ import json
 from collections.abc import Iterator
 from importlib import import_module
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..operators.ordering import running
+
 #: A record as services list it; times are free text, yields numbers.
 RECORD = (
     "id string, slug string, name string, description string, recipeYield string, recipeYieldQuantity double, recipeServings double, "
@@ -27,9 +29,10 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def catalog(spark: SparkSession, path: str, schema: str = RECORD) -> DataFrame:
-    """Records of landed JSON: a list, one a line, or pages with their rows under ``items``; rows that don't fit become null rows and are dropped."""
-    raw = spark.read.text(path, wholetext=True)
+def catalog(spark: SparkSession, path: str, schema: str = RECORD, whole: bool = True) -> DataFrame:
+    """Records of landed JSON: lists, or pages with their rows under ``items``, one a file (or one a line, or a record a line, unless ``whole``);
+    rows that don't fit become null rows and are dropped."""
+    raw = spark.read.text(path, wholetext=whole)
     lists = raw.select(F.coalesce(
         F.from_json("value", f"struct<items:array<struct<{_colons(schema)}>>>")["items"],
         F.from_json("value", f"array<struct<{_colons(schema)}>>"),
@@ -90,11 +93,29 @@ def env_lines(lines: DataFrame, text: str = "value", keep: list[str] | None = No
     return lines.filter(F.contains(F.col(text), F.lit("=")) & ~F.trim(text).startswith("#") & (key != "")).select(*(keep or []), key.alias("key"), bare.alias("value"))
 
 
+def service_settings(lines: DataFrame, keep: list[str], text: str, order: str, names: dict[str, str], override: str | None = None) -> DataFrame:
+    """The columns to ``keep``, key and value of the settings in ``names`` (as files call them, to ours), from lines of env files and of compose
+    files: with or without ``- `` and export, KEY=VALUE or KEY: VALUE less its comment, quotes dropped, the last of a key.  A value for
+    ``override`` takes the place of all others of its ``keep``."""
+    line = F.regexp_replace(F.regexp_replace(F.trim(text), "^- +", ""), "^(?i)export ", "")
+    equals = F.contains(line, F.lit("="))
+    key = F.when(equals, F.substring_index(line, "=", 1)).otherwise(F.substring_index(line, ":", 1))
+    value = F.when(equals, F.substr(line, F.instr(line, "=") + 1)).otherwise(F.regexp_replace(F.substr(line, F.instr(line, ":") + 1), " #.*$", ""))
+    bare = lambda c: F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", "")
+    rows = lines.filter((equals | F.contains(line, F.lit(":"))) & ~F.trim(text).startswith("#")).select(*keep, F.col(order).alias("_o"), F.upper(bare(key)).alias("_k"), bare(value).alias("value"))
+    known = F.coalesce(*(F.when(F.col("_k") == k, F.lit(v)) for k, v in names.items()))
+    rows = rows.withColumn("key", known).filter("key IS NOT NULL AND value <> ''").groupBy(*keep, "key").agg(F.max_by("value", "_o").alias("value"))
+    if override is None:
+        return rows
+    whole = rows.filter(F.col("key") == override).select(*keep).distinct()
+    return rows.filter(F.col("key") == override).unionByName(rows.filter(F.col("key") != override).join(whole, keep, "left_anti"))
+
+
 def blocks(lines: DataFrame, order: str, text: str = "value", by: list[str] | None = None, marker: str = "__CFG_FILE__:") -> DataFrame:
     """The blocks that marker lines begin: path and body, the first block of a path only."""
-    w = Window.partitionBy(*(by or [])).orderBy(order)
     line = F.trim(text)
-    marked = lines.withColumn("_m", line.startswith(marker)).withColumn("block", F.sum(F.col("_m").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = lines.withColumn("_m", line.startswith(marker)).withColumn("_all", F.lit(0))
+    marked = running(marked, by or ["_all"], [order], F.col("_m").cast("int"), "block")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("_m"), F.struct(F.col(order).alias("o"), line.alias("t"))))), lambda x: x["t"]), "\n")
     found = marked.filter("block > 0").groupBy(*(by or []), "block").agg(F.max(F.when(F.col("_m"), F.trim(F.substr(line, F.lit(len(marker) + 1))))).alias("path"), body.alias("body"))
     return found.filter("path <> ''").groupBy(*(by or []), "path").agg(F.min_by("body", "block").alias("body"))
@@ -112,3 +133,20 @@ def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+
+
+def report_summary(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """available and the columns of a report that was written as JSON before: one row, with nulls if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.range(1).select(F.lit(False).alias("available"), *(F.lit(None).cast("string").alias(c) for c in columns))
+    return spark.read.json(path).limit(1).select(F.lit(True).alias("available"), *columns)
+
+
+def managed_files(spark: SparkSession, root: str, files: list[tuple[str, str, str]]) -> DataFrame:
+    """name, path, exists and expected type of the files (name, path, type) that a root should hold."""
+    rows = []
+    for name, path, kind in files:  # a few names
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{path}")
+        rows.append((name, path, at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at), kind))
+    return spark.createDataFrame(rows, "name string, path string, exists boolean, expected_type string")

@@ -43,3 +43,13 @@ def to_rotate(files: DataFrame, by: str, stamp: str, keep: int) -> DataFrame:
     """Files that rotation deletes: all but the newest ``keep`` of each ``by``."""
     kept = newest(files, by, F.desc(stamp), keep).drop("rank")
     return files.join(kept.select(by, stamp), [by, stamp], "left_anti")
+
+
+def success_log(lines: DataFrame, text: str, path: str) -> None:
+    """Lines as text files."""
+    lines.select(F.col(text).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def checkpointed(done: DataFrame, key: str, path: str) -> None:
+    """Adds the keys that have been dealt with to the checkpoint that :func:`tidemill.operators.ingest.unprocessed` reads."""
+    done.select(key).distinct().write.mode("append").parquet(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,21 +14,22 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def limiter(events: DataFrame, key: str, ts: str, seconds: int, limit: int, grace: str = "10 minutes") -> DataFrame:
     """Each event of the stream with n, the hits of its key in the ``seconds`` up to it, and blocked (n over the limit).
 
-    A key's state is the times in its window, no more than the window holds, and goes when the watermark (``grace`` behind
-    the newest event) has passed it."""
+    An event that comes late counts the hits that were before it, not those after.  A key's state is the times that a
+    late event could still count, and goes when the watermark (``grace`` behind the newest event) has passed it."""
+    span = seconds * 1_000_000
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        held = list(state.get[0]) if state.exists else []
-        new = pd.concat(list(batches)).sort_values("us")["us"].tolist()
-        counts = []
-        for t in new:
-            held = [x for x in held if x > t - seconds * 1_000_000] + [t]
-            counts.append(len(held))
-        state.update((held,))
-        state.setTimeoutTimestamp(max(held[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        held = np.array(state.get[0] if state.exists else [], np.int64)
+        new = np.sort(pd.concat(list(batches))["us"].to_numpy())
+        held = np.sort(np.concatenate([held, new]))
+        counts = np.searchsorted(held, new, "right") - np.searchsorted(held, new - span, "right")
+        newest = int(held[-1])
+        held = held[held > state.getCurrentWatermarkMs() * 1000 - span]
+        state.update((held.tolist(),))
+        state.setTimeoutTimestamp(max(newest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": name[0], "us": new, "n": counts})
 
     kind = events.schema[key].dataType.simpleString()
