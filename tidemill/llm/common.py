@@ -3,8 +3,6 @@ vectorised word splitting and hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,39 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written  # noqa: F401  the operators' scratch tables
+
 #: Bytes of text that are turned into arrays at once in a task.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 # Odd multipliers of the polynomial hashes (golden-ratio and splitmix style constants).
 _P = 0x9E3779B97F4A7C15
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
-_MASK64 = (1 << 64) - 1
-
-
-# --- scratch tables -------------------------------------------------------
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; in local tests, where it is unset, a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: later jobs neither repeat its work nor
-    depend on the executors that did it.  The table goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, rows: int, most: int) -> DataFrame:

@@ -1,6 +1,6 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-Documents are dealt to senders by their id.  A sender sorts short fingerprints of its texts, cuts
+Documents are dealt to senders by their id and text.  A sender sorts short fingerprints of its texts, cuts
 them by owner and sends each owner one Golomb-Rice coded list; the owner answers with one bit for
 each value: does it occur more than once?  Only texts whose bit is set are then shuffled, and
 compared byte for byte by grouping on the text itself.  Equal texts collapse to one row in every
@@ -48,35 +48,33 @@ def golomb_decode(code: bytes) -> np.ndarray:
     return np.cumsum((quotients << np.uint64(k)) + rest, dtype=np.uint64)
 
 
-def _sender_lists(fingerprints: np.ndarray, owners: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A sender's distinct fingerprints in order, how often it has each, and where each owner's begin."""
-    values, counts = np.unique(fingerprints, return_counts=True)
+def _sender_lists(prints: pa.Table, owners: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A sender's distinct fingerprints in order, whether it has each several times, and where each owner's begin."""
+    values = prints.column("fp").to_numpy().astype(np.uint64)
+    order = np.argsort(values)
     cuts = (np.arange(owners + 1, dtype=object) * (1 << bits) + owners - 1) // owners
-    return values, counts, np.searchsorted(values, np.array([min(int(c), 2**63 - 1) for c in cuts], np.uint64))
+    return values[order], prints.column("several").to_numpy()[order], np.searchsorted(values[order], np.array([min(int(c), 2**63 - 1) for c in cuts], np.uint64))
 
 
-def exact_duplicates(docs: DataFrame, slack: int = SLACK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when their bytes are.  A null text counts as empty, so null and empty texts
-    form one group.  Of a group the row with the largest doc_id stays; a null doc_id is below any
-    other, and rows that repeat the largest doc_id of their group are all marked as kept.  An empty
-    table gives no rows; further columns are ignored."""
+def copied_texts(docs: DataFrame, slack: int = SLACK, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """The texts that several rows have: text_sha256, keep_id, group_size; and how many they are, at most."""
     spark = docs.sparkSession
     owners = shuffle_partitions(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bits = min(62, max(12, int(docs.count()).bit_length() + slack))
     fp = F.shiftrightunsigned(F.xxhash64("text"), 64 - bits)
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(owners)).cast("int").alias("sender"), fp.alias("fp"))
+    # Repeated ids, or none, don't meet in one sender, and equal texts of one sender are one row before the shuffle.
+    dealt = docs.select(F.pmod(F.xxhash64("doc_id", fp), F.lit(owners)).cast("int").alias("sender"), fp.alias("fp"))
+    dealt = dealt.groupBy("sender", "fp").agg((F.count(F.lit(1)) > 1).alias("several"))
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        values, counts, cuts = _sender_lists(table.column("fp").to_numpy().astype(np.uint64), owners, bits)
+        values, several, cuts = _sender_lists(table, owners, bits)
         full = np.flatnonzero(np.diff(cuts))
         return pa.table({
             "owner": pa.array(full, pa.int32()),
             "sender": pa.array([key[0].as_py()] * len(full), pa.int32()),
             "code": pa.array([golomb_encode(values[cuts[o]:cuts[o + 1]]) for o in full], pa.binary()),
-            "several": pa.array([np.packbits(counts[cuts[o]:cuts[o + 1]] > 1).tobytes() for o in full], pa.binary()),
+            "several": pa.array([np.packbits(several[cuts[o]:cuts[o + 1]]).tobytes() for o in full], pa.binary()),
         })
 
     def own(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -90,7 +88,7 @@ def exact_duplicates(docs: DataFrame, slack: int = SLACK, broadcast_rows: int =
         return pa.table({"sender": table.column("sender"), "owner": table.column("owner"), "marks": pa.array(marks, pa.binary())})
 
     def heed(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
-        values, _, cuts = _sender_lists(left.column("fp").to_numpy().astype(np.uint64), owners, bits)
+        values, _, cuts = _sender_lists(left, owners, bits)
         marked = np.zeros(len(values), bool)
         for owner, marks in zip(right.column("owner").to_pylist(), right.column("marks").to_pylist()):
             marked[cuts[owner]:cuts[owner + 1]] = np.unpackbits(np.frombuffer(marks, np.uint8))[: cuts[owner + 1] - cuts[owner]]
@@ -108,12 +106,23 @@ def exact_duplicates(docs: DataFrame, slack: int = SLACK, broadcast_rows: int =
         .groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    members = docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    return groups, n
+
+
+def exact_duplicates(docs: DataFrame, slack: int = SLACK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when their bytes are.  A null text counts as empty, so null and empty texts
+    form one group.  Of a group the row with the largest doc_id stays; a null doc_id is below any
+    other, and rows that repeat the largest doc_id of their group are all marked as kept.  An empty
+    table gives no rows; further columns are ignored."""
+    groups, n = copied_texts(docs, slack, broadcast_rows)
+    members = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
     return members.join(sized(groups, n, broadcast_rows), "text_sha256", "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.col("group_size").isNull().__or__(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
     )
 
@@ -121,6 +130,9 @@ def exact_duplicates(docs: DataFrame, slack: int = SLACK, broadcast_rows: int =
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
 
-    A kept doc_id keeps every one of its rows whose text isn't a copy of another document's."""
-    gone = written(exact_duplicates(docs).filter("not kept").select("doc_id").distinct(), "copies")
-    return docs.join(sized(gone, gone.count(), BROADCAST_ROWS), "doc_id", "left_anti")
+    Each row is judged by its own text and doc_id: rows of one doc_id with different texts are judged
+    each for itself, and of rows that tie for the largest doc_id of a text all stay, without a doc_id too."""
+    groups, n = copied_texts(docs)
+    groups = groups.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_several"))
+    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(sized(groups, n, BROADCAST_ROWS), "_sha", "left")
+    return rows.filter(F.col("_several").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)

@@ -20,9 +20,9 @@ from . import common as C
 from . import crf
 from .toxicity import held_out_rows, training_rows
 
-#: Labelled documents of each class, at most (about), that the model is fitted on, and the bytes of the longest of them.
+#: Labelled documents of each class, at most (about), that the model is fitted on, and the characters of a longer one that are learned from.
 TRAIN_DOCS = 800
-TRAIN_BYTES = 40_000
+TRAIN_CHARS = 40_000
 THRESHOLD = 0.5
 #: Ways to cut a feature's range; each part is a weight of its own.
 PARTS = 8
@@ -145,6 +145,20 @@ def train(texts: pa.Array, good: np.ndarray, prior: float) -> Model:
     return Model(cuts, weights, chain, crf.logistic(np.column_stack([odds, np.ones(len(odds))]), good.astype(float), balance))
 
 
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS):
+    """The model, broadcast."""
+    table, prior = training_rows(docs, labels, held_out_rows(3, 1), "quality", per_class, TRAIN_CHARS)
+    texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
+    return docs.sparkSession.sparkContext.broadcast(train(texts, table.column("y").to_numpy() == 1, prior))
+
+
+def scores(m: Model, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' scores, their lines' marginals, and the rows' bounds in the lines."""
+    found, size, firsts = line_features(data, bounds)
+    p, _ = crf.marginals(m.weights[0] + m.weights[slots(found, m.cuts, firsts)].sum(axis=1), firsts, m.chain)
+    return 1 / (1 + np.exp(-(m.scale[0] * weighted(p, size, firsts) + m.scale[1]))), p, firsts
+
+
 def line_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score, n_lines, lines (the probability of
     good for each line that isn't empty).
@@ -154,20 +168,15 @@ def line_quality(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS
     scores are the labelled share of good documents.  Null labels are not learned from.  Repeated
     rows are judged each for itself; further columns are ignored."""
     held_out = held_out_rows(3, 1)
-    table, prior = training_rows(docs, labels, held_out, "quality", per_class, TRAIN_BYTES)
-    table = table.combine_chunks()
-    texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-    known = docs.sparkSession.sparkContext.broadcast(train(texts, table.column("y").to_numpy() == 1, prior))
+    known = fitted(docs, labels, per_class)
     docs = docs.select("doc_id", held_out.alias("held_out"), "text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
         for rows, data, bounds in C.chunks(batches):
-            found, size, firsts = line_features(data, bounds)
-            p, _ = crf.marginals(m.weights[0] + m.weights[slots(found, m.cuts, firsts)].sum(axis=1), firsts, m.chain)
-            z = m.scale[0] * weighted(p, size, firsts) + m.scale[1]
+            score, p, firsts = scores(m, data, bounds)
             yield pa.record_batch({
-                "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "score": pa.array(1 / (1 + np.exp(-z))),
+                "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "score": pa.array(score),
                 "n_lines": pa.array(np.diff(firsts).astype(np.int64)), "lines": pa.ListArray.from_arrays(firsts.astype(np.int32), pa.array(p)),
             })
 
@@ -183,6 +192,12 @@ def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score ``threshold`` or more, with all their columns."""
-    bad = C.written(line_quality(docs, labels).filter(F.col("score") < threshold).select("doc_id").distinct(), "low-quality")
-    return docs.join(C.sized(bad, bad.count(), 500_000), docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns.  A row's own text decides, whatever its
+    doc_id is and which others have it; null and empty texts score as in :func:`line_quality`."""
+    known = fitted(docs, labels)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, bounds in C.chunks(batches):
+            yield rows.filter(pa.array(scores(known.value, data, bounds)[0] >= threshold))
+
+    return docs.mapInArrow(judge, docs.schema)

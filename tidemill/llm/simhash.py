@@ -95,6 +95,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
 def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
     """The bits in m groups of near equal size: each begins with the pair of free bits that
     correlate most and takes the bit that correlates most with those it has."""
+    sample = sample if len(sample) else np.zeros(1, np.uint64)
     bits = ((sample[:, None] >> np.arange(64, dtype=np.uint64)[None, :]) & np.uint64(1)).astype(np.float64)
     spread = bits.std(axis=0)
     bits = (bits - bits.mean(axis=0)) / np.where(spread > 0, spread, 1)
@@ -250,9 +251,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(C.sized(labels, n, BROADCAST_ROWS), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
-    gone = C.written(near_duplicates(docs, words, distance).filter("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(C.sized(gone, gone.count(), BROADCAST_ROWS), "doc_id", "left_anti")
