@@ -1,3 +1,4 @@
+import random
 import re
 
 from tidemill.llm import license_scan as S
@@ -25,16 +26,62 @@ def test_base_places(spark):
     assert "apache-2.0" in got[4].labels and "gpl-3" in got[7].labels and "mit" in got[6].labels and "cc-by-nc-sa-4.0" in got[10].labels and got[8].labels == ""
 
 
-def test_every_rule_needs_its_keyword():
+def sample(parsed, rng):
+    """A text that an expression of literals, classes, groups, alternatives and repetitions matches."""
+    out = ""
+    for op, x in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "IN":
+            out += chr(x[0][1])
+        elif op == "ANY":
+            out += "z"
+        elif op == "MAX_REPEAT":
+            out += "".join(sample(x[2], rng) for _ in range(rng.choice([x[0], min(x[1], x[0] + 1)])))
+        elif op == "SUBPATTERN":
+            out += sample(x[3], rng)
+        elif op == "BRANCH":
+            out += sample(rng.choice(x[1]), rng)
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_every_match_has_one_of_its_rules_keywords():
+    rng = random.Random(0)
     rules = S.build_rules()
-    assert len(rules) > 300
+    assert len(rules) > 200 and len({r.pattern.pattern for r in rules}) == len(rules)
     for r in rules:
-        assert r.keyword in r.pattern.pattern.replace("share ?alike", "sharealike")
+        parsed = re._parser.parse(r.pattern.pattern)
+        for _ in range(30):
+            text = sample(parsed, rng)
+            assert r.pattern.fullmatch(text) and set(r.keywords) & set(text.split(" ")), (r, text)
 
 
-def test_suppression_against_all_pairs():
-    import random
+LABELLED = {
+    "Licensed under GPLv3": "gpl-3", "GPLv2+ applies": "gpl-2", "under the terms of the LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "this is MPLv2 code": "mpl-2.0", "GPL3": "gpl-3", "Apache2 license": "apache-2.0",
+    "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: LGPL-2.1-only": "lgpl-2.1", "GNU GPL v2 or any later version": "gpl-2", "GNU General Public License, version 3": "gpl-3",
+    "released into the public domain": "public-domain", "Licence: BSD": "bsd", "the BSD 3-Clause licence": "bsd-3-clause", "CC BY-SA 4.0": "cc-by-sa-4.0", "http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd", "Mozilla Public License 2.0": "mpl-2.0",
+    "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0", "MIT licensed": "mit", "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0", "Unauthorized copying of this file, via any medium is strictly prohibited": "proprietary",
+}
+PROSE = [
+    "This tool is used by the ruby community and provided by php.", "Published by MIT in 2020.", "The Apache helicopters flew over the boost pump.", "He studied at MIT and then at the university of Illinois.",
+    "Vim is an editor; curl fetches pages.", "The Python Software Foundation met in spring.", "General public opinion on library books is good.", "Creative commons in the village were grazed by sheep.",
+    "Our elastic bands come in two sizes.", "The zlib code was written in C.", "A driving license is needed here.", "The eclipse was seen by the European Union's public.", "Open software is a common goal.", "The isc met; cc: all.",
+]
 
+
+def test_labels_and_prose(spark):
+    rows = [*LABELLED, *PROSE]
+    got = {r.doc_id: r for r in S.license_report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(rows):
+        labels = got[i].labels.split(",")
+        assert LABELLED[t] in labels if t in LABELLED else labels == [""] and got[i].score == 0, (t, labels)
+
+
+def test_suppression_against_all_pairs():
     rng = random.Random(1)
     for _ in range(200):
         found = []

@@ -1,8 +1,8 @@
 """License detection by ordered signature rules.
 
-Rules are regular expressions over a document's lower-cased words joined by single spaces.  Each
-is gated by keywords: it only runs on documents that hold one of them, which word hashes tell
-without running any expression.  Of overlapping detections, one that lies inside another of higher
+Rules are hand-written regular expressions (license_rules) over a document's lower-cased words joined
+by single spaces.  Each is gated by keywords: it only runs on documents that hold one of them, which
+word hashes tell without running any expression.  Of overlapping detections, one that lies inside another of higher
 rank (priority, then length, then order) is suppressed.
 """
 
@@ -19,123 +19,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .license_rules import SIGNATURES
 
 #: The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Label, keyword, the name as an expression over words, versions in words.
-FAMILIES = [
-    ("mit", "mit", "mit", ""),
-    ("mit-0", "mit", "mit no attribution", ""),
-    ("apache", "apache", "apache(?: software)?", "1 0|1 1|2 0|2"),
-    ("gpl", "gpl", "(?:gnu )?gpl", "1|2|3|2 0|3 0"),
-    ("gpl", "general", "(?:gnu )?general public", "1|2|3|2 0|3 0"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", "2|2 0|2 1|3|3 0"),
-    ("lgpl", "lesser", "(?:gnu )?lesser general public", "2 1|3|3 0"),
-    ("lgpl", "library", "(?:gnu )?library general public", "2|2 0"),
-    ("agpl", "agpl", "(?:gnu )?agpl", "1|3|3 0"),
-    ("agpl", "affero", "(?:gnu )?affero general public", "1|3|3 0"),
-    ("gfdl", "documentation", "(?:gnu )?free documentation", "1 1|1 2|1 3"),
-    ("bsd", "bsd", "bsd", ""),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|simplified bsd|2 clause bsd)", ""),
-    ("bsd-3-clause", "bsd", "(?:bsd 3 clause|new bsd|revised bsd|modified bsd|3 clause bsd)", ""),
-    ("bsd-4-clause", "bsd", "(?:bsd 4 clause|original bsd|4 clause bsd)", ""),
-    ("0bsd", "0bsd", "0bsd", ""),
-    ("isc", "isc", "isc", ""),
-    ("mpl", "mpl", "mpl", "1 0|1 1|2 0"),
-    ("mpl", "mozilla", "mozilla public", "1 0|1 1|2 0"),
-    ("epl", "epl", "epl", "1 0|2 0"),
-    ("epl", "eclipse", "eclipse public", "1 0|2 0"),
-    ("cddl", "cddl", "cddl", "1 0|1 1"),
-    ("cddl", "development", "common development and distribution", "1 0|1 1"),
-    ("cpl", "common", "common public", "1 0"),
-    ("eupl", "eupl", "eupl", "1 1|1 2"),
-    ("eupl", "european", "european union public", "1 1|1 2"),
-    ("artistic", "artistic", "artistic", "1 0|2 0"),
-    ("zlib", "zlib", "zlib(?: libpng)?", ""),
-    ("boost", "boost", "boost(?: software)?", "1 0"),
-    ("bsl", "bsl", "bsl", "1 0|1 1"),
-    ("bsl", "business", "business source", "1 1"),
-    ("sspl", "side", "server side public", "1"),
-    ("elastic", "elastic", "elastic", "2 0"),
-    ("unlicense", "unlicense", "unlicense", ""),
-    ("wtfpl", "wtfpl", "wtfpl", "2"),
-    ("cc0", "cc0", "cc0", "1 0"),
-    ("cc-by", "cc", "cc by", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-sa", "cc", "cc by sa", "1 0|2 0|2 5|3 0|4 0"),
-    ("cc-by-nd", "cc", "cc by nd", "2 0|3 0|4 0"),
-    ("cc-by-nc", "cc", "cc by nc", "2 0|2 5|3 0|4 0"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa", "2 0|2 5|3 0|4 0"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd", "2 0|2 5|3 0|4 0"),
-    ("cc-by", "creative", "creative commons attribution", "2 0|3 0|4 0"),
-    ("cc-by-sa", "creative", "creative commons attribution share ?alike", "2 0|3 0|4 0"),
-    ("cc-by-nc", "creative", "creative commons attribution non ?commercial", "2 0|3 0|4 0"),
-    ("cc", "creative", "creative commons", ""),
-    ("odbl", "odbl", "odbl", "1 0"),
-    ("odbl", "database", "open (?:data commons open )?database", "1 0"),
-    ("ofl", "ofl", "ofl", "1 1"),
-    ("ofl", "font", "(?:sil )?open font", "1 1"),
-    ("psf", "python", "python software foundation", "2"),
-    ("postgresql", "postgresql", "postgresql", ""),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa", ""),
-    ("upl", "universal", "universal permissive", "1 0"),
-    ("openssl", "openssl", "openssl", ""),
-    ("php", "php", "php", "3 0|3 01"),
-    ("ruby", "ruby", "ruby", ""),
-    ("vim", "vim", "vim", ""),
-    ("x11", "x11", "x11", ""),
-    ("ms-pl", "microsoft", "microsoft public", ""),
-    ("ms-rl", "microsoft", "microsoft reciprocal", ""),
-    ("osl", "open", "open software", "2 1|3 0"),
-    ("afl", "academic", "academic free", "2 1|3 0"),
-]
-#: Texts that say something of the terms without a family's name.
-PLAIN = [
-    ("public-domain", "public", "(?:released|placed|dedicated) (?:in|into|to) the public domain", 50),
-    ("public-domain", "domain", "public domain", 20),
-    ("proprietary", "rights", "all rights reserved", 30),
-    ("proprietary", "proprietary", "proprietary and confidential", 40),
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy", 70),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose", 70),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 70),
-    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license", 70),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain", 70),
-    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 70),
-]
-_WORD_CHARS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
-
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keyword: str  # a word without which the expression can't match
+    keywords: tuple[str, ...]  # words without all of which the expression can't match
     pattern: re.Pattern
     priority: int  # of 100; also the detection's score in percent
 
 
-def build_rules() -> list[Rule]:
-    """For each family: its identifier after a tag, a grant, its name with and without a version,
-    its name before "license", each in the order of their strength."""
-    bound = lambda p: re.compile(rf"(?<!\S)(?:{p})(?!\S)")
-    given = "(?:licensed|released|distributed|available|published|provided|covered|governed|used) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?"
+#: What stands in the signatures for an expression of several words.
+SHORT = {
+    "LICENSE": "licen[sc]e",
+    "UNDER": "(?:(?:licen[sc]ed|released|distributed|available|published|provided|covered|governed|open sourced|dual licen[sc]ed) under|subject to|under the terms of|under the conditions of) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?",
+    "VER": "(?: (?:version )?(?:v ?)?|v)?",
+    "LATER": "(?:only|or (?:at your option )?(?:any )?later(?: version)?)",
+}
+
+
+def build_rules(signatures: str = SIGNATURES) -> list[Rule]:
+    """The rules in the order of their lines."""
     rules = []
-    for label, keyword, name, versions in FAMILIES:
-        full = f"(?:the )?{name}(?: licen[sc]e)?"
-        for version in versions.split("|") if versions else ():
-            tagged = f"{label}-{version.replace(' ', '.').removesuffix('.0') if label in ('gpl', 'lgpl', 'agpl') else version.replace(' ', '.')}"
-            numbered = f"{name}(?: licen[sc]e)? (?:version |v )?v?{version}"
-            rules += [
-                Rule(tagged, keyword, bound(f"spdx licen[sc]e identifier {numbered}(?: only| or later)?"), 100),
-                Rule(tagged, keyword, bound(f"{given}{numbered}(?: or (?:any )?later(?: version)?)?"), 90),
-                Rule(tagged, keyword, bound(f"{numbered}(?: or (?:any )?later(?: version)?)?"), 60),
-            ]
-        rules += [
-            Rule(label, keyword, bound(f"spdx licen[sc]e identifier {name}"), 95),
-            Rule(label, keyword, bound(f"{given}{full}"), 80),
-            Rule(label, keyword, bound(f"{name} licen[sc]e"), 50),
-            Rule(label, keyword, bound(f"licen[sc]ed? (?:under |is |type )?(?:the )?{name}"), 40),
-        ]
-    rules += [Rule(label, keyword, bound(pattern), priority) for label, keyword, pattern, priority in PLAIN]
+    for line in signatures.strip().splitlines():
+        label, priority, keywords, pattern = line.split(" ", 3)
+        for short, meant in SHORT.items():
+            pattern = pattern.replace(short, meant)
+        rules.append(Rule(label, tuple(keywords.split("|")), re.compile(rf"(?<!\S)(?:{pattern})(?!\S)"), int(priority)))
     return rules
 
 
@@ -181,7 +95,8 @@ def license_detections(docs: DataFrame, rules: list[Rule] | None = None) -> Data
     rules = build_rules() if rules is None else rules
     by_keyword: dict[str, list[int]] = {}
     for k, rule in enumerate(rules):
-        by_keyword.setdefault(rule.keyword, []).append(k)
+        for word in rule.keywords:
+            by_keyword.setdefault(word, []).append(k)
     gates = sorted({*by_keyword, *(p.split()[0] for p in BASE)})
     phrases = [(p.split(), label) for p, label in BASE.items()]
 
