@@ -4,7 +4,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemill.llm.pii import pii_report
+from tidemill.llm.pii import pii_report, pii_spans
 
 
 def luhn(d):
@@ -79,3 +79,17 @@ def test_validators_and_context(spark):
 
 def test_empty_table(spark):
     assert pii_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_many_matches_of_one_text(spark):
+    """More matches than a block of sums has."""
+    text = " ".join(f"a{i}@b.org und 10.0.0.{i % 256}" for i in range(1500))
+    got = pii_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    at = 0
+    for i, (e, ip) in enumerate(zip(got.email, got.ip)):
+        mail, host = f"a{i}@b.org", f"10.0.0.{i % 256}"
+        assert (e.start, e.end) == (at, at + len(mail))
+        at += len(mail) + 5
+        assert (ip.start, ip.end) == (at, at + len(host))
+        at += len(host) + 1
+    assert len(got.email) == len(got.ip) == 1500

@@ -9,7 +9,7 @@ groups are bounded or replaced by classes with a lookahead.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,6 @@ class Kind:
     base: float = 0.5  # score before the context's share
     context: str = ""  # words whose nearness adds to the score
     needs_context: bool = False
-    extra: dict = field(default_factory=dict)
 
 
 def _digits(c: Column) -> Column:
@@ -73,6 +72,26 @@ BASE_KINDS = ["email", "ip", "card", "phone"]
 #: Characters before and after a span that count as near, and what a context word near a span adds to its score.
 NEAR = 40
 CONTEXT_SHARE = 0.1
+#: Matches of a text whose lengths are summed up one by one.
+BLOCK = 256
+
+
+def _let(value: Column, of) -> Column:
+    """``of`` a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _starts(lengths: Column) -> Column:
+    """Where pieces of such lengths begin, laid end to end.  Sums run within blocks and over the blocks, so that no array is copied
+    for each piece."""
+    def within(n: Column, begin: Column) -> Column:
+        return F.transform(n, lambda x, i: F.element_at(begin, F.floor(i / BLOCK).cast("int") + 1) + F.aggregate(F.slice(n, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), F.lit(0), lambda a, y: a + y))
+
+    def begun(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(n, b * BLOCK + 1, F.lit(BLOCK)), F.lit(0), lambda a, y: a + y))
+        return F.aggregate(blocks, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    return _let(lengths, lambda n: _let(begun(n), lambda begin: within(n, begin)))
 
 
 def _spans(text: Column, kind: Kind) -> Column:
@@ -82,14 +101,10 @@ def _spans(text: Column, kind: Kind) -> Column:
     the pieces and matches before it."""
     matches = F.regexp_extract_all(text, F.lit(f"({kind.pattern})"), F.lit(1))
     pieces = F.split(text, kind.pattern, -1)
-    walked = F.aggregate(
-        F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("m")))).alias("out"),
-        ),
-    )["out"]
+    paired = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("m")))
+    walked = _let(paired, lambda z: F.zip_with(z, _starts(F.transform(z, lambda x: x["gap"] + x["n"])), lambda x, at: F.struct(
+        (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["m"].alias("m"),
+    )))
     near = lambda s: F.concat_ws(" ", F.substr(text, F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR))), F.substr(text, s["end"] + 1, F.lit(NEAR)))
     said = lambda s: near(s).rlike(rf"(?i)(?<![A-Za-z])(?:{kind.context})") if kind.context else F.lit(False)
     counted = F.filter(walked, lambda s: kind.valid(s["m"])) if kind.valid else walked
