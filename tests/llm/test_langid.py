@@ -5,6 +5,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 from tidemill.llm import langid as L
 
@@ -93,3 +94,30 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert L.language_report(none).count() == 0
     assert L.language_report(spark.createDataFrame([(1, "words", None)], "doc_id long, text string, lang string")).first().lang_pred == "und"
+
+
+def test_each_language_has_its_share_of_contexts(spark):
+    """A language of few rows keeps contexts beside one of many, and grams seen once count."""
+    rng = random.Random(3)
+    rows = [("a", text(rng, "a", 400)) for _ in range(20)] + [("b", text(rng, "b", 15))]
+    grams_ = L.gram_counts(spark.createDataFrame(rows, "lang string, text string"), 3)
+    few, every = L.kept_grams(grams_, 60).toArrow(), L.kept_grams(grams_, 10**6).toArrow()
+    assert every.num_rows == grams_.count() and 1 in every.column("n").to_pylist()
+    kept = {(c >> 8, k) for c, k in zip(few.column("gram").to_pylist(), few.column("length").to_pylist()) if k > 1}
+    assert 30 <= len(kept) <= 60
+    for lang in "ab":
+        counts = defaultdict(int)
+        for g, k, n in zip(*(every.filter(pa.compute.equal(every.column("lang"), lang)).column(c).to_pylist() for c in ("gram", "length", "n"))):
+            if k > 1:
+                counts[g >> 8, k] += n
+        best = sorted(counts, key=lambda x: (-counts[x], x[1], x[0]))[:30]
+        assert set(best) <= kept
+    model = L.build(few, 3)
+    size = int(model.classes.max()) + 1
+    assert np.allclose(np.exp2(-model.bits.astype(float)).reshape(-1, size, 2).sum(axis=1), 1, atol=1e-4)
+
+
+def test_ties_go_to_the_first_language(spark):
+    rows = [(i, "abc abd", lang) for i, lang in enumerate(["y", "x"] * 30)] + [(100, "abc", None), (101, "12 !", "x"), (None, "abd", None)]
+    got = {r.doc_id: r for r in L.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got[100].lang_pred in ("x", "y") and got[101].lang_pred == "und" and got[101].score == 0 and not got[None].held_out

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -25,10 +25,11 @@ from . import common as C
 TRAIN_DOCS = 1_500
 #: Bytes of the longest context.
 ORDER = 4
-#: Contexts of all languages together, at most; the rarest go first.
+#: Contexts of all languages together, at most, in equal shares: of each language those that it sees most.  The automaton's tables
+#: take 12 bytes for each state, symbol and language on the driver while they are made, and 4 in the tasks.
 STATES = 24_000
-#: Grams that leave an executor have been seen so often in the task's share, at least.
-LEAST_COUNT = 2
+#: Languages up to which their counts are broadcast.
+BROADCAST_LANGUAGES = 10_000
 BLOCK = 64
 
 
@@ -54,7 +55,8 @@ def training_rows(docs: DataFrame, held_out: Column, per_language: int = TRAIN_D
     counts = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n"))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < share * (1 << 20)
-    return fit.join(F.broadcast(counts.limit(10_000)), "lang").filter(drawn).select("lang", "text")  # a language has a name; thousands of them have not been seen
+    counts = C.written(counts, "languages")
+    return fit.join(C.sized(counts, counts.count(), BROADCAST_LANGUAGES), "lang").filter(drawn).select("lang", "text")
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -76,11 +78,24 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
                         values, counts = np.unique(whole, return_counts=True)
                         yield pa.record_batch({"lang": pa.array([lang] * len(values)), "gram": pa.array(values), "length": pa.array(np.full(len(values), k + 1, np.int32)), "n": pa.array(counts.astype(np.int64))})
 
-    return rows.mapInArrow(count, "lang string, gram long, length int, n long").groupBy("lang", "gram", "length").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_COUNT)
+    return rows.mapInArrow(count, "lang string, gram long, length int, n long").groupBy("lang", "gram", "length").agg(F.sum("n").alias("n"))
 
 
-def build(grams: pa.Table, order: int = ORDER, states: int = STATES) -> Model:
-    """The automaton of the trees that the grams span."""
+def kept_grams(grams: DataFrame, states: int = STATES) -> DataFrame:
+    """All grams, those seen once too, of the contexts that each language sees most; ``states`` contexts are shared out among the languages."""
+    grams = C.written(grams, "grams")
+    quota = max(1, states // max(1, grams.select("lang").distinct().count()))
+    context = F.shiftright("gram", 8)
+    seen = grams.filter("length > 1").groupBy("lang", context.alias("context"), "length").agg(F.sum("n").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "length", "context"))
+    kept = seen.withColumn("rank", rank).filter(F.col("rank") <= quota).select("context", "length").distinct()
+    longer = grams.withColumn("context", context).join(F.broadcast(kept), ["context", "length"], "left_semi").select(grams.columns)  # at most ``states`` rows
+    return grams.filter("length = 1").unionByName(longer)
+
+
+def build(grams: pa.Table, order: int = ORDER, states: int | None = None) -> Model:
+    """The automaton of the trees that the grams span, or of the ``states`` most frequent of their contexts."""
+    states = grams.num_rows if states is None else states
     languages = sorted(set(grams.column("lang").to_pylist()))
     lang = np.searchsorted(np.array(languages), np.array(grams.column("lang").to_pylist(), str)) if languages else np.zeros(0, np.int64)
     gram, length, n = (grams.column(c).to_numpy() for c in ("gram", "length", "n"))
@@ -169,7 +184,7 @@ def code_lengths(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarr
     return found
 
 
-def language_report(docs: DataFrame, per_language: int = TRAIN_DOCS, order: int = ORDER) -> DataFrame:
+def language_report(docs: DataFrame, per_language: int = TRAIN_DOCS, order: int = ORDER, states: int = STATES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score (the share of the
     best language when code lengths turn back into probabilities), n_bits (its code length).
 
@@ -178,7 +193,8 @@ def language_report(docs: DataFrame, per_language: int = TRAIN_DOCS, order: int
     learned from.  A null doc_id isn't held out.  Equal code lengths go to the first language by
     name.  Repeated rows are judged each for itself; further columns are ignored."""
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
-    model = build(gram_counts(training_rows(docs, held_out, per_language), order).toArrow(), order)
+    grams = kept_grams(gram_counts(training_rows(docs, held_out, per_language), order), states)
+    model = build(grams.toArrow(), order)
     known = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
 
