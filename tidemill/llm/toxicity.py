@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import crf
 
-#: Labelled documents of each class, at most (about), that the model is fitted on, and the bytes of the longest of them.
+#: Labelled documents of each class, at most (about), that the model is fitted on, and the characters of a longer one that are learned from.
 TRAIN_DOCS = 1_500
-TRAIN_BYTES = 40_000
+TRAIN_CHARS = 40_000
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6)
 #: Forms with weights of their own beside those tied to toxic documents: the ones in most documents.
@@ -31,8 +31,10 @@ COMMON_FORMS = 4_000
 #: Documents of each class, by a hash of doc_id, that the field's weights are fitted on, besides one for each tied form that
 #: those lack; which forms are tied to toxic ones is told by all of the sample.
 FIT_DOCS = 600
-#: Slots of the table that finds a form's weight, as a power of two.
-SLOT_BITS = 21
+#: Slots of the table that narrows down where a form is, as a power of two.
+SLOT_BITS = 18
+#: Rows up to which the labels of the sample are broadcast.
+BROADCAST_ROWS = 500_000
 #: Likelihood ratio from which a form counts as tied to toxic documents, and the share of its documents that are toxic.
 TIED = 20.0
 PURE = 0.9
@@ -49,11 +51,12 @@ class Model:
     chain: crf.Chain
     scale: np.ndarray  # of what evidence() gives
 
-    def table(self) -> np.ndarray:
-        """For each slot the place of a form that falls there, counted from 1; forms in front win."""
-        found = np.zeros(1 << SLOT_BITS, np.int32)
-        found[(self.forms >> np.uint64(64 - SLOT_BITS)).astype(np.int64)[::-1]] = np.arange(len(self.forms), 0, -1, dtype=np.int32)
-        return found
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The forms in order, their places counted from 1, and where each slot's forms begin."""
+        order = np.argsort(self.forms)
+        known = self.forms[order]
+        slots = np.searchsorted(known >> np.uint64(64 - SLOT_BITS), np.arange((1 << SLOT_BITS) + 1, dtype=np.uint64)).astype(np.int32)
+        return known, order + 1, slots
 
 
 def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -67,13 +70,22 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, firsts, forms
 
 
-def places(forms: list[np.ndarray], known: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
+def places(forms: list[np.ndarray], table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[np.ndarray]:
     """Each form's place among the known ones, counted from 1; 0 if it isn't known."""
-    padded = np.concatenate([np.zeros(1, np.uint64), known])
+    known, place, slots = table
     found = []
     for h in forms:
-        at = table[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-        found.append(np.where(padded[at] == h, at, 0))
+        out = np.zeros(len(h), np.int64)
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, end = slots[slot], slots[slot + 1]
+        left = np.flatnonzero(at < end)
+        while len(left):
+            i = at[left]
+            hit = known[i] == h[left]
+            out[left[hit]] = place[i[hit]]
+            at[left] += 1
+            left = left[~hit & (i + 1 < end[left])]
+        found.append(out)
     return found
 
 
@@ -160,7 +172,7 @@ def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
     data, bounds = _cut(data, bounds, fit)
     toxic = toxic[fit]
     _, _, firsts, forms = features(data, bounds)
-    at = places(forms, model.forms, model.table())
+    at = places(forms, model.table())
     row = np.repeat(np.arange(len(toxic)), np.diff(firsts))
     labels = (np.logical_or.reduce([(x > 0) & (x <= len(tied)) for x in at]) & toxic[row]).astype(np.int64)
     size = 1 + len(model.forms)
@@ -183,8 +195,9 @@ def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, column: str, per_class: int, longest: int) -> tuple[pa.Table, float]:
-    """About ``per_class`` labelled rows of each class that aren't held out, chosen by a hash of doc_id (text, y, drawn),
-    and the share of class 1 among all of them.  Of a document with several labels the largest counts."""
+    """About ``per_class`` labelled rows of each class that aren't held out, chosen by a hash of doc_id (text, y, drawn) and in its
+    order, and the share of class 1 among all of them.  Of a document with several labels the largest counts; of a
+    text longer than ``longest`` characters a piece of that length, by another hash."""
     known = labels.filter(F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.max(column).alias("y"))
     known = known.filter(~held_out)
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -192,9 +205,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, column:
     keep = F.lit(False)
     for y, n in counts.items():
         keep = keep | ((F.col("y") == y) & (drawn < int(min(1.0, per_class / n) * (1 << 24))))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known.filter(keep).limit(4 * per_class)), "doc_id")
-    rows = rows.filter(F.col("text").isNotNull() & (F.octet_length("text") <= longest)).select("text", F.col("y").cast("int").alias("y"), drawn.alias("drawn"))
-    return rows.toArrow(), counts.get(1, 0) / max(1, sum(counts.values()))
+    chosen = C.written(known.filter(keep), "labelled")
+    rows = docs.select("doc_id", "text").join(C.sized(chosen, chosen.count(), BROADCAST_ROWS), "doc_id").filter(F.col("text").isNotNull())
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(13)), F.greatest(F.lit(1), F.length("text") - longest + 1)).cast("int")
+    table = rows.select(F.substr("text", start, F.lit(longest)).alias("text"), F.col("y").cast("int").alias("y"), drawn.alias("drawn")).toArrow()
+    return table.sort_by([("drawn", "ascending"), ("text", "ascending")]).combine_chunks(), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def held_out_rows(n: int, remainder: int) -> Column:
@@ -210,8 +225,7 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS)
     classes all scores are the labelled share of toxic documents.  Null labels are not learned
     from.  Repeated rows are judged each for itself; further columns are ignored."""
     held_out = held_out_rows(4, 2)
-    table, prior = training_rows(docs, labels, held_out, "toxic", per_class, TRAIN_BYTES)
-    table = table.sort_by("drawn").combine_chunks()
+    table, prior = training_rows(docs, labels, held_out, "toxic", per_class, TRAIN_CHARS)
     texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
     model = train(texts, table.column("y").to_numpy() == 1, prior)
     known = docs.sparkSession.sparkContext.broadcast(model)
@@ -226,7 +240,7 @@ def toxic_spans(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS)
             for rows, data, bounds in C.chunks([whole.set_column(at, "text", pc.utf8_lower(whole.column(at)))]):
                 starts, ends, firsts, forms = features(data, bounds)
                 scores = np.full(len(starts), m.weights[0], np.float32)
-                for x in places(forms, m.forms, table):
+                for x in places(forms, table):
                     scores += weights[x]
                 p, _ = crf.marginals(scores, firsts, m.chain)
                 z = evidence(p, firsts) @ m.scale
