@@ -97,6 +97,20 @@ SQL: dict[str, str] = {
                sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM doc LEFT JOIN cover USING (doc_id) LEFT JOIN items USING (doc_id)
     """,
+    # Bytes as pairs of hexadecimal digits: a string starts at each byte, and runs of removed bytes are islands of starts.
+    "op5_substring_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(range(0, n - 49)) AS t(i)),
+        f AS (SELECT s, min(doc_id) AS first FROM s GROUP BY s HAVING count(*) > 1),
+        hit AS (SELECT doc_id, i FROM s JOIN f USING (s) WHERE first < doc_id),
+        mark AS (SELECT *, coalesce(i > lag(i) OVER w + 50, true) AS new FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        run AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM mark) GROUP BY doc_id, k),
+        piece AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM run UNION ALL SELECT doc_id, max(b), NULL FROM run GROUP BY doc_id),
+        kept AS (SELECT doc_id, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (coalesce(b, n) - a) AS BIGINT)), '' ORDER BY a) AS k FROM piece JOIN d USING (doc_id) GROUP BY doc_id),
+        gone AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+    """,
     "op8_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
