@@ -82,6 +82,17 @@ def test_streams(spark, tmp_path):
     assert out == [("u", "50")]
 
 
+def test_late_events_count_those_before_them(spark, tmp_path):
+    src, out = tmp_path / "in", []
+    src.mkdir()
+    at = lambda s: json.dumps({"k": "u", "ts": f"2024-01-01T00:{s // 60:02d}:{s % 60:02d}Z", "v": str(s)})
+    write = lambda e: limits.limiter(e, "k", "ts", 30, 9).selectExpr("unix_seconds(ts) % 3600 AS s", "n").writeStream.foreachBatch(lambda b, i: out.extend(tuple(r) for r in b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+    for i, times in enumerate(([10, 50, 60], [20, 55], [100])):
+        (src / f"{i}.json").write_text("\n".join(map(at, times)))
+        stream(spark, src, write)
+    assert sorted(out) == [(10, 1), (20, 2), (50, 1), (55, 2), (60, 2), (100, 1)]
+
+
 def test_incremental(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

@@ -102,8 +102,8 @@ def similar_names(records: DataFrame, group: str, key: str, name: str, least: fl
     nth = grams.groupBy(group, "x", "k", "n", "gram").agg(F.array_sort(F.collect_list("at")).alias("ats")).select(group, "x", "k", "n", "gram", F.posexplode("ats").alias("nth", "at"))
     common = nth.groupBy(group, "gram", "nth").agg(F.count(F.lit(1)).alias("times"))
     ranked = nth.join(common, [group, "gram", "nth"]).groupBy(group, "x", "k", "n").agg(F.array_sort(F.collect_list(F.struct("times", "gram", "nth", "at"))).alias("all"))
-    rare = ranked.withColumn("edits", edits).select(group, "x", "k", "n", "edits", F.explode(F.slice("all", F.lit(1), size * F.col("edits") + 1)).alias("g"))
-    rare = rare.select(group, "x", "k", "n", "edits", "g.gram", "g.nth", "g.at")
+    rare = ranked.withColumn("edits", edits).select(group, "x", "k", "n", "edits", F.explode(F.slice("all", F.lit(1), size * F.col("edits") + 1)).alias("_rare"))
+    rare = rare.select(group, "x", "k", "n", "edits", "_rare.gram", "_rare.nth", "_rare.at")
     a, b = (rare.select(group, "gram", "nth", *(F.col(c).alias(f"{c}{i}") for c in ("x", "k", "n", "edits", "at"))) for i in (1, 2))
     near = (F.abs(F.col("at1") - F.col("at2")) <= F.greatest("edits1", "edits2")) & (F.least("n1", "n2") * (2 - least) >= F.greatest("n1", "n2") * least)
     pairs = a.join(b, [group, "gram", "nth"]).filter("x1 < x2").filter(near).select(group, F.col("x1").alias("a"), F.col("x2").alias("b"), F.col("k1").alias("a_key"), F.col("k2").alias("b_key")).distinct()
