@@ -147,3 +147,22 @@ def any_truthy(values: Column) -> Column:
 def stable_json(c: Column, keys: Sequence[str]) -> Column:
     """A JSON object of some keys in the order of their names, for comparing and hashing; absent keys are left out."""
     return F.to_json(F.struct(*(F.get_json_object(c, f"$['{k}']").alias(k) for k in sorted(keys))))
+
+
+def any_given(*cs: Column) -> Column:
+    """Whether any of several fields says something: texts that aren't blank, numbers over 0."""
+    said = F.lit(False)
+    for c in cs:
+        text = F.trim(F.coalesce(c.cast("string"), F.lit("")))
+        number = text.try_cast("double")
+        said = said | F.when(number.isNotNull(), number > 0).otherwise(text != "")
+    return said
+
+
+def option(c: Column, kind: str, default: object = None) -> Column:
+    """An option's text as a boolean, int, float or list, or the default; a blank text is no value."""
+    text = F.nullif(F.trim(c), F.lit(""))
+    if kind == "list":
+        return F.when(text.isNotNull(), split_names(text))
+    read = truth(text) if kind == "boolean" else text.try_cast("double").cast("int") if kind == "int" else text.try_cast("double")
+    return F.coalesce(read, F.lit(default).cast("boolean" if kind == "boolean" else "int" if kind == "int" else "double"))

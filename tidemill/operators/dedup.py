@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import matching_ratio, numeric_suffix
+from .ordering import running
 
 
 def usage(links: DataFrame, key: str) -> DataFrame:
@@ -15,6 +16,19 @@ def usage(links: DataFrame, key: str) -> DataFrame:
     return links.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("usage"))
 
 
+def nested_usage(records: DataFrame, arrays: Sequence[Column], name: str) -> DataFrame:
+    """How often each id stands in any of several arrays of the records: ``name``, usage."""
+    none = F.array().cast("array<string>")
+    every = F.concat(*(F.coalesce(a, none) for a in arrays))
+    return records.select(F.explode(F.filter(every, lambda x: F.coalesce(x, F.lit("")) != "")).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("usage"))
+
+
+def capped(plan: DataFrame, order: Sequence[str], succeeded: Column, most: int) -> DataFrame:
+    """The first actions of a plan until ``most`` have succeeded; those that fail don't count."""
+    done = running(plan.withColumn("_ok", succeeded.cast("int")).withColumn("_all", F.lit(0)), ["_all"], list(order), F.col("_ok"), "_done")
+    return done.filter(F.col("_done") - F.col("_ok") < most).drop("_ok", "_all", "_done")
+
+
 def duplicates(records: DataFrame, by: Sequence[str]) -> DataFrame:
     """The rows whose ``by`` columns, all given, are shared by several rows, with n, their number.  The groups are counted
     with partial sums and joined back, so that a key of very many rows isn't gathered in one task."""

@@ -119,3 +119,15 @@ def collection_plan(existing: DataFrame, desired: DataFrame, replace: bool = Fal
 def next_position(items: DataFrame, position: str) -> DataFrame:
     """The position after the last: one row."""
     return items.agg((F.coalesce(F.max(position), F.lit(0)) + 1).alias("next"))
+
+
+def ids_by_name(records: DataFrame, name: str, key: str, order: str) -> DataFrame:
+    """name (trimmed, in lower case) and id, of several records with one name the last by ``order``."""
+    named = records.filter(given(F.col(name)))
+    return named.groupBy(F.lower(F.trim(name)).alias("name")).agg(F.max_by(F.col(key), order).alias("id"))
+
+
+def lookup(records: DataFrame, wanted: DataFrame, name: str, key: str, group: str) -> DataFrame:
+    """name and id for names looked for (group, name) whatever their case, within their group; the smallest id of several, null without any."""
+    known = records.groupBy(group, F.lower(F.trim(name)).alias("_k")).agg(F.min(key).alias("id"))
+    return wanted.withColumn("_k", F.lower(F.trim("name"))).join(known, [group, "_k"], "left").select(group, "name", "id")

@@ -106,3 +106,28 @@ def unknown_values(filters: DataFrame, key: str, text: str, names: DataFrame) ->
 def names_used(filters: DataFrame, text: str) -> DataFrame:
     """Whether any filter refers to names, which need looking up: one row, needed."""
     return filters.agg(F.coalesce(F.max(F.col(text).rlike(r"(?i)\b(?:recipe_category|recipeCategory|tags|tools)\.name\b")), F.lit(False)).alias("needed"))
+
+
+def errors(filters: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
+    """What is wrong with the filters of a table: key, error (not_a_clause, unknown_field, no_values or unknown_name), part.  ``names`` as for
+    :func:`unknown_values`.  A filter without any text is fine."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\bCONTAINS[_ ]ANY\b", "IN"), r"\s+", " "))
+    parts = filters.select(key, F.explode(F.filter(F.split(plain, r"(?i)\s+AND\s+"), lambda p: p != "")).alias("part"))
+    clause = r"(?i)^\s*([A-Za-z_.]+)\.(?:name|id)\s+(?:NOT\s+IN|IN|CONTAINS\s+ALL)\s*\[([^\]]*)\]\s*$"
+    field, listed = F.lower(F.regexp_extract("part", clause, 1)), value_list(F.regexp_extract("part", clause, 2))
+    error = F.when(~F.col("part").rlike(clause), "not_a_clause").when(~field.isin(list(FIELDS)), "unknown_field").when(F.size(listed) == 0, "no_values")
+    wrong = parts.withColumn("error", error).filter("error IS NOT NULL").select(key, "error", "part")
+    unknown = unknown_values(filters, key, text, names).filter("field IS NOT NULL").select(key, F.lit("unknown_name").alias("error"), F.col("value").alias("part"))
+    return wrong.unionByName(unknown)
+
+
+def lenient(text: str) -> list[Clause]:
+    """The clauses of a filter that an editor shows: parts that are none are dropped, and one with an operator that isn't known reads IN."""
+    found = []
+    for part in re.split(r"\s+AND\s+", normalized(text), flags=re.IGNORECASE):
+        m = re.match(r"^\s*([A-Za-z_.]+)\.(name|id)\s+(.*?)\s*\[([^\]]*)\]\s*$", part, re.IGNORECASE)
+        field = FIELDS.get(m[1].lower()) if m else None
+        if m and field and values(m[4]):
+            op = " ".join(m[3].upper().split())
+            found.append(Clause(field, m[2].lower(), op if op in OPERATORS else "IN", tuple(values(m[4]))))
+    return found

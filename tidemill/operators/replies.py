@@ -30,6 +30,17 @@ def prompts(lines: DataFrame, key: str, size: int, instruction: str) -> DataFram
     return cut.groupBy("batch").agg(rows.alias("r")).select("batch", F.transform("r", lambda x: x["k"]).alias("keys"), F.concat(F.lit(instruction + "\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("prompt"))
 
 
+def choices(names: DataFrame, name: str) -> DataFrame:
+    """The names to choose from as a prompt lists them, in order: one row, listing.  For lists that fit a prompt."""
+    return names.filter(F.trim(name) != "").select(F.trim(name).alias("n")).distinct().agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), F.col("n")))), "\n").alias("listing"))
+
+
+def instruction(role: str, lists: Mapping[str, str], example: str) -> str:
+    """What a prompt asks for: to choose from the lists (field to listing), for all fields or for one, and to answer in JSON like the example."""
+    wanted = "\n".join(f"- {field}: only from the list below; an empty list if nothing fits" for field in lists)
+    return "\n".join([f"You are a {role}. For each record give", wanted, f"as a JSON array like [{example}] and nothing else.", *(f"\n{field.capitalize()}:\n{listing}" for field, listing in lists.items()), "\nRecords:"])
+
+
 def asked(rows: DataFrame, ask: Callable[[str], str | None]) -> DataFrame:
     """``rows`` with reply, what ``ask`` gives for prompt: null if it fails, which a retry can tell.  The provider is called
     in the tasks, a batch of rows at a time."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,3 +123,17 @@ def settings(*layers: tuple[str, DataFrame]) -> DataFrame:
         own = df.filter("trim(coalesce(value, '')) <> ''").select("key", F.struct(F.lit(rank).alias("rank"), F.col("value"), F.lit(name).alias("source")).alias("s"))
         rows = own if rows is None else rows.unionByName(own)
     return rows.groupBy("key").agg(F.max("s").alias("s")).select("key", "s.value", "s.source")
+
+
+# The states that a run may pass to from each state.
+TRANSITIONS = {"queued": ["running", "canceled"], "running": ["succeeded", "failed", "canceled"], "succeeded": [], "failed": [], "canceled": []}
+
+
+def bad_transitions(events: DataFrame, run: str, order: str, status: str, allowed: Mapping[str, Sequence[str]] = TRANSITIONS) -> DataFrame:
+    """run, ``order``, before and after of every change of state that may not be; a state that is told again is no change."""
+    last = previous(events.select(run, order, status), [run], [order], status, "_last")
+    may = F.lit(False)
+    for state, following in allowed.items():
+        may = may | ((F.col("_last.v") == state) & F.col(status).isin(list(following)))
+    changed = F.col("_last").isNotNull() & ~F.col("_last.v").eqNullSafe(F.col(status))
+    return last.filter(changed & ~F.coalesce(may, F.lit(False))).select(run, order, F.col("_last.v").alias("before"), F.col(status).alias("after"))

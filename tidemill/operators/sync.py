@@ -102,3 +102,25 @@ def repaired_slugs(records: DataFrame, key: str, slug: str, expected: str) -> Da
     taken = records.select(F.col(slug).alias("new_slug"), F.lit(True).alias("taken")).distinct()
     found = wrong.join(first, "new_slug").join(taken, "new_slug", "left")
     return found.select(key, "old_slug", "new_slug", F.when((F.col("winner") == F.col(key)) & F.col("taken").isNull(), "rename").otherwise("conflict").alias("action"))
+
+
+def resource_counts(draft: DataFrame, managed: DataFrame, by: str, key: str, compare: Sequence[str]) -> DataFrame:
+    """by, draft, managed and changed for each resource: how many entries either side has, and how many keys differ or are on one side only."""
+    a = draft.select(by, key, F.struct(*compare).alias("new"))
+    b = managed.select(by, key, F.struct(*compare).alias("old"))
+    both = a.join(b, [by, key], "full_outer")
+    return both.groupBy(by).agg(
+        F.count("new").alias("draft"), F.count("old").alias("managed"), F.count_if(~F.col("new").eqNullSafe(F.col("old"))).alias("changed"),
+    )
+
+
+def dirty(left: DataFrame, right: DataFrame, by: str, order: str, columns: Sequence[str]) -> DataFrame:
+    """by and dirty for each resource: whether its entries, in their order, differ in any way.  Entries are hashed with their places, and the hashes
+    added up, so that a large resource isn't gathered."""
+    def told(df: DataFrame, name: str) -> DataFrame:
+        placed = numbered(df.select(by, order, *columns), [by], [order], "_n")
+        mark = F.xxhash64(F.to_json(F.struct("_n", *columns), {"ignoreNullFields": "false"}))
+        return placed.groupBy(by).agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(mark.cast("decimal(20,0)")).alias("h")).alias(name))
+
+    both = told(left, "_a").join(told(right, "_b"), by, "full_outer")
+    return both.select(by, (~F.col("_a").eqNullSafe(F.col("_b"))).alias("dirty"))

@@ -88,7 +88,7 @@ def similar_names(spark, d):
     """Names of parts and their misspelt forms (a letter dropped) that are alike within a brand."""
     part = t(spark, d, "part").select("p_brand", "p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("name"))
     worn = part.select("p_brand", F.col("p_partkey") + 1_000_000_000, F.regexp_replace("name", "[aeiou](?=[^aeiou]*$)", "")).toDF("p_brand", "p_partkey", "name")
-    return dedup.similar_names(part.unionByName(worn), "p_brand", "p_partkey", "name").select("p_brand", "a", "b", "similarity")
+    return dedup.similar_names(part.unionByName(worn), "p_brand", "p_partkey", "name").select("p_brand", "a", "b", "similarity").orderBy(F.desc("similarity"), "a", "b")
 
 
 # SQL for canonical_url, as far as the pages' addresses need it.
