@@ -159,3 +159,13 @@ def test_empty_tables(spark):
     assert sync.plan(none, none, "k", ["v"]).count() == 0
     assert dedup.similar_names(none, "v", "k", "v").count() == 0
     assert audit.distribution(audit.scored(none, {"a": F.col("n") > 1}), 1).count() == 2
+
+
+def test_similar_names_of_a_thousand_characters(spark):
+    rng = random.Random(11)
+    letters = [chr(0x4E00 + i) for i in range(300)]  # of few letters the matcher takes all for noise
+    base = "".join(rng.choice(letters) for _ in range(1000))
+    worn = "".join(c for i, c in enumerate(base) if i % 40)
+    other = "".join(rng.choice(letters) for _ in range(1000))
+    df = spark.createDataFrame([(1, 1, base), (1, 2, worn), (1, 3, other), (2, 4, base[:-1])], "g int, id int, name string")
+    assert [(r.a_key, r.b_key) for r in dedup.similar_names(df, "g", "id", "name").collect()] in ([(1, 2)], [(2, 1)])

@@ -47,3 +47,12 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_folded_keys(spark):
+    """Without SQL: against Python's own folding of every document's first line."""
+    import unicodedata
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    want = {d: " ".join(unicodedata.normalize("NFKC", (t or "").split("\n")[0]).casefold().split()) for d, t in docs.items()}
+    assert {r.doc_id: r.key for r in QUERIES["folded_keys"](spark, DATA).collect()} == want
