@@ -41,10 +41,14 @@ def _with_before(rows: DataFrame, by: Sequence[str], value: Column) -> DataFrame
 
 def running(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """``rows`` with the sum of ``value`` over the rows of their key up to them, in ``order``, which tells all rows of a key apart."""
-    cut = chunked(rows.withColumn(WITHIN, value), by, order)
+    return running_in(chunked(rows.withColumn(WITHIN, value), by, order), by, order, WITHIN, name).drop(CHUNK, WITHIN)
+
+
+def running_in(cut: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """The same for rows that are cut already, and the sum of a column."""
     w = Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = _with_before(cut.withColumn(name, F.sum(WITHIN).over(w)), by, F.col(WITHIN))
-    return summed.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col(name)).drop(CHUNK, WITHIN, "_before")
+    summed = _with_before(cut.withColumn(name, F.sum(value).over(w)), by, F.col(value))
+    return summed.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col(name)).drop("_before")
 
 
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
@@ -64,7 +68,11 @@ def _all_numbered(rows: DataFrame) -> DataFrame:
 
 def previous(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
     """``rows`` with the value of the row before in their key, as struct(v): null for a key's first row."""
-    cut = chunked(rows, by, order)
+    return previous_in(chunked(rows, by, order), by, order, value, name).drop(CHUNK)
+
+
+def previous_in(cut: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """The same for rows that are cut already."""
     w = Window.partitionBy(*by, CHUNK).orderBy(*order)
     one = F.struct(F.col(value).alias("v"))
     last = cut.groupBy(*by, CHUNK).agg(F.max_by(one, F.struct(*order)).alias("_edge"))
@@ -74,7 +82,7 @@ def previous(rows: DataFrame, by: Sequence[str], order: Sequence[str], value: st
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
     found = cut.withColumn(name, F.lag(one).over(w)).join(told, same, "left")
-    return found.withColumn(name, F.coalesce(name, "_edge")).drop(CHUNK, "_edge", "_kc", *(f"_k{i}" for i in range(len(by))))
+    return found.withColumn(name, F.coalesce(name, "_edge")).drop("_edge", "_kc", *(f"_k{i}" for i in range(len(by))))
 
 
 def rises(rows: DataFrame, order: str, value: str) -> DataFrame:

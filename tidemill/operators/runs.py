@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent
-from .ordering import numbered, previous, running
+from .ordering import chunked, numbered, previous, previous_in, running, running_in
 
 
 def micros(ts: Column | str) -> Column:
@@ -105,9 +105,9 @@ def sessions(rows: DataFrame, by: str, order: str, mark: Column) -> DataFrame:
 
 def islands(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """Runs of equal values: by, island (from 1), value, n, first and last of ``order``."""
-    last = previous(rows.select(by, order, value), [by], [order], value, "_last")
+    last = previous_in(chunked(rows.select(by, order, value), [by], [order]), [by], [order], value, "_last")
     changed = F.col("_last").isNull() | ~F.col(value).eqNullSafe(F.col("_last.v"))
-    marked = running(last.withColumn("_new", changed.cast("int")).drop("_last"), [by], [order], F.col("_new"), "island").withColumn("island", F.col("island").cast("long"))
+    marked = running_in(last.withColumn("_new", changed.cast("int")).drop("_last"), [by], [order], "_new", "island").withColumn("island", F.col("island").cast("long"))
     return marked.groupBy(by, "island", value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
 
 
