@@ -54,6 +54,8 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = min(max(to, at + 1), len(col))
             yield batch.slice(at, to - at), data[bounds[at]:bounds[to]], bounds[at:to + 1] - bounds[at]
             at = to
+        del batch, col, bounds, data
+        pa.default_memory_pool().release_unused()  # an executor's workers share its memory
 
 
 def class_table(chars: bytes, high: bool) -> np.ndarray:

@@ -128,13 +128,13 @@ def build(grams: pa.Table, order: int = ORDER, states: int | None = None) -> Mod
         ok = (kept[k][at] == values) if len(kept[k]) else np.zeros(len(values), bool)
         return np.where(ok, first[k] + at, -1)
 
-    share = np.full((int(first[-1]), size, len(languages)), 1 / 256)
+    share = np.full((int(first[-1]), size, len(languages)), 1 / 256, np.float32)
     share[:, size - 1] = (257 - size) / 256
     steps = np.zeros((int(first[-1]), size), np.int32)
     for k in range(order + 1):
         ids = np.arange(first[k], first[k + 1])
         suffix = state_of(kept[k] & ((1 << (8 * (k - 1))) - 1), k - 1) if k else np.zeros(0, np.int64)
-        counts = np.zeros((len(ids), size, len(languages)))
+        counts = np.zeros((len(ids), size, len(languages)), np.float32)
         own = length == k + 1
         at = state_of(context[own], k) if k else np.zeros(int(own.sum()), np.int64)
         ok = at >= 0

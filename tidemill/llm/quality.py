@@ -114,13 +114,13 @@ def weighted(p: np.ndarray, size: np.ndarray, firsts: np.ndarray) -> np.ndarray:
 
 def train(texts: pa.Array, good: np.ndarray, prior: float) -> Model:
     """``prior``: the share of good documents among all labelled ones, to which scores are calibrated."""
-    parts = [(data, bounds) for _, data, bounds in C.chunks([pa.RecordBatch.from_arrays([texts], ["text"])], limit=1 << 62)]
     kinds = line_features(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0].shape[1]
     size = 1 + 3 * kinds * (PARTS + 1)
-    if not parts or good.all() or not good.any():
+    if not len(good) or good.all() or not good.any():
         return Model(np.zeros((kinds, PARTS - 1)), np.zeros(size), crf.Chain(), np.array([0.0, np.log(prior / (1 - prior)) if 0 < prior < 1 else (10.0 if prior else -10.0)]))
-    data, bounds = parts[0]
-    found, lengths, firsts = line_features(data, bounds)
+    parts = [line_features(data, bounds) for _, data, bounds in C.chunks([pa.RecordBatch.from_arrays([texts], ["text"])])]
+    found, lengths = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+    firsts = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[2]) for x in parts]))])
     cuts = np.quantile(found, np.arange(1, PARTS) / PARTS, axis=0).T
     used = np.asfortranarray(slots(found, cuts, firsts))
     row = np.repeat(np.arange(len(good)), np.diff(firsts))

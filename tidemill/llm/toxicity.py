@@ -89,17 +89,37 @@ def places(forms: list[np.ndarray], table: tuple[np.ndarray, np.ndarray, np.ndar
     return found
 
 
-def without_copies(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _pieces(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The texts' bytes in lower case and their bounds, some at a time."""
+    for _, data, bounds in C.chunks([pa.RecordBatch.from_arrays([pc.utf8_lower(texts)], ["text"])]):
+        yield data, bounds
+
+
+def without_copies(texts: pa.Array) -> np.ndarray:
     """Of each row, whether at most half of its lines stand in rows before it.  Copies of a toxic text would
     else tie all of its words to toxic documents."""
-    starts, ends, firsts = C.word_spans(data, bounds, ~C.class_table(b"\n.", False))
-    h = C.span_hashes(C.prefix_sums(data), starts, ends)
-    _, first = np.unique(h, return_index=True)
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(firsts))
-    _, back = np.unique(h, return_inverse=True)
+    h, size, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for data, bounds in _pieces(texts):
+        starts, ends, firsts = C.word_spans(data, bounds, ~C.class_table(b"\n.", False))
+        h.append(C.span_hashes(C.prefix_sums(data), starts, ends))
+        size.append(ends - starts)
+        counts.append(np.diff(firsts))
+    h, size, counts = np.concatenate(h), np.concatenate(size), np.concatenate(counts)
+    row = np.repeat(np.arange(len(counts)), counts)
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
     old = row[first][back] < row
-    share = np.bincount(row, old * (ends - starts), len(bounds) - 1) / np.maximum(np.bincount(row, ends - starts, len(bounds) - 1), 1)
-    return share <= 0.5
+    return np.bincount(row, old * size, len(counts)) / np.maximum(np.bincount(row, size, len(counts)), 1) <= 0.5
+
+
+def all_features(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rows' bounds in all words, and the words' forms."""
+    firsts, forms = [np.zeros(1, np.int64)], [[np.zeros(0, np.uint64)] for _ in range(1 + len(BEGINNINGS))]
+    for data, bounds in _pieces(texts):
+        _, _, own, found = features(data, bounds)
+        firsts.append(own[1:] + firsts[-1][-1])
+        for all_, x in zip(forms, found):
+            all_.append(x)
+    return np.concatenate(firsts), [np.concatenate(x) for x in forms]
 
 
 def tied_forms(forms: list[np.ndarray], firsts: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,26 +159,17 @@ def evidence(p: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.clip(np.log(most / (1 - most)), -crf.MOST, crf.MOST), np.clip(np.log(-np.expm1(none)) - none, -crf.MOST, crf.MOST), np.ones(len(none))])
 
 
-def _cut(data: np.ndarray, bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes and bounds of some rows."""
-    keep = np.repeat(rows, np.diff(bounds))
-    return data[keep], np.concatenate([[0], np.cumsum(np.diff(bounds)[rows])])
-
-
 def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
     """``texts`` in the order in which they are preferred.  ``prior``: the share of toxic documents among all labelled ones, to which scores are calibrated."""
     level = np.log(prior / (1 - prior)) if 0 < prior < 1 else (10.0 if prior else -10.0)
     none = Model(np.zeros(0, np.uint64), np.zeros(1), crf.Chain(), np.array([0.0, 0.0, level]))
-    parts = [(data, bounds) for _, data, bounds in C.chunks([pa.RecordBatch.from_arrays([pc.utf8_lower(texts)], ["text"])], limit=1 << 62)]
-    if not parts:
+    if not len(toxic):
         return none
-    data, bounds = parts[0]
-    single = without_copies(data, bounds)
-    data, bounds = _cut(data, bounds, single)
-    toxic = toxic[single]
+    single = without_copies(texts)
+    texts, toxic = texts.filter(pa.array(single)), toxic[single]
     if toxic.all() or not toxic.any():
         return none
-    _, _, firsts, forms = features(data, bounds)
+    firsts, forms = all_features(texts)
     tied, common = tied_forms(forms, firsts, toxic)
     model = Model(np.concatenate([tied, common]), np.zeros(1), crf.Chain(), np.array([0.0, 0.0, level]))
     fit = np.zeros(len(toxic), bool)
@@ -169,9 +180,8 @@ def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
         on = np.flatnonzero(np.isin(h, tied) & toxic[row])
         on = on[~np.isin(h[on], h[on[fit[row[on]]]])]
         fit[row[on[np.unique(h[on], return_index=True)[1]]]] = True
-    data, bounds = _cut(data, bounds, fit)
+    firsts, forms = all_features(texts.filter(pa.array(fit)))
     toxic = toxic[fit]
-    _, _, firsts, forms = features(data, bounds)
     at = places(forms, model.table())
     row = np.repeat(np.arange(len(toxic)), np.diff(firsts))
     labels = (np.logical_or.reduce([(x > 0) & (x <= len(tied)) for x in at]) & toxic[row]).astype(np.int64)
