@@ -118,6 +118,11 @@ def test_each_language_has_its_share_of_contexts(spark):
 
 
 def test_ties_go_to_the_first_language(spark):
-    rows = [(i, "abc abd", lang) for i, lang in enumerate(["y", "x"] * 30)] + [(100, "abc", None), (101, "12 !", "x"), (None, "abd", None)]
+    """Two languages learned from the same texts: equal code lengths, an even score, the first by name."""
+    learned = [i for i in range(200) if crc32(str(i).encode()) % 3 != 1][:60]
+    rows = [(i, "abc abd", "yx"[k % 2]) for k, i in enumerate(learned)] + [(1000, "abc", None), (1001, "12 !", "x"), (1002, None, "x"), (1003, "", None), (None, "abd", None)]
     got = {r.doc_id: r for r in L.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
-    assert got[100].lang_pred in ("x", "y") and got[101].lang_pred == "und" and got[101].score == 0 and not got[None].held_out
+    for i in [1000, None, *learned]:
+        assert got[i].lang_pred == "x" and abs(got[i].score - 0.5) < 1e-6
+    assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1001, 1002, 1003)) and not got[None].held_out
+    assert all(got[i].held_out == (crc32(str(i).encode()) % 3 == 1) for i in [*learned, 1000, 1001, 1002, 1003])
