@@ -120,7 +120,7 @@ def test_each_language_has_its_share_of_contexts(spark):
 def test_ties_go_to_the_first_language(spark):
     """Two languages learned from the same texts: equal code lengths, an even score, the first by name."""
     learned = [i for i in range(200) if crc32(str(i).encode()) % 3 != 1][:60]
-    rows = [(i, "abc abd", "yx"[k % 2]) for k, i in enumerate(learned)] + [(1000, "abc", None), (1001, "12 !", "x"), (1002, None, "x"), (1003, "", None), (None, "abd", None)]
+    rows = [(i, "abc abd", "yx"[k % 2]) for k, i in enumerate(learned)] + [(1000, "abc", None), (1001, "12 !", None), (1002, None, "x"), (1003, "", None), (None, "abd", None)]
     got = {r.doc_id: r for r in L.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     for i in [1000, None, *learned]:
         assert got[i].lang_pred == "x" and abs(got[i].score - 0.5) < 1e-6
