@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline as P
 from tests.llm.test_decontaminate import brute as brute_hits
-from tests.llm.test_simhash import brute as brute_components
+from tests.llm.test_near_copies import brute as brute_kept
 from tidemill.llm.queries import QUERIES, SQL
 from tidemill.llm.quality import quality_report
 
@@ -21,7 +21,7 @@ def test_against_brute_force(spark):
     for d, t in left.items():
         largest[t] = max(d, largest.get(t, d))
     left = {d: t for t, d in largest.items()}
-    left = {d: left[d] for d, _, c in brute_components(sorted(left.items())) if d == c}
+    left = {d: left[d] for d in brute_kept(sorted(left.items()))}
     hit = {x[0] for x in brute_hits(sorted(left.items()), [(r.item_id, r.text) for r in items.collect()]) if x[5]}
     want = sorted(set(left) - hit)
     out = P.run(spark, DATA).collect()
