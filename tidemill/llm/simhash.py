@@ -159,6 +159,13 @@ def plan(sample: np.ndarray, total: int, distance: int = DISTANCE) -> list[int]:
     return min(choices)[1]
 
 
+def rest_masks(mask: int, parts: int) -> list[int]:
+    """The bits outside a mask in so many parts, as signed masks."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    found = [_mask(rest[i::parts]) for i in range(parts)]
+    return [m - (1 << 64) if m >> 63 else m for m in found]
+
+
 # --- links --------------------------------------------------------------------
 
 def _near(fps: np.ndarray, keys: np.ndarray, sides: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,9 +200,21 @@ def links(prints: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, sli
     masks = plan(part.column("fp").to_numpy().view(np.uint64), total, distance)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))).alias("k")).select("fp", "k.t", "k.key")
-    # Keys of many fingerprints are dealt over pairs of slices; their number is at most rows / slice_rows.
-    hot = C.written(keyed.groupBy("t", "key").count().filter(F.col("count") > slice_rows).select("t", "key", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices")), "hot-keys")
-    n_hot = hot.count()
+    def crowded(keyed: DataFrame) -> tuple[DataFrame, int]:
+        """The keys of more than ``slice_rows`` fingerprints, at most rows / slice_rows of them."""
+        hot = keyed.groupBy("t", "key").count().filter(F.col("count") > slice_rows).select("t", "key", F.ceil(F.col("count") / slice_rows).cast("int").alias("slices"))
+        hot = C.written(hot, "hot-keys")
+        return hot, hot.count()
+
+    hot, n_hot = crowded(keyed)
+    if n_hot:
+        # Fingerprints of a key differ elsewhere, in ``distance`` bits at most: they agree in one of as many parts of the rest and one more.
+        rests = F.array(*(F.array(*map(F.lit, rest_masks(m, distance + 1))) for m in masks))
+        parts = F.posexplode(F.transform(F.element_at(rests, F.col("t") + 1), lambda m: F.col("fp").bitwiseAND(m))).alias("part", "rest")
+        inner = keyed.join(C.sized(hot, n_hot, 100_000), ["t", "key"]).select("fp", "t", "key", parts).select("fp", "t", F.xxhash64("key", "part", "rest").alias("key"))
+        keyed = C.written(keyed.join(C.sized(hot, n_hot, 100_000), ["t", "key"], "left_anti").select("fp", "t", "key").unionByName(inner), "keys")
+        # Keys that are crowded even so are dealt over pairs of slices.
+        hot, n_hot = crowded(keyed)
     if n_hot:
         own = F.pmod(F.xxhash64("fp", "t"), F.col("slices")).cast("int")
         dealt = keyed.join(C.sized(hot, n_hot, 100_000), ["t", "key"], "left").withColumn("own", F.coalesce(own, F.lit(0)))
