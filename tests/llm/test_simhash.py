@@ -81,3 +81,20 @@ def test_thresholds_add_up():
 def test_empty_table(spark):
     assert run(spark, [(1, "x")]) == [(1, f"{brute_print('x'):016x}", 1)]
     assert S.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids_and_a_very_long_text(spark):
+    """A null id names a component only if nothing else does; rows that share an id are judged each for itself."""
+    rng = random.Random(5)
+    long = " ".join(f"w{rng.randrange(20_000)}" for _ in range(120_000))
+    rows = [(None, "some words of a text"), (5, "some words of a text"), (5, "entirely different ones stand here"), (None, "a null id alone has these"), (7, long), (3, long + " "), (3, long), (3, long)]
+    got = sorted(((str(r.doc_id), r.fingerprint, r.component_id) for r in S.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    prints = {t: f"{brute_print(t):016x}" for _, t in rows}
+    comp = {rows[0][1]: 5, rows[2][1]: 5, rows[3][1]: None, long: 3, long + " ": 3}
+    assert got == sorted((str(d), prints[t], comp[t]) for d, t in rows)
+
+
+def test_parts_outside_a_mask():
+    for mask in (0, (1 << 32) - 1, 0xF0F0 << 40, (1 << 64) - 1):
+        parts = [m % (1 << 64) for m in S.rest_masks(mask, 4)]
+        assert sum(parts) == (1 << 64) - 1 - mask and all(a & b == 0 for i, a in enumerate(parts) for b in parts[:i])
