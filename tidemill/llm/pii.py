@@ -99,22 +99,25 @@ def _spans(text: Column, kind: Kind) -> Column:
 
     Text split at the matches has one piece more than there are matches, so a match starts after
     the pieces and matches before it."""
-    matches = F.regexp_extract_all(text, F.lit(f"({kind.pattern})"), F.lit(1))
-    pieces = F.split(text, kind.pattern, -1)
-    paired = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("m")))
-    walked = _let(paired, lambda z: F.zip_with(z, _starts(F.transform(z, lambda x: x["gap"] + x["n"])), lambda x, at: F.struct(
-        (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["m"].alias("m"),
-    )))
     near = lambda s: F.concat_ws(" ", F.substr(text, F.greatest(s["start"] - NEAR + 1, F.lit(1)), F.least(s["start"], F.lit(NEAR))), F.substr(text, s["end"] + 1, F.lit(NEAR)))
     said = lambda s: near(s).rlike(rf"(?i)(?<![A-Za-z])(?:{kind.context})") if kind.context else F.lit(False)
-    counted = F.filter(walked, lambda s: kind.valid(s["m"])) if kind.valid else walked
-    if kind.needs_context:
-        counted = F.filter(counted, said)
-    scored = F.transform(counted, lambda s: F.struct(
-        F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-        F.when(said(s), F.lit(kind.base + CONTEXT_SHARE)).otherwise(F.lit(kind.base)).alias("score"),
-    ))
-    return F.when(text.rlike(kind.gate), F.when(F.size(matches) > 0, scored))
+
+    def scored(matches: Column) -> Column:
+        pieces = F.slice(F.split(text, kind.pattern, -1), F.lit(1), F.size(matches))
+        paired = F.zip_with(pieces, matches, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("n"), m.alias("m")))
+        walked = _let(paired, lambda z: F.zip_with(z, _starts(F.transform(z, lambda x: x["gap"] + x["n"])), lambda x, at: F.struct(
+            (at + x["gap"]).alias("start"), (at + x["gap"] + x["n"]).alias("end"), x["m"].alias("m"),
+        )))
+        counted = F.filter(walked, lambda s: kind.valid(s["m"])) if kind.valid else walked
+        if kind.needs_context:
+            counted = F.filter(counted, said)
+        return F.transform(counted, lambda s: F.struct(
+            F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+            F.when(said(s), F.lit(kind.base + CONTEXT_SHARE)).otherwise(F.lit(kind.base)).alias("score"),
+        ))
+
+    matches = F.regexp_extract_all(text, F.lit(f"({kind.pattern})"), F.lit(1))
+    return F.when(text.rlike(kind.gate), _let(matches, lambda m: F.when(F.size(m) > 0, scored(m))))
 
 
 def pii_spans(docs: DataFrame, kinds: list[Kind] | None = None) -> DataFrame:
