@@ -44,12 +44,13 @@ BLOCK_BYTES = 64 << 20
 BROADCAST_ROWS = 200_000
 BROADCAST_CONTEXTS = 50_000
 BROADCAST_INTERVALS = 2_000_000
-#: Rows that a task gathers before it sends their bytes, and bytes of text that it turns into arrays at once.
+#: Rows that a task gathers before it sends their bytes, rows of a batch that it sends, and bytes of text that it turns into arrays at once.
 GATHER = 100_000
+SENT = 10_000
 #: Bytes of an initial bucket, and neighbours that are compared at once.
 STEP = 8
 SLICE = 1 << 18
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _LAST = (1 << 63) - 1
 _NONE = np.zeros(0, np.int64)
 
@@ -200,7 +201,7 @@ def _row_batches(batches: Iterator[pa.RecordBatch], pick, bits: int, length: int
     held: list[tuple] = []
     n_held = 0
 
-    def sent() -> pa.RecordBatch:
+    def sent() -> Iterator[pa.RecordBatch]:
         bucket, context, rank, part, pos, before, size, raw = (np.concatenate([x[i] for x in held]) for i in range(8))
         raw[np.arange(raw.shape[1])[None, :] >= size[:, None]] = 0
         while True:
@@ -215,11 +216,13 @@ def _row_batches(batches: Iterator[pa.RecordBatch], pick, bits: int, length: int
         n = np.diff(np.append(begin, len(order)))
         members = np.empty(len(order), _MEMBER)
         members["rank"], members["part"], members["pos"] = rank[order], part[order], pos[order]
-        return pa.RecordBatch.from_arrays([
+        whole = pa.RecordBatch.from_arrays([
             pa.array(bucket[lead].view(np.int64)), pa.array(context[lead].view(np.int64)), pa.array(before[lead].astype(np.int32)),
             _binary(raw[lead][np.arange(raw.shape[1])[None, :] < size[lead][:, None]], size[lead]),
             pa.array(rank[lead]), pa.array(rank[order][begin + n - 1]), _binary(members.view(np.uint8), n * _MEMBER.itemsize),
         ], schema=_ARROW_ROW)
+        for k in range(0, whole.num_rows, SENT):
+            yield whole.slice(k, SENT)
 
     for rows, data, bounds in C.chunks(batches, limit=CHUNK):
         at, h, sums = anchors(data, bounds, length, q)
@@ -235,10 +238,10 @@ def _row_batches(batches: Iterator[pa.RecordBatch], pick, bits: int, length: int
         held.append((h, context, rank[row], part[row], at - bounds[row], before, before + after, window[at - before]))
         n_held += len(at)
         if n_held > GATHER:
-            yield sent()
+            yield from sent()
             held, n_held = [], 0
     if held:
-        yield sent()
+        yield from sent()
 
 
 def _rows(rest: DataFrame, known, bits: int, map_bits: int, hot: bool, length: int, q: int) -> DataFrame:
