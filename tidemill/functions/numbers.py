@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import given
+from .text import given, once
 
 # Characters that are fractions, as text after a space.
 VULGAR_FRACTIONS = {
@@ -38,7 +38,11 @@ def plain_fractions(c: Column) -> Column:
 
 def quantity(c: Column) -> Column:
     """The first quantity in a text: a mixed number, a fraction or a decimal; 0 without any, null over zero."""
-    text = plain_fractions(F.coalesce(c, F.lit("")))
+    return once(plain_fractions(F.coalesce(c, F.lit(""))), lambda text: quantity_in(text))
+
+
+def quantity_in(text: Column) -> Column:
+    """The same of a text without fraction characters."""
     over = lambda a, b: F.try_divide(a, b)
     mixed, plain = r"(\d+)\s+(\d+)/(\d+)", r"(\d+)/(\d+)"
     return (
@@ -51,11 +55,15 @@ def quantity(c: Column) -> Column:
 def yield_number(c: Column) -> Column:
     """How many a yield text tells: dozens, "serves 4", "6 servings", a bare number or range's start, else the
     first quantity; null if it tells none."""
-    text = plain_fractions(F.trim(F.coalesce(c, F.lit(""))))
+    return once(plain_fractions(F.trim(F.coalesce(c, F.lit("")))), lambda text: yield_number_in(text))
+
+
+def yield_number_in(text: Column, first: Column | None = None) -> Column:
+    """The same of a trimmed text without fraction characters; ``first`` is its first quantity, where that is a column already."""
     to = rf"(?:\s*[-\u2013]\s*\d+(?:\.\d+)?)?"
     dozen, verb = r"(?i)(\d+)\s+dozen", rf"(?i)(?:makes?|serves?|yields?|about)\s+{_NUMBER}"
     noun, bare = rf"(?i)^{_NUMBER}{to}\s+(?:{YIELD_NOUNS})", rf"^{_NUMBER}{to}\z"
-    first = quantity(text)
+    first = quantity_in(text) if first is None else first
     return F.when(text != "", F.coalesce(
         _found(text, dozen) * 12, F.when(text.rlike(r"(?i)\bdozen\b"), F.lit(12.0)),
         _found(text, verb), _found(text, noun), _found(text, bare), F.when(first > 0, first),

@@ -6,7 +6,7 @@ All are built-in expressions but the Unicode ones at the end, for which Spark ha
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -29,6 +29,11 @@ ACRONYMS = ["bbq", "blt", "gf", "diy", "pb", "pbj", "xo", "hk", "thc", "vgf", "a
 TITLE_PREFIXES = [r"recipe\s+for\s+", r"how\s+to\s+(?:make|cook)\s+", r"how\s+to\s+", r"(?:make|cook)\s+"]
 
 
+def once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` a column that many expressions look at, computed once."""
+    return F.element_at(F.transform(F.array(c), of), 1)
+
+
 def given(c: Column) -> Column:
     """Whether a text holds more than white space; null doesn't."""
     return F.trim(F.coalesce(c, F.lit(""))) != ""

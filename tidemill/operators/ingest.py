@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, contains_any, first_given
+from ..functions.text import collapsed, contains_any, first_given, once
 
 # Words and addresses that mark pages which are no records.
 JUNK_KEYWORDS = [
@@ -34,12 +34,14 @@ UNITS_WITHOUT_QUANTITY = ["pinch", "dash"]
 
 def junk_class(name: Column, slug: Column, instructions: Column, keywords: Sequence[str] = JUNK_KEYWORDS) -> Column:
     """Why a page is no record: the first of how_to, listicle, digest, keyword, utility and bad_instructions that holds; null if none does."""
-    n, s, i = (F.lower(F.coalesce(c, F.lit(""))) for c in (name, slug, instructions))
-    return (
-        F.when(n.rlike(HOW_TO), "how_to").when(n.rlike(LISTICLE), "listicle")
-        .when(n.rlike(DIGEST) | F.replace(s, F.lit("-"), F.lit(" ")).rlike(DIGEST), "digest")
-        .when(contains_any(n, keywords), "keyword").when(contains_any(s, UTILITY_SLUGS), "utility").when(contains_any(i, BAD_INSTRUCTIONS), "bad_instructions")
-    )
+    def cascade(x: Column) -> Column:
+        n, s, i = x["n"], x["s"], x["i"]
+        return (
+            F.when(n.rlike(HOW_TO), "how_to").when(n.rlike(LISTICLE), "listicle")
+            .when(n.rlike(DIGEST) | F.replace(s, F.lit("-"), F.lit(" ")).rlike(DIGEST), "digest")
+            .when(contains_any(n, keywords), "keyword").when(contains_any(s, UTILITY_SLUGS), "utility").when(contains_any(i, BAD_INSTRUCTIONS), "bad_instructions")
+        )
+    return once(F.struct(*(F.lower(F.coalesce(c, F.lit(""))).alias(k) for k, c in (("n", name), ("s", slug), ("i", instructions)))), cascade)
 
 
 def candidates(records: DataFrame, cache: DataFrame, key: str, flag: Column, updated: Column, recheck: bool = False) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import plain_fractions, yield_action, yield_number
+from ..functions.numbers import plain_fractions, quantity_in, yield_action, yield_number_in
 
 
 def told(records: DataFrame, text: str) -> DataFrame:
     """``records`` with told, the number that the yield text tells.  Each step is a column of its own, so that none is computed for each of
     the patterns that look at it."""
     plain = records.withColumn("_plain", plain_fractions(F.trim(F.coalesce(text, F.lit("")))))
-    return plain.withColumn("told", yield_number(F.col("_plain"))).drop("_plain")
+    plain = plain.withColumn("_first", quantity_in(F.col("_plain")))
+    return plain.withColumn("told", yield_number_in(F.col("_plain"), F.col("_first"))).drop("_plain", "_first")
 
 
 def planned(records: DataFrame, key: str, text: str, amount: str, servings: str) -> DataFrame:
