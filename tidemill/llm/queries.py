@@ -15,6 +15,7 @@ from .pii import pii_report
 from .quality import quality_report
 from .simhash import near_duplicates
 from .substring_dedup import substring_report
+from .token_counts import token_counts
 from .toxicity import toxicity_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +65,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op12_token_counts": op12_token_counts,
 }
 
 #: Lower case for A-Z alone, then the words.
