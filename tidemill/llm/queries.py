@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .exact_dedup import exact_duplicates
+from .filter_audit import filter_audit
 from .langid import language_report
 from .license_scan import license_report
 from .pieces import encode
@@ -69,6 +70,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_decontamination": op2_decontamination,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op12_token_counts": op12_token_counts,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: Lower case for A-Z alone, then the words.
@@ -122,4 +128,26 @@ SQL: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op13_filter_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     CAST(len(w) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(w)) < 50 * len(w) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT)
+                     + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INT) AS mask
+              FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM f GROUP BY ALL),
+        x AS (SELECT substr('ABCDE', i, 1) AS f, 1 << (i - 1) AS bit FROM (SELECT CAST(unnest(range(1, 6)) AS INT) AS i)),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM x a, x b, x c, x d, x e
+              WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+        s AS (SELECT filter_order, step, x.bit, (SELECT coalesce(sum(y.bit), 0) FROM x AS y WHERE instr(filter_order, y.f) < step) AS prior
+              FROM o, (SELECT CAST(unnest(range(1, 6)) AS INT) AS step) JOIN x ON substr(filter_order, step, 1) = x.f),
+        r AS (SELECT part, filter_order, step, bit,
+                     coalesce(sum(n) FILTER (mask & prior = 0 AND mask & bit = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & prior = 0 AND mask & bit > 0), 0) AS removed,
+                     coalesce(sum(n) FILTER (mask & prior > 0 AND mask & bit > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+                     coalesce(sum(good) FILTER (mask & prior = 0 AND mask & bit > 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & prior = 0 AND mask & bit > 0), 0) AS toxic_lost
+              FROM (SELECT filter_order, step, CAST(bit AS BIGINT) AS bit, CAST(prior AS BIGINT) AS prior FROM s), (SELECT part, CAST(mask AS BIGINT) AS mask, n, good, toxic FROM c) GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+               CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+        FROM r
+    """,
 }
