@@ -10,6 +10,7 @@ from ..operators.audit import scored
 from ..plans import stages
 from ..sources import paging, readers, writers
 from ..sources.scratch import scratch_path
+from ..sources.tailing import Tailed
 from .registry import SCORED, query, records, t
 from .registry import checks as quality_checks
 
@@ -237,3 +238,13 @@ def formats_valid(spark, d):
         "p_partkey", checks.username(F.replace("u", F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, ".").otherwise(" "))).alias("username"), checks.password(F.col("w")).alias("password"), checks.env_key(F.col("e")).alias("env_key"),
         checks.host(F.col("h")).alias("host"), checks.account(F.col("h")).alias("account"), checks.container(F.col("h")).alias("container"), checks.service_url(F.col("s")).alias("service"),
     )
+
+
+@query(r"""SELECT line, count(*) AS n FROM (SELECT unnest(string_split(regexp_replace(coalesce(text, ''), '\r', '', 'g'), chr(10))) AS line FROM documents) GROUP BY 1""")
+def tailed_lines(spark, d):
+    """The documents' lines, landed as log files and read again by byte ranges that cut lines."""
+    path = scratch_path(spark, "tailed")
+    t(spark, d, "documents").select(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", "").alias("value")).write.text(path)
+    spark.dataSource.register(Tailed)
+    lines = spark.read.format("tailed").option("path", path).option("rangeBytes", 4 << 20).load()
+    return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
