@@ -10,6 +10,8 @@ copy of a text joins by text and id, so that the copies of one text are spread o
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,9 +19,7 @@ from .common import written
 
 FILTERS = "ABCDE"
 #: A: fewest words.  B: distinct words in percent, at least.  C: capitals in percent of characters, at most.  D: signs that fail.
-MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, SIGNS = 200, 50, 3, "[#$%&*|]"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_SPACE = " \t\n\x0b\x0c\r"
+MIN_WORDS, MIN_DISTINCT, MAX_CAPITALS, SIGNS = 200, 50, 3, "#$%&*|"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -30,17 +30,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def word_totals(docs: DataFrame) -> DataFrame:
     """doc_id, h (the text's hash), words and distinct: of every text that has words, its words and how many differ.
 
-    Rows that repeat an id with its text give one row; of null ids each text gives one."""
-    words = _keyed(docs).select("doc_id", "h", F.posexplode(F.split(F.btrim("text", F.lit(_SPACE)), r"[\x20\x09-\x0D]+")).alias("at", "word")).filter("word != ''")
-    # A text's first word tells how many rows have it: once a row, each other word as often as in the text.
-    by_word = words.groupBy("doc_id", "h", "word").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at") == 0).alias("rows"))
-    return by_word.groupBy("doc_id", "h").agg((F.sum("n") / F.sum("rows")).cast("long").alias("words"), F.count(F.lit(1)).alias("distinct"))
+    Rows that repeat an id with its text give one row, and are one before the shuffle; of null ids each text gives one.
+    Texts are dealt by the document's key once; both groupings keep that partitioning, so that words are not shuffled."""
+    texts = _keyed(docs).groupBy("doc_id", "h").agg(F.any_value("text").alias("text"))
+    words = texts.select("doc_id", "h", F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("word")).filter("word != ''")
+    by_word = words.groupBy("doc_id", "h", "word").agg(F.count(F.lit(1)).alias("n"))
+    return by_word.groupBy("doc_id", "h").agg(F.sum("n").alias("words"), F.count(F.lit(1)).alias("distinct"))
 
 
 def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of equal id, text and part as one: doc_id, part, rows (how many they are), mask (bit 0 for A to bit 4 for E),
     good and toxic (as labelled, else false)."""
-    rows = _keyed(docs).groupBy("doc_id", "h", "part", F.unhex(F.sha2("text", 256)).alias("sha"), _capitals(F.col("text")).alias("c"), F.col("text").rlike(SIGNS).alias("d")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = _keyed(docs).groupBy("doc_id", "h", "part", F.unhex(F.sha2("text", 256)).alias("sha"), _capitals(F.col("text")).alias("c"), _any_sign(F.col("text")).alias("d")).agg(F.count(F.lit(1)).alias("rows"))
     rows = written(rows, "audited")
     firsts = rows.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     marks = labels.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.bool_or(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
@@ -60,8 +61,11 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _capitals(text: Column) -> Column:
-    characters = F.length(text).cast("long")
-    return 100 * (characters - F.length(F.translate(text, _CAPITALS, ""))) > MAX_CAPITALS * characters
+    return 100 * F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long") > MAX_CAPITALS * F.length(text)
+
+
+def _any_sign(text: Column) -> Column:
+    return reduce(Column.__or__, (text.contains(c) for c in SIGNS))
 
 
 def combination_counts(failed: DataFrame) -> DataFrame:
