@@ -107,3 +107,8 @@ def test_a_million_bytes(spark):
     long = bytes(rng.integers(97, 123, 1_200_000).astype(np.uint8)).decode()
     rows = [(1, long), (2, long[500_000:500_400]), (3, "q" + long[1_000_000:])]
     assert run(spark, rows) == [(1, 1_200_000, 0, 0, hashlib.sha256(long.encode()).hexdigest()), (2, 400, 400, 1, hashlib.sha256(b"").hexdigest()), (3, 200_001, 200_000, 1, hashlib.sha256(b"q").hexdigest())]
+
+
+def test_ids_of_another_type_are_refused(spark):
+    with pytest.raises(TypeError, match="number the documents"):
+        S.repeated_runs(spark.createDataFrame([("a", "x")], "doc_id string, text string"))

@@ -3,12 +3,14 @@ vectorised word splitting and hashing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written  # noqa: F401  the operators' scratch tables
@@ -173,3 +175,44 @@ def in_bitmap(table: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
     if table.dtype == bool:
         return table[slot]
     return (table[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+#: log2 of the most bits of the bitmap that a large join's rows pass first: 32 MB.
+SIEVE_BITS = 28
+
+
+def sieve(right: DataFrame, on: Sequence[str], n: int) -> Callable[[DataFrame], Column]:
+    """For rows with the columns ``on``: may they be among the ``n`` of ``right``?  Never no for one that is; ``right`` is read once.
+    Its bitmap is of a size that doesn't grow beyond ``SIEVE_BITS``; with more rows than that serves, more of the others pass."""
+    bits = min(SIEVE_BITS, max(16, n.bit_length() + 5))
+    table = right.sparkSession.sparkContext.broadcast(bitmap(right.select(F.xxhash64(*on).alias("h")), "h", bits))
+
+    @F.pandas_udf("boolean")
+    def passes(h: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(table.value, bits, h.to_numpy().view(np.uint64)))
+
+    return lambda rows: passes(F.xxhash64(*(rows[c] for c in on)))
+
+
+def joined(rows: DataFrame, right: DataFrame, on: Sequence[str], how: str, n: int, most: int) -> DataFrame:
+    """``rows`` joined (left, left_semi, left_anti) with the ``n`` rows of ``right`` on columns of one name, where null equals null.
+
+    Up to ``most`` rows are broadcast.  Beyond, only rows that pass :func:`sieve` are shuffled, and the others, for which
+    nothing can be found, stay where they are; so ``right``, which is read twice, has to be a written table."""
+    keys = {c: f"_r{i}" for i, c in enumerate(on)}
+    kinds = {f.name: f.dataType for f in right.schema.fields if f.name not in keys}
+    renamed = right.withColumnsRenamed(keys)
+
+    def found(some: DataFrame, other: DataFrame) -> DataFrame:
+        return some.join(other, reduce(Column.__and__, (some[c].eqNullSafe(other[k]) for c, k in keys.items())), how).drop(*keys.values())
+
+    if n <= most:
+        return found(rows, F.broadcast(renamed))
+    may = sieve(right, on, n)
+    inside = found(rows.filter(may(rows)), renamed)
+    if how == "left_semi":
+        return inside
+    outside = rows.filter(~may(rows))
+    if how == "left":
+        outside = outside.withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+    return inside.unionByName(outside)

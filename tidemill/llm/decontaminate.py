@@ -148,10 +148,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of ``docs`` without any hit, with all their columns.  A row's own text decides, whatever its doc_id is
     and which others have it; null and empty texts stay."""
     known = docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("doc_id"), "text")
     hit = C.written(contamination(known, items).filter("contaminated").select(F.col("doc_id").alias("_sha")).distinct(), "contaminated")
     rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return rows.join(C.sized(hit, hit.count(), 500_000), "_sha", "left_anti").select(*docs.columns)
+    return C.joined(rows, hit, ["_sha"], "left_anti", hit.count(), broadcast_rows).select(*docs.columns)

@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, sized, written
+from .common import joined, shuffle_partitions, written
 
 #: Bits of a fingerprint beyond log2 of the number of documents: a unique text is a suspect with a chance of about 2**-SLACK.
 SLACK = 10
-#: Rows up to which suspects or groups are broadcast; with more of them the joins are shuffled.
+#: Rows up to which suspects or groups are broadcast; with more of them rows pass a bitmap of fixed size first, and what passes is shuffled.
 BROADCAST_ROWS = 500_000
 
 
@@ -102,11 +102,11 @@ def copied_texts(docs: DataFrame, slack: int = SLACK, broadcast_rows: int = BROA
     n = suspects.count()
     # Byte verification: the grouping key is the text itself.
     groups = (
-        docs.withColumn("fp", fp).join(sized(suspects, n, broadcast_rows), "fp", "left_semi")
+        joined(docs.withColumn("fp", fp), suspects, ["fp"], "left_semi", n, broadcast_rows)
         .groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1").select(F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    return groups, n
+    return (groups if n <= broadcast_rows else written(groups, "copied-texts")), n
 
 
 def exact_duplicates(docs: DataFrame, slack: int = SLACK, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -118,7 +118,7 @@ def exact_duplicates(docs: DataFrame, slack: int = SLACK, broadcast_rows: int =
     table gives no rows; further columns are ignored."""
     groups, n = copied_texts(docs, slack, broadcast_rows)
     members = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return members.join(sized(groups, n, broadcast_rows), "text_sha256", "left").select(
+    return joined(members, groups, ["text_sha256"], "left", n, broadcast_rows).select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
@@ -127,12 +127,12 @@ def exact_duplicates(docs: DataFrame, slack: int = SLACK, broadcast_rows: int =
     )
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that :func:`exact_duplicates` keeps, with all their columns.
 
     Each row is judged by its own text and doc_id: rows of one doc_id with different texts are judged
     each for itself, and of rows that tie for the largest doc_id of a text all stay, without a doc_id too."""
-    groups, n = copied_texts(docs)
+    groups, n = copied_texts(docs, broadcast_rows=broadcast_rows)
     groups = groups.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"), F.lit(True).alias("_several"))
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)).join(sized(groups, n, BROADCAST_ROWS), "_sha", "left")
+    rows = joined(docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256)), groups, ["_sha"], "left", n, broadcast_rows)
     return rows.filter(F.col("_several").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import common as C
 from .exact_dedup import golomb_decode, golomb_encode
@@ -485,17 +486,19 @@ def _runs(intervals: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame, length: int = LENGTH, q: int = Q, hot_rows: int = HOT_ROWS, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """``docs`` (doc_id, text) with runs (array<struct<a, b>>: the bytes to remove, end exclusive) in place of further columns.
 
-    A null text counts as empty.  A null doc_id is larger than any other.  Rows of one doc_id don't
-    repeat each other.  Texts shorter than ``length`` bytes repeat nothing.  An empty table gives no
+    Ids are integers; others are an error, as "smaller" has to mean one thing for all rows.  A null text counts as empty.  A
+    null doc_id is larger than any other.  Rows of one doc_id don't repeat each other.  Texts shorter than ``length`` bytes repeat nothing.  An empty table gives no
     rows."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError(f"doc_id is {docs.schema['doc_id'].dataType.simpleString()}: number the documents first")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumns({"rank": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "sha": F.sha2("text", 256)})
     known = docs.groupBy("sha").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"), F.first(F.octet_length("text")).cast("long").alias("size"))
     known = C.written(known, "texts")
     total = known.agg(F.sum("size")).first()[0] or 0
     copied = known.filter("n > 1").select("sha", "first")
     n_copied = copied.count()
-    docs = docs.join(C.sized(copied, n_copied, BROADCAST_ROWS), "sha", "left").withColumn("part", F.hash("sha"))
+    docs = C.joined(docs, copied, ["sha"], "left", n_copied, BROADCAST_ROWS).withColumn("part", F.hash("sha"))
     copy: Column = F.coalesce(F.col("first") < F.col("rank"), F.lit(False))
     rest = docs.filter(~copy & (F.octet_length("text") >= length)).select("rank", "part", "text")
 
@@ -513,10 +516,10 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, q: int = Q, hot_rows: i
         intervals = intervals.unionByName(_hot_intervals(hot, length, q))
     runs = C.written(_runs(intervals), "runs")
     n_runs, n_intervals = runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
-    runs = C.sized(runs, n_runs, BROADCAST_ROWS if n_intervals <= BROADCAST_INTERVALS else -1)
+    most = BROADCAST_ROWS if n_intervals <= BROADCAST_INTERVALS else -1
     whole = F.array(F.struct(F.lit(0).alias("a"), F.octet_length("text").cast("int").alias("b")))
     none = F.array().cast("array<struct<a:int,b:int>>")
-    return docs.join(runs, ["rank", "part"], "left").select("doc_id", "text", F.when(copy & (F.octet_length("text") >= length), whole).otherwise(F.coalesce("runs", none)).alias("runs"))
+    return C.joined(docs, runs, ["rank", "part"], "left", n_runs, most).select("doc_id", "text", F.when(copy & (F.octet_length("text") >= length), whole).otherwise(F.coalesce("runs", none)).alias("runs"))
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[list]]]:
