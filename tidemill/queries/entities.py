@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import checks
 from ..operators import dedup, entities, filters, ingest, replies, rules, sync, taxonomy, views, yields
 from ..operators.rules import Rule
+from ..sources import database
+from ..sources.scratch import scratch_path
 from .filing import stub, tags_only
 from .registry import query, t
 
@@ -297,3 +299,42 @@ def shared_names(spark, d):
 def cursor_capped(spark, d):
     """The first four records after a cursor."""
     return ingest.after_cursor(t(spark, d, "nation"), "n_name", "NATION_13").orderBy("n_name").limit(4).select("n_nationkey", "n_name")
+
+
+def _database(spark, name, table):
+    """A database file in the shared folder, with a table."""
+    path = scratch_path(spark, name)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+    database.execute(table, url=path)
+    return path
+
+
+@query(f"""WITH {_ACTS}, o AS (SELECT n.p_partkey, k, told, amount, servings, number, action FROM n JOIN a USING (p_partkey)),
+    w AS (SELECT p_partkey, CASE WHEN action = 'set_text' THEN CAST(CAST(number AS BIGINT) AS VARCHAR) || CASE WHEN number = 1 THEN ' serving' ELSE ' servings' END ELSE CASE k WHEN 0 THEN 'serves ' || CAST(told AS BIGINT) WHEN 1 THEN '' WHEN 2 THEN '½ loaf' ELSE 'some' END END AS y,
+        CASE action WHEN 'set_text' THEN number WHEN 'set_servings' THEN CASE k WHEN 0 THEN told ELSE 0.5 END WHEN 'sync_qty' THEN servings ELSE amount END AS amount,
+        CASE k WHEN 0 THEN 'serves ' || CAST(told AS BIGINT) WHEN 1 THEN '' WHEN 2 THEN '½ loaf' ELSE 'some' END AS old_y, amount AS old, action FROM o)
+    SELECT p_partkey, CASE WHEN amount >= 45 THEN old_y ELSE y END AS y, CASE WHEN amount >= 45 AND action IS NOT NULL THEN old ELSE amount END AS amount,
+        (SELECT count(*) FILTER (action IS NOT NULL AND amount < 45) FROM w) AS applied, (SELECT count(*) FILTER (action IS NOT NULL AND amount >= 45) FROM w) AS failed FROM w""")
+def yields_written(spark, d):
+    """The yield plan applied to a database in one transaction; the table refuses amounts from 45 on."""
+    rows = _yield_rows(spark, d)
+    path = _database(spark, "yields", "CREATE TABLE recipes (p_partkey INTEGER PRIMARY KEY, y TEXT, amount REAL, servings REAL, planned INTEGER, CHECK (planned IS NULL OR amount < 45))")
+    database.changed(rows.select("*", F.lit(None).cast("int").alias("planned")), url=path, table="recipes", keys="p_partkey", mode="upsert")
+    plan = yields.planned(rows, "p_partkey", "y", "amount", "servings")
+    new = yields.applied(rows, plan, "p_partkey", "y", "amount", "servings").join(plan.select("p_partkey"), "p_partkey", "left_semi")
+    applied, failed = database.changed(new.withColumn("planned", F.lit(1)), url=path, table="recipes", keys="p_partkey")
+    found = database.read(spark, "p_partkey long, y string, amount double", url=path, table="recipes", key="p_partkey", parts="4")
+    return found.select("*", F.lit(applied).cast("long").alias("applied"), F.lit(failed).cast("long").alias("failed"))
+
+
+@query("""WITH e AS (SELECT user_id, event_id, nullif(event_type, 'view') AS kind, value FROM events), h AS (SELECT user_id, arg_max(kind, event_id) FILTER (kind IS NOT NULL) AS kind, arg_max(value, event_id) AS value FROM e WHERE event_id % 2 = 0 GROUP BY 1),
+    l AS (SELECT user_id, arg_max(kind, event_id) FILTER (kind IS NOT NULL) AS kind, arg_max(value, event_id) AS value FROM e WHERE event_id % 2 = 1 GROUP BY 1)
+    SELECT user_id, coalesce(l.kind, h.kind) AS kind, coalesce(l.value, h.value) AS value FROM h FULL JOIN l USING (user_id)""")
+def rows_upserted(spark, d):
+    """Two writes to a table, in which the last value of each column wins and null keeps what is there."""
+    path = _database(spark, "upserts", "CREATE TABLE users (user_id INTEGER PRIMARY KEY, kind TEXT, value REAL)")
+    rows = t(spark, d, "events").select("user_id", "event_id", F.nullif("event_type", F.lit("view")).alias("kind"), "value")
+    for k in (0, 1):
+        database.changed(rows.filter(F.col("event_id") % 2 == k), order="event_id", url=path, table="users", keys="user_id", mode="upsert", partial=True)
+    return database.read(spark, "user_id long, kind string, value double", url=path, table="users", key="user_id", parts="3")
