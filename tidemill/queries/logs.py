@@ -8,7 +8,7 @@ from ..operators import runs as R
 from ..sources.readers import blocks, env_lines, tail
 from ..sources.scratch import scratch_path
 from ..streaming import limits
-from .registry import query, t
+from .registry import SQL, query, t
 
 _TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -161,3 +161,25 @@ def stream_interval_counts(spark, d):
     counts = limits.interval_counts(stream, "ts", "6 hours", "1 day", "event_type")
     counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{out}/rows")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/rows").groupBy(F.col("start").cast("timestamp_ntz").alias("start"), "event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
+def _streamed(spark, d, name, limit):
+    """The rows that ``limit`` gives of the events as a stream, from all files there are."""
+    schema = t(spark, d, "events").schema
+    out = scratch_path(spark, name)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    limit(stream).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query("""SELECT user_id, ts, count(*) OVER w AS n, count(*) OVER w > 1 AS blocked FROM events
+    WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)""")
+def action_limiter_stream(spark, d):
+    found = _streamed(spark, d, "actions", lambda e: limits.limiter(e, "user_id", "ts", 300, 1))
+    return found.select(F.col("key").alias("user_id"), F.col("ts").cast("timestamp_ntz").alias("ts"), "n", "blocked")
+
+
+@query(SQL["login_limiter"])
+def login_limiter_stream(spark, d):
+    found = _streamed(spark, d, "logins", lambda e: limits.login_limiter(e.filter("event_type IN ('error', 'signup')"), "user_id", "ts", "event_id", F.col("event_type") == "error", 86400, 3))
+    return found.select(F.col("attempt").alias("event_id"), F.col("key").alias("user_id"), "recent", "blocked")

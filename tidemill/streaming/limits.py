@@ -1,42 +1,13 @@
-"""Streams: sliding-window limits with keyed state, interval counts, incremental take-up and the state of runs."""
+"""Streams: limits, interval counts, incremental take-up and the state of runs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-
-def limiter(events: DataFrame, key: str, ts: str, seconds: int, limit: int, grace: str = "10 minutes") -> DataFrame:
-    """Each event of the stream with n, the hits of its key in the ``seconds`` up to it, and blocked (n over the limit).
-
-    An event that comes late counts the hits that were before it, not those after.  A key's state is the times that a
-    late event could still count, and goes when the watermark (``grace`` behind the newest event) has passed it."""
-    span = seconds * 1_000_000
-
-    def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held = np.array(state.get[0] if state.exists else [], np.int64)
-        new = np.sort(pd.concat(list(batches))["us"].to_numpy())
-        held = np.sort(np.concatenate([held, new]))
-        counts = np.searchsorted(held, new, "right") - np.searchsorted(held, new - span, "right")
-        newest = int(held[-1])
-        held = held[held > state.getCurrentWatermarkMs() * 1000 - span]
-        state.update((held.tolist(),))
-        state.setTimeoutTimestamp(max(newest // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"key": name[0], "us": new, "n": counts})
-
-    kind = events.schema[key].dataType.simpleString()
-    found = events.withWatermark(ts, grace).select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us")).groupBy("key").applyInPandasWithState(
-        step, f"key {kind}, us long, n long", "held array<long>", "append", GroupStateTimeout.EventTimeTimeout,
-    )
-    return found.select("key", F.timestamp_micros("us").alias("ts"), "n", (F.col("n") > limit).alias("blocked"))
+
+from .sliding import limiter, login_limiter  # noqa: F401  the limits over sliding windows
 
 
 def interval_counts(events: DataFrame, ts: str, every: str, grace: str, *by: str) -> DataFrame:
