@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as R
 from ..sources.readers import blocks, env_lines, tail
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, written
 from ..streaming import limits
+from ..streaming.taken import Taken
 from .registry import SQL, query, t
 
 _TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -183,3 +184,18 @@ def action_limiter_stream(spark, d):
 def login_limiter_stream(spark, d):
     found = _streamed(spark, d, "logins", lambda e: limits.login_limiter(e.filter("event_type IN ('error', 'signup')"), "user_id", "ts", "event_id", F.col("event_type") == "error", 86400, 3))
     return found.select(F.col("attempt").alias("event_id"), F.col("key").alias("user_id"), "recent", "blocked")
+
+
+@query("""WITH e AS (SELECT *, least(event_id // 3000, 3) AS batch FROM events), f AS (SELECT *, min(batch) OVER (PARTITION BY user_id, event_type) AS first FROM e)
+    SELECT event_id, user_id, event_type, batch FROM f WHERE batch = first""")
+def taken_once(spark, d):
+    """The events in four batches: each takes what no batch before it has taken of a user and kind."""
+    table = Taken(spark, scratch_path(spark, "taken"), 16, 2)
+    events = t(spark, d, "events").select("event_id", "user_id", "event_type", F.least(F.floor(F.col("event_id") / 3000), F.lit(3)).cast("long").alias("batch"))
+    found = None
+    for n in range(4):
+        fresh = table.fresh(events.filter(F.col("batch") == n), ["user_id", "event_type"], n)
+        table.take(fresh, ["user_id", "event_type"], n)
+        fresh = written(fresh, "taken-rows")
+        found = fresh if found is None else found.unionByName(fresh)
+    return found

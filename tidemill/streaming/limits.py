@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sliding import limiter, login_limiter  # noqa: F401  the limits over sliding windows
+from .taken import incremental  # noqa: F401  take-up that remembers
 
 
 def interval_counts(events: DataFrame, ts: str, every: str, grace: str, *by: str) -> DataFrame:
@@ -30,23 +29,3 @@ def activity(events: DataFrame, key: str, ts: str, gap: str, grace: str) -> Data
 def run_states(events: DataFrame, run: str, ts: str, status: str) -> DataFrame:
     """The last status of every run (complete or update mode)."""
     return events.groupBy(run).agg(F.max_by(status, ts).alias("status"), F.min(ts).alias("first"), F.max(ts).alias("last"))
-
-
-def incremental(events: DataFrame, state_path: str, key: str, version: Column, take: Callable[[DataFrame], None]):
-    """A writer that gives ``take`` the rows of each micro-batch whose key hasn't been seen at that version, and remembers
-    them in a table at ``state_path``.  A batch that is run again finds its own rows and takes them again."""
-
-    def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_version", version.cast("string"))
-        seen = None
-        try:
-            seen = spark.read.parquet(state_path).filter(F.col("_batch") != number)
-        except Exception as e:  # no state yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh = rows.join(seen.select(key, "_version").distinct(), [key, "_version"], "left_anti") if seen is not None else rows
-        fresh.select(key, "_version").distinct().write.mode("overwrite").parquet(f"{state_path}/_batch={number}")
-        take(fresh.drop("_version"))
-
-    return events.writeStream.foreachBatch(each)
