@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_slug
-from ..operators import sync
+from ..operators import renames, sync
 from .registry import query, t
 
 
@@ -114,3 +114,27 @@ def slug_repair(spark, d):
     expected = F.concat_ws("-", plain_slug(F.col("p_name")), (F.col("p_partkey") % 40).cast("string"))
     part = t(spark, d, "part").withColumn("expected", expected).withColumn("slug", F.when(F.col("p_partkey") % 4 == 0, F.col("expected")).otherwise(F.concat(F.lit("old-"), F.col("p_partkey").cast("string"))))
     return sync.repaired_slugs(part, "p_partkey", "slug", "expected")
+
+
+# Each part wants the name of the one before it, but some have theirs, some want a name that many want, and some one that comes later.
+_WANTS = "CASE WHEN p_partkey % 1000 = 500 THEN 's' || (p_partkey + 1) WHEN p_partkey % 333 = 0 THEN 's' || p_partkey WHEN p_partkey % 17 = 3 THEN 'new' || (p_partkey % 5) WHEN p_partkey % 29 = 0 THEN 's' || (p_partkey - 2) ELSE 's' || (p_partkey - 1) END"
+_TURNS = f"""WITH RECURSIVE r AS (SELECT p_partkey, 's' || p_partkey AS old, {_WANTS} AS new FROM part), w AS (SELECT * FROM r WHERE old <> new),
+    a AS (SELECT w.p_partkey, w.new, h.p_partkey AS waits FROM w LEFT JOIN r ON r.old = w.new LEFT JOIN w AS h ON h.old = w.new WHERE r.old IS NULL OR h.p_partkey < w.p_partkey),
+    f AS MATERIALIZED (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY new ORDER BY p_partkey) = 1),
+    ok AS (SELECT p_partkey, waits FROM f WHERE waits IS NULL UNION ALL SELECT f.p_partkey, f.waits FROM ok JOIN f ON f.waits = ok.p_partkey),
+    t AS (SELECT w.p_partkey, w.old AS old_name, w.new AS new_name, CASE WHEN ok.p_partkey IS NULL THEN 'conflict' ELSE 'rename' END AS action, ok.waits IS NOT NULL AS frees FROM w LEFT JOIN ok USING (p_partkey))"""
+
+
+def _turns(spark, d):
+    part = t(spark, d, "part").select("p_partkey", F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("slug"), F.expr(_WANTS).alias("wanted"))
+    return renames.in_turn(part, "p_partkey", "p_partkey", "slug", "wanted")
+
+
+@query(f"{_TURNS} SELECT * FROM t")
+def renames_in_turn(spark, d):
+    return _turns(spark, d)
+
+
+@query(f"{_TURNS} SELECT count(*) FILTER (action = 'rename') AS applied, count(*) FILTER (action = 'conflict') AS skipped FROM t")
+def rename_outcome(spark, d):
+    return renames.rename_counts(_turns(spark, d))
