@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed
+from .gates import finds_each, gated
+
+#: Rules up to which each is a column of its own.
+GATED = 32
 
 
 @dataclass(frozen=True)
@@ -40,17 +46,20 @@ def rules_from(names: DataFrame, column: str, section: str, match_on: str = "bot
     return kept.select(F.lit(section).alias("section"), "target", pattern_for(F.col("target")).alias("pattern"), F.lit(match_on).alias("match_on")).orderBy(F.lower("target"))
 
 
-def usable(rules: Sequence[Rule]) -> list[Rule]:
-    """Enabled rules with a target and a pattern that compiles; the driver checks, so that no task fails on one."""
-    found = []
-    for r in rules:
-        try:
-            re.compile(r.pattern)
-        except re.error:
-            continue
-        if r.enabled and r.target.strip() and r.pattern.strip():
-            found.append(r)
-    return found
+def usable(rules: Sequence[Rule], spark: SparkSession) -> list[Rule]:
+    """Enabled rules with a target and patterns that compile where they will run; the driver checks, so that no task fails on one."""
+    compiled: dict[str, bool] = {}
+
+    def compiles(pattern: str) -> bool:
+        if pattern not in compiled:
+            try:
+                spark._jvm.java.util.regex.Pattern.compile(f"(?iu){pattern}")
+                compiled[pattern] = True
+            except (IllegalArgumentException, Py4JJavaError):
+                compiled[pattern] = False
+        return compiled[pattern]
+
+    return [r for r in rules if r.enabled and r.target.strip() and r.pattern.strip() and compiles(r.pattern) and compiles(r.exclude)]
 
 
 def finds(text: Column, pattern: str) -> Column:
@@ -61,10 +70,13 @@ def finds(text: Column, pattern: str) -> Column:
 def text_matches(records: DataFrame, rules: Sequence[Rule], key: str, name: str, description: str) -> DataFrame:
     """key, section, target of every rule that a record's name or description matches.
 
-    All rules are columns of one scan; rows only appear for matches."""
+    All rules are columns of one scan; rows only appear for matches.  More than ``GATED`` rules go through :mod:`gates`."""
     fields = {"name": [name], "description": [description]}
+    kept = usable(rules, records.sparkSession)
+    if len(kept) > GATED:
+        return gated_matches(records, kept, key, name, description)
     hits = []
-    for r in usable(rules):
+    for r in kept:
         said = [finds(F.col(c), r.pattern) for c in fields.get(r.match_on, [name, description])]
         hit = said[0] if len(said) == 1 else said[0] | said[1]
         if r.exclude:
@@ -76,6 +88,28 @@ def text_matches(records: DataFrame, rules: Sequence[Rule], key: str, name: str,
     return records.select(key, F.explode(F.array_compact(F.array(*hits))).alias("hit")).select(key, "hit.section", "hit.target").distinct()
 
 
+def gated_matches(records: DataFrame, rules: Sequence[Rule], key: str, name: str, description: str) -> DataFrame:
+    """The same for any number of rules that are usable: only those run on a record that an automaton leaves open for it, and
+    neither the plan nor, but for the matches themselves, the time grows with the rules."""
+    known = records.sparkSession.sparkContext.broadcast([(r.section, r.target, r.pattern, r.exclude, r.match_on != "description", r.match_on != "name") for r in rules])
+    kind = "array<struct<section: string, target: string, pattern: string, exclude: string, name: boolean, description: boolean>>"
+
+    @F.pandas_udf(kind)
+    def told(numbers: pd.Series) -> pd.Series:
+        names = ("section", "target", "pattern", "exclude", "name", "description")
+        return numbers.map(lambda own: [dict(zip(names, known.value[i])) for i in own])
+
+    rows = records.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(description).alias("description"))
+    opened = gated(rows, [r.pattern for r in rules], ["name", "description"], "rules").filter(F.size("rules") > 0).withColumn("rules", told("rules"))
+
+    def hit(r: Column) -> Column:
+        said = lambda p: (r["name"] & finds_each(F.col("name"), p)) | (r["description"] & finds_each(F.col("description"), p))
+        return said(r["pattern"]) & ~said(r["exclude"])
+
+    found = opened.select("key", F.explode(F.filter("rules", hit)).alias("hit"))
+    return found.select(F.col("key").alias(key), "hit.section", "hit.target").distinct()
+
+
 def step_matches(steps: DataFrame, rules: Sequence[Rule], key: str, text: str) -> DataFrame:
     """key, section, target of the rules that any of a record's steps matches (one row a step)."""
     return text_matches(steps, rules, key, text, text)
@@ -87,7 +121,7 @@ def part_matches(parts: DataFrame, names: DataFrame, rules: Sequence[Rule], key:
     The rules run once on each name, not on each link."""
     hits = [
         F.when(finds(F.col(name), r.pattern) & (~finds(F.col(name), r.exclude) if r.exclude else F.lit(True)), F.struct(F.lit(r.section).alias("section"), F.lit(r.target).alias("target"), F.lit(r.min_matches).alias("needed")))
-        for r in usable(rules)
+        for r in usable(rules, names.sparkSession)
     ]
     named = names.select(part, F.explode(F.array_compact(F.array(*hits))).alias("hit"))
     counted = parts.select(key, part).join(named, part).groupBy(key, "hit").agg(F.count_distinct(part).alias("n"))

@@ -122,3 +122,14 @@ def filter_unknown_values(spark, d):
 def missing_any(spark, d):
     """Records that lack tags or a description."""
     return records(spark, d).filter((F.col("n_parts") == 0) | (F.col("o_orderpriority") == "4-NOT SPECIFIED")).select("o_orderkey")
+
+
+@query(r"""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS name FROM benchmark),
+    w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}_]+')) AS word FROM documents)
+    SELECT name AS target, count(*) AS matched FROM w JOIN n ON word = name GROUP BY 1""")
+def rules_many(spark, d):
+    """Every word of the benchmark as a rule, thousands of them, over the documents."""
+    names = t(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1))).alias("name"))
+    made = [Rule(r["section"], r["target"], r["pattern"]) for r in R.rules_from(names, "name", "text_tags").collect()]  # rules are what an editor keeps
+    found = R.text_matches(t(spark, d, "documents").select("doc_id", "text", F.lit("").alias("none")), made, "doc_id", "text", "none")
+    return R.matched_counts(found, "doc_id").select("target", "matched")
