@@ -6,9 +6,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,36 +91,79 @@ def column(clauses: list[Clause], arrays: Mapping[str, Column]) -> Column:
     return held
 
 
+def divided(records: DataFrame, key: str, clauses: list[Clause], links: Mapping[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """The records that a filter selects, by relational division: ``links`` gives each field's table, with its columns of record keys and
+    of values.
+
+    Of a table only the rows with a wanted value are read, and each record's wanted values are bits that map tasks combine, so that
+    no record's values are gathered.  Values that aren't of the column's type match nothing.  A record without a key has no links."""
+    held = F.lit(True)
+    kept = records
+    for n, field in enumerate(dict.fromkeys(c.field for c in clauses)):
+        table, of, value = links[field]
+        kind = table.schema[value].dataType
+        own = [c for c in clauses if c.field == field]
+        wanted = list(dict.fromkeys(v for c in own for v in c.values))
+        typed = {v: F.lit(v).try_cast(kind) for v in wanted}
+        words = [wanted[k:k + 62] for k in range(0, len(wanted), 62)]
+        masks = []
+        for k, word in enumerate(words):
+            bit = F.lit(0).cast("long")
+            for b, v in enumerate(word):
+                bit = F.when(F.col(value) == typed[v], F.lit(1 << b).cast("long")).otherwise(bit)
+            masks.append(F.bit_or(bit).alias(f"_m{n}_{k}"))
+        found = table.filter(F.col(value).isin(*typed.values())).groupBy(F.col(of).alias(f"_k{n}")).agg(*masks)
+        kept = kept.join(found, F.col(key) == F.col(f"_k{n}"), "left")
+        for c in own:
+            bits = [sum(1 << word.index(v) for v in set(c.values) if v in word) for word in words]
+            has = [F.coalesce(F.col(f"_m{n}_{k}"), F.lit(0).cast("long")).bitwiseAND(F.lit(b).cast("long")) for k, b in enumerate(bits)]
+            test = reduce(Column.__and__, (h == b for h, b in zip(has, bits))) if c.op == "CONTAINS ALL" else reduce(Column.__or__, (h != 0 for h in has))
+            held = held & (~test if c.op == "NOT IN" else test)
+    return kept.filter(held).select(*(records[c] for c in records.columns))
+
+
+def _keyed(filters: DataFrame, key: str, text: str) -> DataFrame:
+    if key in ("field", "value", "error", "part"):
+        raise ValueError(f"the key is called {key}, as a column of the result is")
+    return filters.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+
+
+_LISTED = r"([A-Za-z_.]+)\.name\s+(?:NOT\s+IN|IN|CONTAINS\s+ALL)\s*\[([^\]]*)\]"
+
+
+def _unknown(texts: DataFrame, names: DataFrame, clause: str) -> DataFrame:
+    """_key, field and value of the names that aren't known, of the places in ``_text`` that ``clause`` finds."""
+    fields, lists = (F.regexp_extract_all(F.col("_text"), F.lit(f"(?i){clause}"), F.lit(k)) for k in (1, 2))
+    parts = texts.select("_key", F.explode(F.arrays_zip(fields.alias("field"), lists.alias("list"))).alias("_c"))
+    field = F.coalesce(*(F.when(F.lower("_c.field") == k, F.lit(v)) for k, v in FIELDS.items()))
+    each = parts.select("_key", field.alias("field"), F.explode(value_list(F.col("_c.list"))).alias("value"))
+    known = names.select("field", F.lower(F.trim("name")).alias("_name")).distinct()
+    return each.filter("value <> ''").withColumn("_name", F.lower(F.trim("value"))).join(known, ["field", "_name"], "left_anti").select("_key", "field", "value").distinct()
+
+
 def unknown_values(filters: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """Names in the filters of a table that aren't among ``names`` (field, name): key, field, value.
 
     The clauses are taken apart by expressions, so a table of very many filters is fine too."""
-    clause = r"([A-Za-z_.]+)\.name\s+(?:NOT\s+IN|IN|CONTAINS\s+ALL)\s*\[([^\]]*)\]"
-    fields = F.regexp_extract_all(F.col(text), F.lit(f"(?i){clause}"), F.lit(1))
-    lists = F.regexp_extract_all(F.col(text), F.lit(f"(?i){clause}"), F.lit(2))
-    parts = filters.select(key, F.explode(F.arrays_zip(fields.alias("field"), lists.alias("list"))).alias("c"))
-    field = F.coalesce(*(F.when(F.lower("c.field") == k, F.lit(v)) for k, v in FIELDS.items()))
-    each = parts.select(key, field.alias("field"), F.explode(value_list(F.col("c.list"))).alias("value"))
-    known = names.select("field", F.lower(F.trim("name")).alias("k")).distinct()
-    return each.filter("value <> ''").withColumn("k", F.lower(F.trim("value"))).join(known, ["field", "k"], "left_anti").select(key, "field", "value").distinct()
+    return _unknown(_keyed(filters, key, text), names, _LISTED).withColumnRenamed("_key", key)
 
 
-def names_used(filters: DataFrame, text: str) -> DataFrame:
-    """Whether any filter refers to names, which need looking up: one row, needed."""
-    return filters.agg(F.coalesce(F.max(F.col(text).rlike(r"(?i)\b(?:recipe_category|recipeCategory|tags|tools)\.name\b")), F.lit(False)).alias("needed"))
+def names_used(filters: DataFrame, text: str, by: Sequence[str] = ()) -> DataFrame:
+    """Whether any filter refers to names, which need looking up: ``by`` and needed, a row for each ``by``, or one."""
+    return filters.groupBy(*by).agg(F.coalesce(F.max(F.col(text).rlike(r"(?i)\b(?:recipe_category|recipeCategory|tags|tools)\.name\b")), F.lit(False)).alias("needed"))
 
 
 def errors(filters: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """What is wrong with the filters of a table: key, error (not_a_clause, unknown_field, no_values or unknown_name), part.  ``names`` as for
-    :func:`unknown_values`.  A filter without any text is fine."""
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\bCONTAINS[_ ]ANY\b", "IN"), r"\s+", " "))
-    parts = filters.select(key, F.explode(F.filter(F.split(plain, r"(?i)\s+AND\s+"), lambda p: p != "")).alias("part"))
+    :func:`unknown_values`.  A filter without any text is fine; names are looked up in parts that are clauses."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("_text", F.lit("")), r"(?i)\bCONTAINS[_ ]ANY\b", "IN"), r"\s+", " "))
+    parts = _keyed(filters, key, text).select("_key", F.explode(F.filter(F.split(plain, r"(?i)\s+AND\s+"), lambda p: p != "")).alias("_text"))
     clause = r"(?i)^\s*([A-Za-z_.]+)\.(?:name|id)\s+(?:NOT\s+IN|IN|CONTAINS\s+ALL)\s*\[([^\]]*)\]\s*$"
-    field, listed = F.lower(F.regexp_extract("part", clause, 1)), value_list(F.regexp_extract("part", clause, 2))
-    error = F.when(~F.col("part").rlike(clause), "not_a_clause").when(~field.isin(list(FIELDS)), "unknown_field").when(F.size(listed) == 0, "no_values")
-    wrong = parts.withColumn("error", error).filter("error IS NOT NULL").select(key, "error", "part")
-    unknown = unknown_values(filters, key, text, names).filter("field IS NOT NULL").select(key, F.lit("unknown_name").alias("error"), F.col("value").alias("part"))
-    return wrong.unionByName(unknown)
+    field, listed = F.lower(F.regexp_extract("_text", clause, 1)), value_list(F.regexp_extract("_text", clause, 2))
+    error = F.when(~F.col("_text").rlike(clause), "not_a_clause").when(~field.isin(list(FIELDS)), "unknown_field").when(F.size(listed) == 0, "no_values")
+    wrong = parts.withColumn("error", error).filter("error IS NOT NULL").select("_key", "error", F.col("_text").alias("part"))
+    unknown = _unknown(parts, names, rf"^\s*{_LISTED}\s*$").filter("field IS NOT NULL").select("_key", F.lit("unknown_name").alias("error"), F.col("value").alias("part")).distinct()
+    return wrong.unionByName(unknown).withColumnRenamed("_key", key)
 
 
 def lenient(text: str) -> list[Clause]:
@@ -131,3 +176,11 @@ def lenient(text: str) -> list[Clause]:
             op = " ".join(m[3].upper().split())
             found.append(Clause(field, m[2].lower(), op if op in OPERATORS else "IN", tuple(values(m[4]))))
     return found
+
+
+def shown_leniently(text: Column) -> Column:
+    """The same for a column of filters, as text."""
+    @F.pandas_udf("string")
+    def shown(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: " AND ".join(map(str, lenient(x))))
+    return shown(F.coalesce(text, F.lit("")))

@@ -23,11 +23,13 @@ def filter_errors(spark, d):
     return filters.errors(_saved(spark, d), "n_nationkey", "filter", known)
 
 
-@query("""SELECT * FROM (VALUES (0, 'tags.name IN ["a", "b"]'), (1, 'tools.id CONTAINS ALL ["1"]'), (2, 'recipe_category.name IN ["x"]'), (3, '')) v(id, shown)""")
+@query("""SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'tags.name IN ["' || s_name || '", "b"]' WHEN 1 THEN 'tools.id CONTAINS ALL ["' || s_nationkey || '"]' WHEN 2 THEN 'recipe_category.name IN ["' || s_name || '"]' ELSE '' END AS shown FROM supplier""")
 def filters_lenient(spark, d):
     """Filters as an editor shows them: parts that it doesn't know are dropped."""
-    rows = ['tags.name LIKE ["a", "b"] AND colour.name IN ["red"]', "tools.id contains all [\'1\'] and nonsense", "recipeCategory.name contains any [x]", "none of it"]
-    return spark.createDataFrame([(i, " AND ".join(map(str, filters.lenient(x)))) for i, x in enumerate(rows)], "id int, shown string")
+    k, name = F.col("s_suppkey") % 4, F.col("s_name")
+    text = F.when(k == 0, F.concat(F.lit('tags.name LIKE ["'), name, F.lit('", "b"] AND colour.name IN ["red"]'))).when(k == 1, F.concat(F.lit("tools.id contains all ['"), F.col("s_nationkey").cast("string"), F.lit("'] and nonsense"))).when(
+        k == 2, F.concat(F.lit("recipeCategory.name contains any ["), name, F.lit("]"))).otherwise("none of it")
+    return t(spark, d, "supplier").select("s_suppkey", filters.shown_leniently(text).alias("shown"))
 
 
 @query("""WITH p AS (SELECT p_partkey, p_name, p_partkey % 3 <> 0 AS ok, coalesce(sum(CAST(p_partkey % 3 <> 0 AS INT)) OVER (ORDER BY p_name, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM part) SELECT p_partkey, ok FROM p WHERE done < 30""")

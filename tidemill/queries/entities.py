@@ -79,12 +79,8 @@ def cached_skip(spark, d):
 
 @query("SELECT n_regionkey, max(CASE WHEN n_nationkey = 3 THEN 1 ELSE 0 END) = 1 AS needed FROM nation GROUP BY 1")
 def filters_need_names(spark, d):
-    nation, out = t(spark, d, "nation"), None
     text = F.when(F.col("n_nationkey") == 3, 'Tags.NAME IN ["x"]').otherwise('tags.id IN ["1"] AND nickname IN ["tags"]')
-    for r in range(5):
-        own = filters.names_used(nation.filter(F.col("n_regionkey") == r).withColumn("f", text), "f").select(F.lit(r).alias("n_regionkey"), "needed")
-        out = own if out is None else out.unionByName(own)
-    return out
+    return filters.names_used(t(spark, d, "nation").withColumn("f", text), "f", ["n_regionkey"])
 
 
 @query("""WITH i AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 7 = 0 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS food, CASE WHEN l_suppkey % 2 = 0 THEN 'cup' END AS unit, CASE WHEN l_linenumber = 3 THEN '' ELSE l_returnflag END AS note,
@@ -142,13 +138,13 @@ def unit_entries(spark, d):
     return rows.select("n_nationkey", "u.name", "u.abbreviation", "u.fraction", "u.use_abbreviation", F.array_join("u.aliases", ",").alias("aliases"))
 
 
-_SHAPES = [("units", '[{"name": "a", "aliases": []}, {"name": "b"}]'), ("cookbooks", '[{"name": "a", "public": true}, {"name": "b"}]'), ("strings", '["a", "b"]'), ("names", '[{"name": "a"}]'), ("mixed", '[{"name": "a"}, "b"]'), ("strings", "[]"), (None, '{"a": 1}')]
+_SHAPES = """CASE p_partkey % 7 WHEN 0 THEN '[{"name": "' || p_name || '", "aliases": []}, {"name": "b"}]' WHEN 1 THEN '[{"name": "a", "public": true}, {"name": "' || p_name || '"}]' WHEN 2 THEN '["a", "' || p_name || '"]'
+    WHEN 3 THEN '[{"name": "' || p_name || '"}]' WHEN 4 THEN '[{"name": "a"}, "' || p_name || '"]' WHEN 5 THEN '[]' ELSE '{"a": "' || p_name || '"}' END"""
 
 
-@query("SELECT * FROM (VALUES (0, 'units'), (1, 'cookbooks'), (2, 'strings'), (3, 'names'), (4, 'mixed'), (5, 'strings'), (6, NULL)) v(id, shape)")
+@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'units' WHEN 1 THEN 'cookbooks' WHEN 2 THEN 'strings' WHEN 3 THEN 'names' WHEN 4 THEN 'mixed' WHEN 5 THEN 'strings' END AS shape FROM part")
 def payload_shapes(spark, d):
-    rows = spark.createDataFrame([(i, x) for i, (_, x) in enumerate(_SHAPES)], "id int, json string")
-    return rows.select("id", checks.shape(F.col("json")).alias("shape"))
+    return t(spark, d, "part").select("p_partkey", checks.shape(F.expr(_SHAPES)).alias("shape"))
 
 
 # --- saved collections ------------------------------------------------------------

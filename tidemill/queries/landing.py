@@ -67,15 +67,18 @@ def report_read(spark, d):
     return readers.report_summary(spark, at, ["total", "gold", "silver", "bronze"])
 
 
-@query("SELECT * FROM (VALUES ('parts', 'part.parquet', true, 'table'), ('rules', 'rules.json', false, 'object')) v(name, path, \"exists\", expected_type)")
+@query("""SELECT n_name AS name, 'n_nationkey=' || n_nationkey AS path, n_nationkey % 3 <> 0 AS "exists", 'table' AS expected_type FROM nation""")
 def managed_files(spark, d):
-    return readers.managed_files(spark, d, [("parts", "part.parquet", "table"), ("rules", "rules.json", "object")])
+    """A folder for each nation, of which a third were never written."""
+    at, nation = scratch_path(spark, "managed"), t(spark, d, "nation").orderBy("n_nationkey")
+    nation.filter("n_nationkey % 3 <> 0").write.partitionBy("n_nationkey").parquet(at)
+    return readers.managed_files(spark, at, [(r["n_name"], f"n_nationkey={r['n_nationkey']}", "table") for r in nation.collect()])  # a few names
 
 
-@query("SELECT p_name || ' ' || p_size AS value FROM part WHERE p_size < 10")
+@query("SELECT p_name || ' ' || p_size AS value FROM part")
 def success_log(spark, d):
     at = scratch_path(spark, "successes")
-    writers.success_log(t(spark, d, "part").filter("p_size < 10").select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("line")), "line", at)
+    writers.success_log(t(spark, d, "part").select(F.concat_ws(" ", "p_name", F.col("p_size").cast("string")).alias("line")), "line", at)
     return spark.read.text(at)
 
 
@@ -182,15 +185,14 @@ def run_seconds(spark, d):
     return events.select("event_id", (runs.micros("ts") % 1_000_000 / 1_000_000).alias("x"), views.ran_for(F.col("ts"), finished, now).alias("seconds"))
 
 
-@query("SELECT * FROM (VALUES (0, 'junk', 'ok', 3), (1, 'names', 'failed', 0), (2, 'yield', 'ok', 5)) v(seq, stage, status, planned)")
+@query("""SELECT 0 AS seq, 'junk' AS stage, 'ok' AS status, count(*) FILTER (p_size < 10) AS planned FROM part UNION ALL SELECT 1, 'names', 'failed', 0
+    UNION ALL SELECT 2, 'yield', 'ok', count(*) FROM lineitem WHERE l_quantity < 20""")
 def maintenance_run(spark, d):
-    """Three stages over the nations, of which one fails."""
-    def cut(n):
-        return lambda tables: (tables["nation"].limit(n), {})
-
+    """Three stages over the parts and lines, of which one fails."""
     def broken(tables):
         raise ValueError("no names")
-    done = stages.run({"junk": cut(3), "names": broken, "yield": cut(5)}, {"nation": t(spark, d, "nation")}, stages.stage_list("junk, names,yield,junk"))
+    todo = {"junk": lambda tables: (tables["part"].filter("p_size < 10"), {}), "names": broken, "yield": lambda tables: (tables["lineitem"].filter("l_quantity < 20"), {})}
+    done = stages.run(todo, {n: t(spark, d, n) for n in ("part", "lineitem")}, stages.stage_list("junk, names,yield,junk"))
     return done.summary(spark).select("seq", "stage", "status", "planned")
 
 
@@ -223,8 +225,9 @@ def nutrition_any(spark, d):
     return t(spark, d, "orders").select("o_orderkey", checks.any_truthy(facts).alias("any"))
 
 
-_FORMS = """SELECT p_partkey, p_name AS u, CASE WHEN p_partkey % 3 = 0 THEN 'Secret1' || p_name WHEN p_partkey % 3 = 1 THEN 'secret1' || p_name ELSE 'Se1' END AS w, CASE WHEN p_partkey % 2 = 0 THEN upper(replace(p_name, ' ', '_')) ELSE p_name END AS e,
-    replace(p_name, ' ', CASE WHEN p_partkey % 2 = 0 THEN '.' ELSE '_' END) AS h, CASE WHEN p_partkey % 5 = 0 THEN 'https://169.254.169.254/x' WHEN p_partkey % 5 = 1 THEN 'ftp://a.b' ELSE 'http://' || replace(p_name, ' ', '.') || ':80/x' END AS s FROM part"""
+_FORM = """p_partkey, p_name AS u, CASE WHEN p_partkey % 3 = 0 THEN 'Secret1' || p_name WHEN p_partkey % 3 = 1 THEN 'secret1' || p_name ELSE 'Se1' END AS w, CASE WHEN p_partkey % 2 = 0 THEN upper(replace(p_name, ' ', '_')) ELSE p_name END AS e,
+    replace(p_name, ' ', CASE WHEN p_partkey % 2 = 0 THEN '.' ELSE '_' END) AS h, CASE WHEN p_partkey % 5 = 0 THEN 'https://169.254.169.254/x' WHEN p_partkey % 5 = 1 THEN 'ftp://a.b' ELSE 'http://' || replace(p_name, ' ', '.') || ':80/x' END AS s"""
+_FORMS = f"SELECT {_FORM} FROM part"
 
 
 @query(rf"""WITH f AS ({_FORMS}) SELECT p_partkey, regexp_full_match(replace(u, ' ', CASE WHEN p_partkey % 2 = 0 THEN '.' ELSE ' ' END), '[a-zA-Z0-9_.-]{{3,64}}') AS username,
@@ -232,8 +235,7 @@ _FORMS = """SELECT p_partkey, p_name AS u, CASE WHEN p_partkey % 3 = 0 THEN 'Sec
     regexp_full_match(h, '[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?)*') AS host, regexp_full_match(h, '[a-z_][a-z0-9_.-]{{0,31}}') AS account,
     regexp_full_match(h, '[a-zA-Z0-9][a-zA-Z0-9_.-]*') AS container, p_partkey % 5 > 1 AS service FROM f""")
 def formats_valid(spark, d):
-    t(spark, d, "part").createOrReplaceTempView("_parts_of_formats")
-    f = spark.sql(_FORMS.replace("FROM part", "FROM _parts_of_formats"))
+    f = spark.sql("SELECT " + _FORM + " FROM {part}", part=t(spark, d, "part"))
     return f.select(
         "p_partkey", checks.username(F.replace("u", F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, ".").otherwise(" "))).alias("username"), checks.password(F.col("w")).alias("password"), checks.env_key(F.col("e")).alias("env_key"),
         checks.host(F.col("h")).alias("host"), checks.account(F.col("h")).alias("account"), checks.container(F.col("h")).alias("container"), checks.service_url(F.col("s")).alias("service"),

@@ -71,10 +71,10 @@ def interval_firings(spark, d):
     return R.firings(schedules, "user_id", "start", "every", F.date_trunc("second", _now(events)))
 
 
-@query("""SELECT k, CASE WHEN NOT missed THEN 60 WHEN k = 'once' THEN 2592000 ELSE 604800 END AS grace FROM (VALUES ('once', true), ('once', false), ('interval', true), ('interval', false)) v(k, missed)""")
+@query("""SELECT event_id, CASE WHEN coalesce(value, 0) < 10 THEN 60 WHEN event_type = 'signup' THEN 2592000 ELSE 604800 END AS grace FROM events""")
 def misfire_grace(spark, d):
-    rows = spark.createDataFrame([("once", True), ("once", False), ("interval", True), ("interval", False)], "k string, missed boolean")
-    return rows.select("k", R.grace(F.col("k"), F.col("missed")).alias("grace"))
+    kind = F.when(F.col("event_type") == "signup", "once").otherwise("interval")
+    return t(spark, d, "events").select("event_id", R.grace(kind, F.col("value") >= 10).alias("grace"))
 
 
 @query("SELECT event_type, CAST(props ->> '$.k' AS BIGINT) % 10 AS k, count(*) AS n, sum(CAST(props ->> '$.k' AS BIGINT)) AS total FROM events GROUP BY 1, 2")

@@ -159,15 +159,13 @@ def moments(spark, d):
     return events.select("event_id", numbers.moment(F.date_format("ts", "yyyy-MM-dd'T'HH:mm")).alias("minute"), numbers.moment(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).alias("exact"))
 
 
-_REPLIES = [
-    (1, '[{"slug": "a", "tags": ["x"]}]'), (2, '```json\n[{"slug": "b"}]\n```'), (3, 'Sure! Here it is: [{slug: "c", "tags": ["x",],}] Enjoy.'),
-    (4, "“not json”"), (5, '{"results": [{"slug": "d"}]}'), (6, '[{"slug": "e"}, {"slug": "f", "ta'), (7, "[{'slug': 'g'}]"), (8, ""), (9, None),
-    (10, '[{“slug”: “h”, "url": "https://x.org/a, b: c"}]'),
-]
+_REPLIES = """CASE p_partkey % 10 WHEN 0 THEN '[{"slug": "' || p_name || '", "tags": ["x"]}]' WHEN 1 THEN '```json\n[{"slug": "' || p_name || '"}]\n```' WHEN 2 THEN 'Sure! Here it is: [{slug: "' || p_name || '", "tags": ["x",],}] Enjoy.'
+    WHEN 3 THEN '“not json”' WHEN 4 THEN '{"results": [{"slug": "' || p_name || '"}]}' WHEN 5 THEN '[{"slug": "' || p_name || '"}, {"slug": "f", "ta' WHEN 6 THEN concat('[{', chr(39), 'slug', chr(39), ': ', chr(39), p_name, chr(39), '}]') WHEN 7 THEN '' WHEN 8 THEN NULL
+    ELSE '[{“slug”: “' || p_name || '”, "url": "https://x.org/a, b: c"}]' END"""
 
 
-@query(r"""SELECT * FROM (VALUES (1, '[{"slug": "a", "tags": ["x"]}]'), (2, '[{"slug": "b"}]'), (3, '[{"slug": "c", "tags": ["x"]}]'), (4, NULL), (5, '[{"slug": "d"}]'), (6, '[{"slug": "e"}]'), (7, '[{"slug": "g"}]'),
-    (8, NULL), (9, NULL), (10, '[{"slug": "h", "url": "https://x.org/a, b: c"}]')) v(id, json)""")
+@query("""SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN '[{"slug": "' || p_name || '", "tags": ["x"]}]' WHEN 1 THEN '[{"slug": "' || p_name || '"}]' WHEN 2 THEN '[{"slug": "' || p_name || '", "tags": ["x"]}]' WHEN 4 THEN '[{"slug": "' || p_name || '"}]'
+    WHEN 5 THEN '[{"slug": "' || p_name || '"}]' WHEN 6 THEN '[{"slug": "' || p_name || '"}]' WHEN 9 THEN '[{"slug": "' || p_name || '", "url": "https://x.org/a, b: c"}]' END AS json FROM part""")
 def json_repair(spark, d):
     """Model replies in every kind of disorder, as JSON; null where nothing can be saved."""
-    return spark.createDataFrame(_REPLIES, "id int, reply string").select("id", numbers.repaired_json("reply").alias("json"))
+    return t(spark, d, "part").select("p_partkey", F.expr(_REPLIES).alias("reply")).select("p_partkey", numbers.repaired_json("reply").alias("json"))

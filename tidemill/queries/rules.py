@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import filters
 from ..operators import rules as R
 from ..operators.rules import Rule
-from .registry import query, records, t
+from .registry import SQL, query, records, t
 
 _TEXT_RULES = [
     Rule("text_tags", "Metal", r"\b(bolt|gear|anvil)s?\b"), Rule("text_tags", "Cold", "cold", match_on="name"), Rule("text_tags", "Promo", "promo", match_on="description"),
@@ -96,6 +96,25 @@ def filter_contains_all(spark, d):
     return _filtered(spark, d, 'tags.name CONTAINS ALL ["A", "R"] AND tools.id NOT IN [5, \'6\']')
 
 
+def _divided(spark, d, text):
+    clauses, errors = filters.parse(text)
+    if errors:
+        raise ValueError(errors)
+    lines = t(spark, d, "lineitem")
+    return filters.divided(t(spark, d, "orders"), "o_orderkey", clauses, {"tags": (lines, "l_orderkey", "l_returnflag"), "tools": (lines, "l_orderkey", "l_suppkey")}).select("o_orderkey")
+
+
+@query(SQL["filter_contains_all"])
+def filter_divided(spark, d):
+    """The same filter without any gathered values."""
+    return _divided(spark, d, 'tags.name CONTAINS ALL ["A", "R"] AND tools.id NOT IN [5, \'6\']')
+
+
+@query(f"{_SETS} SELECT o_orderkey FROM o WHERE NOT list_has_any(flags, ['N']) AND list_has_any(suppliers, ['3', '17', '99', 'none'])")
+def filter_divided_in(spark, d):
+    return _divided(spark, d, 'tags.name NOT IN ["N"] AND tools.id IN ["3", "17", "99", "none"]')
+
+
 @query(r"""WITH n AS (SELECT lower(n_name) AS name, CAST(n_nationkey AS VARCHAR) AS id FROM nation)
     SELECT 0 AS id, 'tags.name IN ["NATION_1", "nation_2"]' AS filter, 'tags.id IN ["' || (SELECT id FROM n WHERE name = 'nation_1') || '", "' || (SELECT id FROM n WHERE name = 'nation_2') || '"]' AS compiled, '' AS errors
     UNION ALL SELECT 1, 'tags.name contains  all ["NATION_3"] AND tools.name IN ["x"]', 'tags.id CONTAINS ALL ["' || (SELECT id FROM n WHERE name = 'nation_3') || '"] AND tools.name IN ["x"]', ''

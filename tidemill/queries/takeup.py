@@ -75,7 +75,7 @@ _LINES = r"""WITH l AS (SELECT doc_id, unnest(list_concat(string_split(text, chr
 @query(f"{_LINES} SELECT doc_id, count(*) FILTER (NOT header) AS kept, count(*) FILTER (header) AS dropped FROM h GROUP BY 1")
 def ingredient_lines(spark, d):
     docs = t(spark, d, "documents")
-    lines = F.concat(F.split("text", "\n"), F.array(*map(F.lit, ["For the sauce", "Filling:", "  2  cups   of it", "to serve 4", ""])))
+    lines = F.concat(F.coalesce(F.split("text", "\n"), F.array().cast("array<string>")), F.array(*map(F.lit, ["For the sauce", "Filling:", "  2  cups   of it", "to serve 4", ""])))
     kept = F.size(ingest.clean_lines(lines))
     return docs.select("doc_id", kept.cast("long").alias("kept"), (F.size(lines) - kept).cast("long").alias("dropped"))
 

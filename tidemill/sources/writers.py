@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.dedup import newest
+from ..operators.ordering import numbered
 
 
 @dataclass(frozen=True)
@@ -40,9 +40,10 @@ def expired(rows: DataFrame, until: Column, now: Column) -> DataFrame:
 
 
 def to_rotate(files: DataFrame, by: str, stamp: str, keep: int) -> DataFrame:
-    """Files that rotation deletes: all but the newest ``keep`` of each ``by``."""
-    kept = newest(files, by, F.desc(stamp), keep).drop("rank")
-    return files.join(kept.select(by, stamp), [by, stamp], "left_anti")
+    """Files that rotation deletes: all but the newest ``keep`` of each ``by``.  Of files with one stamp the first by their other
+    columns are kept."""
+    others = [c for c in files.columns if c not in (by, stamp)]
+    return numbered(files, [by], [F.desc_nulls_last(stamp), *others], "_rank").filter(F.col("_rank") > keep).drop("_rank")
 
 
 def success_log(lines: DataFrame, text: str, path: str) -> None:
