@@ -65,11 +65,15 @@ LABELLED = {
     "released into the public domain": "public-domain", "Licence: BSD": "bsd", "the BSD 3-Clause licence": "bsd-3-clause", "CC BY-SA 4.0": "cc-by-sa-4.0", "http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0",
     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd", "Mozilla Public License 2.0": "mpl-2.0",
     "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0", "MIT licensed": "mit", "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0", "Unauthorized copying of this file, via any medium is strictly prohibited": "proprietary",
+    "License: MIT": "mit", 'license = "MIT"': "mit", '"license": "MIT"': "mit", "The license is MIT.": "mit", "licensed under the MIT": "mit", "under the terms of the ISC license": "isc", "dual licensed under BSD": "bsd",
+    "GPLv2 with classpath exception": "gpl-2-classpath", "with the Classpath Exception": "gpl-2-classpath",
 }
 PROSE = [
     "This tool is used by the ruby community and provided by php.", "Published by MIT in 2020.", "The Apache helicopters flew over the boost pump.", "He studied at MIT and then at the university of Illinois.",
     "Vim is an editor; curl fetches pages.", "The Python Software Foundation met in spring.", "General public opinion on library books is good.", "Creative commons in the village were grazed by sheep.",
     "Our elastic bands come in two sizes.", "The zlib code was written in C.", "A driving license is needed here.", "The eclipse was seen by the European Union's public.", "Open software is a common goal.", "The isc met; cc: all.",
+    "Admission is subject to MIT rules.", "Data available under MIT supervision.", "Papers published under ISC in Zurich.", "Driver license mit Foto.", "Die Licence: mitgebracht.", "A classpath exception occurred in Java.",
+    "It is covered under BSD care.", "Released under MIT pressure: nothing.",
 ]
 
 

@@ -1,8 +1,9 @@
 """The license signatures, one a line: label, priority, keywords (one of these words stands in any match), expression.
 
 Texts are lower-case words joined by single spaces: "GPL-3.0" reads ``gpl 3 0`` and "GPLv3" reads ``gplv3``.  An expression matches
-whole words; LICENSE stands for both spellings, UNDER for the ways to say that terms apply, VER for what may stand before
-a number, LATER for "or any later version".
+whole words; LICENSE stands for both spellings, UNDER for the ways to say that terms apply, GRANTED for those that only licenses have,
+which names that are other words too need, VER for what may stand before a number, LATER for "or any later version", and
+MARK for a colon or an equals sign in the text between two words.
 Priorities: 100 identifiers, 90 grants with a version, 85 texts and headers, 80 grants, 60 names with a version,
 50 names before "license", 30 and less hints.  A bare name, as prose has it, is no signature.
 """
@@ -15,9 +16,10 @@ mit 70 permission permission is hereby granted free of charge to any person obta
 mit 85 notice the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
 mit 85 expat expat LICENSE
 mit 80 mit UNDER(?:an? )?mit(?: x11| expat| style)? LICENSE
-mit 80 mit UNDER(?:an? )?mit
+mit 80 mit GRANTED(?:an? )?mit
 mit 50 mit mit(?: style| x11| expat)? LICENSE
-mit 40 mit LICENSE (?:type |is |the )?mit
+mit 40 mit LICENSE (?:type |is |is the )mit
+mit 40 mit LICENSE MARKmit
 mit 40 mit mit licen[sc]ed
 mit-0 100 spdx spdx LICENSE identifier mit 0
 mit-0 60 mit mit no attribution(?: LICENSE)?
@@ -28,7 +30,8 @@ x11 85 consortium except as contained in this notice the name of the x consortiu
 isc 100 spdx spdx LICENSE identifier isc
 isc 85 permission permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 isc 70 permission permission to use copy modify and or distribute this software for any purpose
-isc 80 isc UNDERisc(?: LICENSE)?
+isc 80 isc UNDER(?:an? )?isc LICENSE
+isc 80 isc GRANTED(?:an? )?isc
 isc 50 isc isc LICENSE
 0bsd 100 spdx spdx LICENSE identifier 0bsd
 0bsd 60 0bsd 0bsd(?: LICENSE)
@@ -64,7 +67,7 @@ gpl-2 85 foundation version 2 june 1991 copyright c 1989 1991 free software foun
 gpl-2 70 modify you can redistribute it and or modify it under the terms of the gnu general public LICENSE as published by the free software foundation either version 2 of the LICENSE
 gpl-2 40 gpl|gplv2|gpl2 LICENSE (?:is )?(?:gnu )?gplVER2
 gpl-2-classpath 90 classpath gplVER2(?: 0)? with(?: the)? classpath exception
-gpl-2-classpath 60 classpath classpath exception
+gpl-2-classpath 60 classpath with(?: the)?(?: gnu)? classpath exception
 gpl-3 100 spdx spdx LICENSE identifier gpl 3 0(?: only| or later)?
 gpl-3 90 general UNDER(?:gnu )?general public LICENSE (?:as published by the free software foundation )?(?:either )?version 3(?: 0)?(?: of the LICENSE)?(?: LATER)?
 gpl-3 90 gpl|gplv3|gpl3 UNDER(?:gnu )?gplVER3(?: 0)?(?: LATER)?
@@ -133,7 +136,7 @@ bsd 85 redistribution redistribution and use in source and binary forms with or
 bsd 70 redistribution redistribution and use in source and binary forms with or without modification
 bsd 70 disclaimer redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
 bsd 80 bsd UNDER(?:an? )?bsd(?: style)? LICENSE
-bsd 80 bsd UNDER(?:an? )?bsd
+bsd 80 bsd GRANTED(?:an? )?bsd
 bsd 50 bsd bsd(?: style)? LICENSE
 bsd 40 bsd LICENSE (?:is |type )?bsd
 bsd 40 bsd bsd licen[sc]ed

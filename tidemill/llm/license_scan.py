@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +37,8 @@ class Rule:
 SHORT = {
     "LICENSE": "licen[sc]e",
     "UNDER": "(?:(?:licen[sc]ed|released|distributed|available|published|provided|covered|governed|open sourced|dual licen[sc]ed) under|subject to|under the terms of|under the conditions of) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?",
+    "GRANTED": "(?:licen[sc]ed|open sourced|dual licen[sc]ed) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?",
+    "MARK": "(?P<mark>)",
     "VER": "(?: (?:version )?(?:v ?)?|v)?",
     "LATER": "(?:only|or (?:at your option )?(?:any )?later(?: version)?)",
 }
@@ -75,13 +77,15 @@ def suppressed(found: list[tuple[int, int, int, int]]) -> list[bool]:
     return gone
 
 
-def _scan(words: list[str], rules: list[Rule], by_keyword: dict[str, list[int]]) -> list[tuple[int, int, int, int]]:
-    """Detections in one document: first word, word after the last, priority, rule."""
+def _scan(words: list[str], rules: list[Rule], by_keyword: dict[str, list[int]], marked: Callable[[int], bool]) -> list[tuple[int, int, int, int]]:
+    """Detections in one document: first word, word after the last, priority, rule.  ``marked``: is there a mark right before a word?"""
     joined = " ".join(words)
     offsets = np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
     found = []
     for k in {k for w in set(words) & by_keyword.keys() for k in by_keyword[w]}:
         for m in rules[k].pattern.finditer(joined):
+            if "mark" in rules[k].pattern.groupindex and not marked(bisect_right(offsets, m.start("mark")) - 1):
+                continue
             found.append((bisect_right(offsets, m.start()) - 1, bisect_right(offsets, m.end() - 1), rules[k].priority, k))
     return sorted(found)
 
@@ -117,7 +121,8 @@ def license_detections(docs: DataFrame, rules: list[Rule] | None = None) -> Data
                 for phrase, label in phrases:
                     n = len(phrase)
                     base[i] += [(j, label) for j, w in enumerate(words) if w == phrase[0] and words[j:j + n] == phrase]
-                found = _scan(words, rules, by_keyword)
+                between = lambda w, i=i: bytes(data[ends[firsts[i] + w - 1]:starts[firsts[i] + w]])
+                found = _scan(words, rules, by_keyword, lambda w, between=between: b":" in between(w) or b"=" in between(w))
                 kept[i] = [(rules[k].label, a, b - 1, p / 100) for (a, b, p, k), gone in zip(found, suppressed(found)) if not gone]
             yield pa.record_batch({
                 "doc_id": rows.column("doc_id"),
