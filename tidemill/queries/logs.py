@@ -8,6 +8,7 @@ from ..operators import runs as R
 from ..sources.readers import blocks, env_lines, tail
 from ..sources.scratch import scratch_path, written
 from ..streaming import limits
+from ..streaming.schedules import fired
 from ..streaming.taken import Taken
 from .registry import SQL, query, t
 
@@ -199,3 +200,18 @@ def taken_once(spark, d):
         fresh = written(fresh, "taken-rows")
         found = fresh if found is None else found.unionByName(fresh)
     return found
+
+
+@query("""WITH n AS (SELECT make_timestamp(epoch_us(max(ts)) // 1000 * 1000) AS now, date_trunc('hour', max(ts)) - INTERVAL 3 DAY AS up FROM events),
+    s AS (SELECT user_id, date_trunc('second', min(ts)) AS start, CASE WHEN user_id % 5 = 0 THEN 0 ELSE 3600 * (user_id % 24 + 1) END AS every, CASE WHEN user_id % 3 = 0 THEN 60 WHEN user_id % 5 = 0 THEN 2592000 ELSE 604800 END AS grace FROM events GROUP BY 1),
+    f AS (SELECT user_id, grace, start + k * every * INTERVAL 1 SECOND AS fires_at FROM s, unnest(range(0, 8760)) t(k) WHERE every > 0 OR k = 0)
+    SELECT user_id, fires_at, false AS missed FROM f, n WHERE fires_at > up AND fires_at <= now
+    UNION ALL SELECT user_id, max(fires_at), true FROM f, n WHERE fires_at <= up GROUP BY user_id, grace, now HAVING epoch_us(now) - epoch_us(max(fires_at)) <= grace * 1000000::BIGINT""")
+def schedules_fired(spark, d):
+    """Each user's schedule along the events as a stream; what was due until three days before the end was missed."""
+    events = t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    plans = events.groupBy("user_id").agg(F.date_trunc("second", F.min("ts")).alias("start"))
+    plans = plans.select(F.col("user_id").alias("u"), "start", F.when(F.col("user_id") % 5 == 0, 0).otherwise(3600 * (F.col("user_id") % 24 + 1)).alias("every"), (F.col("user_id") % 3 != 0).alias("late"))
+    up = events.agg(F.date_format(F.date_trunc("hour", F.max("ts")) - F.expr("INTERVAL 3 DAYS"), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    found = _streamed(spark, d, "firings", lambda e: fired(e.join(plans, F.col("user_id") == F.col("u")), "user_id", "ts", "start", "every", "late", up))
+    return found.select(F.col("key").alias("user_id"), F.col("fires_at").cast("timestamp_ntz").alias("fires_at"), "missed")
