@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import replies
+from ..operators import replies, search
+from ..sources.scratch import scratch_path
 from .registry import query, t
 
 
@@ -53,3 +54,30 @@ def recommended_names(spark, d):
 @query("SELECT s_suppkey, CASE WHEN s_nationkey < 20 THEN n_name ELSE CAST(s_nationkey AS VARCHAR) END AS shown FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey")
 def displayed_names(spark, d):
     return replies.displayed(t(spark, d, "supplier"), "s_nationkey", t(spark, d, "nation").filter("n_nationkey < 20"), "n_nationkey", "n_name").select("s_suppkey", "shown")
+
+
+_ASKED = [("documents", "general public license"), ("documents", "E the"), ("pages", "</title>"), ("pages", "q"), ("pages", "no page says this")]
+
+
+@query(" UNION ALL ".join(f"SELECT '{table}' AS source, '{text}' AS question, CAST({key} AS BIGINT) AS id FROM {table} WHERE contains(lower(concat_ws(' ', {columns})), lower('{text}'))" for table, text in _ASKED for key, columns in [("doc_id", "text") if table == "documents" else ("page_id", "url, html")]))
+def search_indexed(spark, d):
+    """Questions to the documents and pages, answered from an index of their trigrams."""
+    out, at = None, {}
+    for table, text in _ASKED:
+        key, columns = ("doc_id", ["text"]) if table == "documents" else ("page_id", ["url", "html"])
+        if table not in at:
+            at[table] = scratch_path(spark, f"index-{table}")
+            search.build(t(spark, d, table), key, columns, at[table])
+        own = search.found(spark, at[table], text).select(F.lit(table).alias("source"), F.lit(text).alias("question"), F.col("key").cast("long").alias("id"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("""SELECT 'manual' AS origin, event_id FROM events WHERE event_id % 4 IN (0, 1) AND contains(lower(event_type || ' ' || user_id), 'r 1') UNION ALL
+    SELECT 'scheduled', event_id FROM events WHERE event_id % 4 IN (2, 3) AND contains(lower(event_type || ' ' || user_id), 'r 1')""")
+def runs_shown(spark, d):
+    """Runs by hand and scheduled ones in which a text stands."""
+    k = F.col("event_id") % 4
+    runs = replies.searched(t(spark, d, "events"), ["event_type", "user_id"], "R 1").withColumn("schedule", F.when(k == 1, "").when(k >= 2, F.concat(F.lit("s"), k.cast("string"))))
+    own = [search.of_origin(runs, "schedule", o).select(F.lit(o).alias("origin"), "event_id") for o in ("manual", "scheduled")]
+    return own[0].unionByName(own[1])
