@@ -223,3 +223,15 @@ def test_long_training_texts_count(spark, monkeypatch):
     lab = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
     got = T.toxicity_report(spark.createDataFrame(docs, "doc_id long, text string"), lab).collect()
     assert np.mean([r.predicted == r.doc_id % 2 for r in got]) > 0.95
+
+
+def test_weights_for_all_forms_do_as_well_as_for_the_common_ones(spark):
+    from tidemill.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    toxic = {r.doc_id: r.toxic for r in labels.filter("toxic IS NOT NULL").collect()}
+    right = []
+    for common in (100, toxicity.COMMON_FORMS, None):
+        rows = [r for r in toxicity.toxic_spans(docs, labels, common_forms=common).filter("held_out").collect() if r.doc_id in toxic]
+        right.append(sum((r.score >= 0.3) == (toxic[r.doc_id] == 1) for r in rows) / len(rows))
+    assert min(right) > 0.9 and right[2] >= right[1] - 0.03, right

@@ -126,3 +126,15 @@ def test_ties_go_to_the_first_language(spark):
         assert got[i].lang_pred == "x" and abs(got[i].score - 0.5) < 1e-6
     assert all(got[i].lang_pred == "und" and got[i].score == 0 for i in (1001, 1002, 1003)) and not got[None].held_out
     assert all(got[i].held_out == (crc32(str(i).encode()) % 3 == 1) for i in [*learned, 1000, 1001, 1002, 1003])
+
+
+def test_all_contexts_do_as_well_as_the_most_frequent(spark):
+    from tidemill.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    right = []
+    for states in (2000, langid.STATES, None):
+        rows = langid.language_report(docs, 30, states=states).filter("held_out").collect()
+        right.append(sum(r.lang_pred == lang[r.doc_id] for r in rows) / len(rows))
+    assert min(right) > 0.9 and right[2] >= right[0] - 0.02

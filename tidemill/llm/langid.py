@@ -81,8 +81,11 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return rows.mapInArrow(count, "lang string, gram long, length int, n long").groupBy("lang", "gram", "length").agg(F.sum("n").alias("n"))
 
 
-def kept_grams(grams: DataFrame, states: int = STATES) -> DataFrame:
-    """All grams, those seen once too, of the contexts that each language sees most; ``states`` contexts are shared out among the languages."""
+def kept_grams(grams: DataFrame, states: int | None = STATES) -> DataFrame:
+    """All grams, those seen once too, of the contexts that each language sees most; ``states`` contexts are shared out among the languages.
+    Without ``states`` all contexts of the learning rows are kept, whose number ``TRAIN_DOCS`` bounds."""
+    if states is None:
+        return grams
     grams = C.written(grams, "grams")
     quota = max(1, states // max(1, grams.select("lang").distinct().count()))
     context = F.shiftright("gram", 8)
@@ -184,7 +187,7 @@ def code_lengths(model: Model, data: np.ndarray, bounds: np.ndarray) -> np.ndarr
     return found
 
 
-def language_report(docs: DataFrame, per_language: int = TRAIN_DOCS, order: int = ORDER, states: int = STATES) -> DataFrame:
+def language_report(docs: DataFrame, per_language: int = TRAIN_DOCS, order: int = ORDER, states: int | None = STATES) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, lang): doc_id, held_out, lang_pred, score (the share of the
     best language when code lengths turn back into probabilities), n_bits (its code length).
 

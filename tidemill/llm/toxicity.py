@@ -122,8 +122,8 @@ def all_features(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.concatenate(firsts), [np.concatenate(x) for x in forms]
 
 
-def tied_forms(forms: list[np.ndarray], firsts: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The forms tied to toxic documents, by the numbers of documents that have them, and the most common ones of all."""
+def tied_forms(forms: list[np.ndarray], firsts: np.ndarray, toxic: np.ndarray, common_forms: int | None = COMMON_FORMS) -> tuple[np.ndarray, np.ndarray]:
+    """The forms tied to toxic documents, by the numbers of documents that have them, and the most common ones of all (or all others)."""
     row = np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
     bad, good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     tied, common = [np.zeros(0, np.uint64)], []
@@ -142,7 +142,7 @@ def tied_forms(forms: list[np.ndarray], firsts: np.ndarray, toxic: np.ndarray) -
         common.append((a + b, values))
     counts, values = (np.concatenate([c[i] for c in common]) for i in (0, 1))
     tied_all = np.concatenate(tied)
-    top = values[np.argsort(-counts, kind="stable")[:COMMON_FORMS]]
+    top = values[np.argsort(-counts, kind="stable")[:common_forms]]
     return tied_all, top[~np.isin(top, tied_all)]
 
 
@@ -159,7 +159,7 @@ def evidence(p: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.clip(np.log(most / (1 - most)), -crf.MOST, crf.MOST), np.clip(np.log(-np.expm1(none)) - none, -crf.MOST, crf.MOST), np.ones(len(none))])
 
 
-def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
+def train(texts: pa.Array, toxic: np.ndarray, prior: float, common_forms: int | None = COMMON_FORMS) -> Model:
     """``texts`` in the order in which they are preferred.  ``prior``: the share of toxic documents among all labelled ones, to which scores are calibrated."""
     level = np.log(prior / (1 - prior)) if 0 < prior < 1 else (10.0 if prior else -10.0)
     none = Model(np.zeros(0, np.uint64), np.zeros(1), crf.Chain(), np.array([0.0, 0.0, level]))
@@ -170,7 +170,7 @@ def train(texts: pa.Array, toxic: np.ndarray, prior: float) -> Model:
     if toxic.all() or not toxic.any():
         return none
     firsts, forms = all_features(texts)
-    tied, common = tied_forms(forms, firsts, toxic)
+    tied, common = tied_forms(forms, firsts, toxic, common_forms)
     model = Model(np.concatenate([tied, common]), np.zeros(1), crf.Chain(), np.array([0.0, 0.0, level]))
     fit = np.zeros(len(toxic), bool)
     for y in (toxic, ~toxic):
@@ -226,18 +226,19 @@ def held_out_rows(n: int, remainder: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n)) == remainder, F.lit(False))
 
 
-def toxic_spans(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS) -> DataFrame:
+def toxic_spans(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_DOCS, common_forms: int | None = COMMON_FORMS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, score, n_words, spans (start, end in code
     points, probability), the runs of words that are likelier toxic than not.
 
     Learns from labels.toxic of rows whose crc32 of doc_id modulo 4 isn't 2.  Null and empty texts
     have no words and get the score of a document without toxic words; without labels of both
     classes all scores are the labelled share of toxic documents.  Null labels are not learned
-    from.  Repeated rows are judged each for itself; further columns are ignored."""
+    from.  Repeated rows are judged each for itself; further columns are ignored.  Without ``common_forms`` every
+    form of the learning rows, whose number ``TRAIN_DOCS`` bounds, has a weight."""
     held_out = held_out_rows(4, 2)
     table, prior = training_rows(docs, labels, held_out, "toxic", per_class, TRAIN_CHARS)
     texts = table.column("text").combine_chunks() if table.num_rows else pa.array([], pa.string())
-    model = train(texts, table.column("y").to_numpy() == 1, prior)
+    model = train(texts, table.column("y").to_numpy() == 1, prior, common_forms)
     known = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.select("doc_id", held_out.alias("held_out"), "text")
     span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())])
