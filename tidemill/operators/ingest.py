@@ -27,6 +27,7 @@ DIGEST = (
     r"\b(friday\s*finds?|sunday\s*stuff|weekly\s*round\s*up|monthly\s*report|weekend\s*reads?|favorites?\s*of\s*the\s*week"
     r"|what\s*i\s*ate|meal\s*plan|menu\s*plan|weekly\s*menu|holiday\s*guide)\b"
 )
+# How headings among ingredient lines begin, notes that need no quantity, and units that need none.
 HEADER_WORDS = r"^(?:for|to)\s"
 SERVING_PHRASES = ["for serving", "for garnish", "for dipping"]
 UNITS_WITHOUT_QUANTITY = ["pinch", "dash"]

@@ -12,6 +12,7 @@ from ..functions.numbers import repaired_json
 from ..functions.text import split_names
 from ..sources.scratch import written
 from .ingest import appended
+from .ordering import numbered
 
 _ENTRY = "slug string, categories string, category string, tags string, tag string, labels string, tools string, tool string"
 
@@ -23,9 +24,8 @@ def prompt_lines(records: DataFrame, key: str, name: str, parts: Column, most: i
 
 
 def prompts(lines: DataFrame, key: str, size: int, instruction: str) -> DataFrame:
-    """batch, keys and prompt for every ``size`` lines or so; batches are cut by a hash of the key, in no task's memory but their own."""
-    parts = F.greatest(F.lit(1), F.ceil(F.lit(lines.count()) / size)).cast("int")
-    cut = lines.withColumn("batch", F.pmod(F.xxhash64(key), parts))
+    """batch, keys and prompt for every ``size`` lines in the order of their keys; no prompt is longer, and only the last is shorter."""
+    cut = numbered(lines, [], [key, "line"], "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long"))
     rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "line")))
     return cut.groupBy("batch").agg(rows.alias("r")).select("batch", F.transform("r", lambda x: x["k"]).alias("keys"), F.concat(F.lit(instruction + "\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("prompt"))
 

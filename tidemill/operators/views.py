@@ -11,6 +11,7 @@ from ..functions.text import given
 from .ordering import numbered
 from .runs import micros
 
+# Fixed value: what stands for a secret.
 MASK = "********"
 
 
@@ -95,6 +96,7 @@ def progress(rows: DataFrame, order: Sequence[str]) -> DataFrame:
     return numbered(rows, [], list(order), "idx").withColumns({"total": F.lit(n).cast("long"), "mark": (idx % quarter == 0) | (idx == n)})
 
 
+# Fixed form: the line that progress is told by.
 def rate(done: Column, total: Column, seconds: Column) -> Column:
     """``3/10 (0.50/s) ETA: 0.2 min``; inf without anything done."""
     per = F.try_divide(done.cast("double"), F.greatest(seconds, F.lit(1e-9)))

@@ -62,9 +62,9 @@ def name_keys(spark, d):
     return t(spark, d, "documents").select("doc_id", text.name_key(F.substring_index("text", "\n", 1)).alias("key"))
 
 
-@query()
+@query(r"""SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(coalesce(split_part(text, chr(10), 1), ''))), 'ß', 'ss'), '\s+', ' ', 'g')) AS key FROM documents""")
 def folded_keys(spark, d):
-    """Keys of the documents' first lines in any script (composed and case-folded)."""
+    """Keys of the documents' first lines in any script (composed and case-folded).  The SQL has no compatibility forms; the tables have none either."""
     return t(spark, d, "documents").select("doc_id", text.folded_key(F.substring_index("text", "\n", 1)).alias("key"))
 
 
