@@ -138,3 +138,23 @@ def test_all_contexts_do_as_well_as_the_most_frequent(spark):
         rows = langid.language_report(docs, 30, states=states).filter("held_out").collect()
         right.append(sum(r.lang_pred == lang[r.doc_id] for r in rows) / len(rows))
     assert min(right) > 0.9 and right[2] >= right[0] - 0.02
+
+
+def test_rows_equal_the_definition(spark):
+    """Language, score and code length of each row, against code lengths by the definition from the rows that are learned from."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(text(rng, rng.choice([lang, lang, "a"]), 3) for _ in range(2)).title(), rng.choice([lang, lang, None])) for i in range(24) for lang in [rng.choice("abc")]]
+    docs += [(50, "", "a"), (51, None, "b"), (52, "12 ?", None), (53, "Ünd das", None)]
+    held = lambda i: crc32(str(i).encode()) % 3 == 1
+    learned = [(lang, t.lower()) for i, t, lang in docs if not held(i) and t is not None and lang is not None]
+    languages = sorted({lang for lang, _ in learned})
+    got = {r.doc_id: r for r in L.language_report(spark.createDataFrame(docs, "doc_id long, text string, lang string"), order=2, states=None).collect()}
+    for i, t, _ in docs:
+        r = got[i]
+        if not any(c.isalpha() for c in t or ""):
+            assert (r.lang_pred, r.score, r.n_bits) == ("und", 0, 0)
+            continue
+        bits = [brute_bits(learned, lang, t.lower(), 2) for lang in languages]
+        least = min(bits)
+        assert r.lang_pred == languages[bits.index(least)] and abs(r.n_bits - least) < 1e-3 * least
+        assert abs(r.score - 1 / sum(2.0 ** -min(b - least, 1000) for b in bits)) < 1e-2

@@ -76,7 +76,7 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
                         gram = (gram[: len(data) - k] << 8) | data[k:].astype(np.int64) if k else data.astype(np.int64)
                         whole = gram[row[: len(gram)] == row[k:]]
                         values, counts = np.unique(whole, return_counts=True)
-                        yield pa.record_batch({"lang": pa.array([lang] * len(values)), "gram": pa.array(values), "length": pa.array(np.full(len(values), k + 1, np.int32)), "n": pa.array(counts.astype(np.int64))})
+                        yield pa.record_batch({"lang": pa.array([lang] * len(values), pa.string()), "gram": pa.array(values), "length": pa.array(np.full(len(values), k + 1, np.int32)), "n": pa.array(counts.astype(np.int64))})
 
     return rows.mapInArrow(count, "lang string, gram long, length int, n long").groupBy("lang", "gram", "length").agg(F.sum("n").alias("n"))
 
