@@ -103,7 +103,7 @@ def similar_names(records: DataFrame, group: str, key: str, name: str, least: fl
     If 2m / (la + lb) >= r for m matched characters, turning one name into the other takes at most (1 - r)(la + lb)
     insertions and deletions, each of which touches at most two of a name's pairs of characters.  So of the rarest
     pairs of either name, a few more than that, some one is in both, at places no further apart; names meet by
-    those, and only names that share one are compared.  ``least`` is over 2/3."""
+    those.  Of names that meet, all but so many pairs have to be in both, which is counted before any ratio is.  ``least`` is over 2/3."""
     if least <= 2 / 3:
         raise ValueError("similar names need a ratio over 2/3")
     names = records.filter(F.col(name) != "").groupBy(group, name).agg(F.min(key).alias("k")).select(group, F.col(name).alias("x"), "k", F.length(name).alias("n"))
@@ -116,11 +116,14 @@ def similar_names(records: DataFrame, group: str, key: str, name: str, least: fl
     nth = grams.groupBy(group, "x", "k", "n", "gram").agg(F.array_sort(F.collect_list("at")).alias("ats")).select(group, "x", "k", "n", "gram", F.posexplode("ats").alias("nth", "at"))
     common = nth.groupBy(group, "gram", "nth").agg(F.count(F.lit(1)).alias("times"))
     ranked = nth.join(common, [group, "gram", "nth"]).groupBy(group, "x", "k", "n").agg(F.array_sort(F.collect_list(F.struct("times", "gram", "nth", "at"))).alias("all"))
-    rare = ranked.withColumn("edits", edits).select(group, "x", "k", "n", "edits", F.explode(F.slice("all", F.lit(1), size * F.col("edits") + 1)).alias("_rare"))
-    rare = rare.select(group, "x", "k", "n", "edits", "_rare.gram", "_rare.nth", "_rare.at")
-    a, b = (rare.select(group, "gram", "nth", *(F.col(c).alias(f"{c}{i}") for c in ("x", "k", "n", "edits", "at"))) for i in (1, 2))
+    held = F.transform("all", lambda g: F.xxhash64(g["gram"], g["nth"]))
+    rare = ranked.withColumns({"edits": edits, "held": held}).select(group, "x", "k", "n", "edits", "held", F.explode(F.slice("all", F.lit(1), size * F.col("edits") + 1)).alias("_rare"))
+    rare = rare.select(group, "x", "k", "n", "edits", "held", "_rare.gram", "_rare.nth", "_rare.at")
+    a, b = (rare.select(group, "gram", "nth", *(F.col(c).alias(f"{c}{i}") for c in ("x", "k", "n", "edits", "held", "at"))) for i in (1, 2))
     near = (F.abs(F.col("at1") - F.col("at2")) <= F.greatest("edits1", "edits2")) & (F.least("n1", "n2") * (2 - least) >= F.greatest("n1", "n2") * least)
-    pairs = a.join(b, [group, "gram", "nth"]).filter("x1 < x2").filter(near).select(group, F.col("x1").alias("a"), F.col("x2").alias("b"), F.col("k1").alias("a_key"), F.col("k2").alias("b_key")).distinct()
+    most = F.floor((1 - least) * (F.col("n1") + F.col("n2")) + 1e-9)
+    enough = F.size(F.array_intersect("held1", "held2")) >= F.greatest("n1", "n2") - (size - 1) - size * most
+    pairs = a.join(b, [group, "gram", "nth"]).filter("x1 < x2").filter(near).filter(enough).select(group, F.col("x1").alias("a"), F.col("x2").alias("b"), F.col("k1").alias("a_key"), F.col("k2").alias("b_key")).distinct()
     return pairs.withColumn("ratio", matching_ratio("a", "b")).filter(F.col("ratio") >= least).withColumn("similarity", F.round("ratio", 4)).drop("ratio")
 
 
