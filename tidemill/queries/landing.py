@@ -250,3 +250,14 @@ def tailed_lines(spark, d):
     spark.dataSource.register(Tailed)
     lines = spark.read.format("tailed").option("path", path).option("rangeBytes", 4 << 20).load()
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ROUTED = "SELECT o_orderkey, o_orderkey % 50 AS service, CASE o_orderkey % 3 WHEN 0 THEN '/organizers/tools' WHEN 1 THEN '/tools' ELSE '/other' END AS route, CASE WHEN o_orderkey % 50 IN (3, 7) AND o_orderkey % 3 = 0 THEN 404 WHEN o_orderkey % 50 = 7 THEN 404 ELSE 200 END AS status FROM orders"
+
+
+@query(f"""WITH p AS ({_ROUTED}), a AS (SELECT service, route, max(CAST(status = 404 AS INT)) = 1 AS gone FROM p WHERE route <> '/other' GROUP BY 1, 2),
+    f AS (SELECT service, min(route) AS route FROM a WHERE NOT gone GROUP BY 1) SELECT o_orderkey, service, route FROM p SEMI JOIN f USING (service, route)""")
+def pages_answered(spark, d):
+    """The pages of each service's route for tools, or of its older one where that is missing."""
+    pages = spark.sql(_ROUTED.replace("FROM orders", "FROM {orders}"), orders=t(spark, d, "orders"))
+    return paging.answered(pages, "service", "route", "status", ["/organizers/tools", "/tools"]).select("o_orderkey", F.col("service").cast("long").alias("service"), "route")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from importlib import import_module
 from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
 
@@ -43,6 +43,12 @@ def items(page: object) -> tuple[list[dict], bool]:
     return ([x for x in rows if isinstance(x, dict)], True) if isinstance(rows, list) else ([], False)
 
 
+def missing(error: Exception) -> bool:
+    """Whether a fetcher's error says that there is no such address: a status of 404 on it, or on its response."""
+    status = [getattr(x, name, None) for x in (error, getattr(error, "response", None)) for name in ("status_code", "code", "status")]
+    return 404 in status
+
+
 class _Start(InputPartition):
     def __init__(self, url: str):
         self.url = url
@@ -57,13 +63,19 @@ class _Follower(DataSourceReader):
 
     def read(self, partition: _Start) -> Iterator[tuple]:
         module, _, name = self.options["fetcher"].partition(":")
-        fetch, size, url = getattr(import_module(module), name), self.options.get("perPage", "1000"), partition.url
-        if "perPage=" not in url and "per_page=" not in url:
-            url += ("&" if "?" in url else "?") + f"perPage={size}"
-        seen = set()
+        fetch, size = getattr(import_module(module), name), self.options.get("perPage", "1000")
+        routes = [u if "perPage=" in u or "per_page=" in u else u + ("&" if "?" in u else "?") + f"perPage={size}" for u in partition.url.split("|")]
+        url, seen = routes[0], set()
         while url and url not in seen:
             seen.add(url)
-            page = fetch(url)
+            try:
+                page = fetch(url)
+            except Exception as e:
+                if url != routes[0] or len(routes) == 1 or not missing(e):
+                    raise
+                routes = routes[1:]
+                url = routes[0]
+                continue
             page = json.loads(page) if isinstance(page, str) else page
             rows, more = items(page)
             for row in rows:
@@ -73,7 +85,8 @@ class _Follower(DataSourceReader):
 
 class Linked(DataSource):
     """A service whose pages link to the next; one task follows the pages of each address.  Options: ``fetcher`` (module:function of an
-    address that returns a page's JSON), ``urls`` (between spaces), ``perPage``.  Register with ``spark.dataSource.register(Linked)``,
+    address that returns a page's JSON), ``urls`` (between spaces), ``perPage``.  An address may be followed by those of older routes, with
+    ``|`` between: the first whose first page isn't missing (404) is read.  Register with ``spark.dataSource.register(Linked)``,
     format ``linked``."""
 
     @classmethod
@@ -125,3 +138,12 @@ def reached(pages: DataFrame, url: str, body: str, starts: list[str]) -> DataFra
         n = more
         two = hops.select("a", F.col("b").alias("m")).join(hops.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
         hops = written(hops.unionByName(two).distinct(), "links")
+
+
+def answered(pages: DataFrame, service: str, route: str, status: str, routes: Sequence[str]) -> DataFrame:
+    """Of landed pages those of each service's first route, in the order of ``routes``, that answered: it has pages, and none of them is
+    missing (404).  A service without such a route has no rows."""
+    place = F.array_position(F.array(*map(F.lit, routes)), F.col(route))
+    told = pages.filter(place > 0).groupBy(F.col(service).alias("_s"), place.alias("_p")).agg(F.max(F.coalesce(F.col(status) == 404, F.lit(False))).alias("gone"))
+    first = told.filter("NOT gone").groupBy("_s").agg(F.min("_p").alias("_p"))
+    return pages.withColumn("_place", place).join(first, F.col(service).eqNullSafe(F.col("_s")) & (F.col("_place") == F.col("_p")), "left_semi").drop("_place")
