@@ -81,3 +81,20 @@ def test_query_equals_sql(spark, name):
     got, want = QUERIES[name](spark, SF), db.sql(SQL[name])
     rows = sorted(map(tuple, got.select(*want.columns).collect()))
     assert rows and rows == sorted(want.fetchall())
+
+
+def test_words_of_ascii_alone_as_in_sql(spark, monkeypatch):
+    """A word ends before a letter that isn't ASCII, as in the SQL of the queries; a rule that doesn't ask for it goes on."""
+    rows = [(1, "chelle ou\u00e7ouen"), (2, "ou"), (3, "oui"), (4, "\u00e9ou"), (5, "OU\u212a"), (6, "ou_"), (7, "x \u00e7 y"), (8, "ou b")]
+    df = spark.createDataFrame(rows, "id int, a string")
+    db = duckdb.connect()
+    db.sql("CREATE TABLE x (id INT, a VARCHAR)")
+    db.executemany("INSERT INTO x VALUES (?, ?)", rows)
+    patterns = [r"ou\b", r"\bou\b", r"ou\B", r"\Bou", r"\\b|[\]x]\b"]
+    want = [(i, p) for p in patterns for (i,) in db.execute("SELECT id FROM x WHERE regexp_matches(a, ?, 'i')", [p]).fetchall()]
+    for gate in (10**6, 0):
+        monkeypatch.setattr(R, "GATED", gate)
+        got = R.step_matches(df, [R.Rule("s", p, p, ascii=True) for p in patterns], "id", "a").select("id", "target")
+        assert sorted(map(tuple, got.collect())) == sorted(want) and (1, r"ou\b") in want
+        assert [r.id for r in R.step_matches(df, [R.Rule("s", "t", r"ou\b")], "id", "a").orderBy("id").collect()] == [2, 4, 8]
+    assert R.ascii_bounds(r"\Qa\b\E[\b]\b{g}\\b") == r"\Qa\b\E[\b]\b{g}\\b"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -20,7 +21,8 @@ GATED = 32
 
 @dataclass(frozen=True)
 class Rule:
-    """``section`` names what the rule adds (and from what), ``match_on`` is name, description or both."""
+    """``section`` names what the rule adds (and from what), ``match_on`` is name, description or both.  With ``ascii`` the bounds
+    of words are those of A-Z, a-z, 0-9 and _, as in SQL engines that match bytes; else all letters and digits make up words."""
 
     section: str
     target: str
@@ -29,6 +31,24 @@ class Rule:
     enabled: bool = True
     exclude: str = ""
     min_matches: int = 1
+    ascii: bool = False
+
+
+#: A character of an ASCII word; it has its own flag, as k would be the Kelvin sign too if case did not matter.
+_WORD = "(?-i:[0-9A-Za-z_])"
+_BOUNDS = {r"\b": f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))", r"\B": f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"}
+
+
+def ascii_bounds(pattern: str) -> str:
+    r"""The pattern with ``\b`` and ``\B`` between ASCII words; what is quoted or in a class stays."""
+    depth = 0
+
+    def each(m: re.Match[str]) -> str:
+        nonlocal depth
+        depth = max(depth + {"[": 1, "]": -1}.get(m[0], 0), 0)
+        return m[0] if depth else _BOUNDS.get(m[0], m[0])
+
+    return re.sub(r"(?s)\\Q.*?(?:\\E|\Z)|\\b\{|\\.|[\[\]]", each, pattern)
 
 
 def pattern_for(name: Column) -> Column:
@@ -47,8 +67,10 @@ def rules_from(names: DataFrame, column: str, section: str, match_on: str = "bot
 
 
 def usable(rules: Sequence[Rule], spark: SparkSession) -> list[Rule]:
-    """Enabled rules with a target and patterns that compile where they will run; the driver checks, so that no task fails on one."""
+    """Enabled rules with a target and patterns that compile where they will run, which read as they are run; the driver checks, so that
+    no task fails on one."""
     compiled: dict[str, bool] = {}
+    rules = [replace(r, pattern=ascii_bounds(r.pattern), exclude=ascii_bounds(r.exclude), ascii=False) if r.ascii else r for r in rules]
 
     def compiles(pattern: str) -> bool:
         if pattern not in compiled:

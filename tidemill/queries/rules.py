@@ -10,8 +10,8 @@ from ..operators.rules import Rule
 from .registry import SQL, query, records, t
 
 _TEXT_RULES = [
-    Rule("text_tags", "Metal", r"\b(bolt|gear|anvil)s?\b"), Rule("text_tags", "Cold", "cold", match_on="name"), Rule("text_tags", "Promo", "promo", match_on="description"),
-    Rule("text_categories", "Rings", r"\bring\b", exclude="red|old"), Rule("text_tags", "Off", "small", enabled=False), Rule("text_tags", "Broken", "(small"),
+    Rule("text_tags", "Metal", r"\b(bolt|gear|anvil)s?\b", ascii=True), Rule("text_tags", "Cold", "cold", match_on="name"), Rule("text_tags", "Promo", "promo", match_on="description"),
+    Rule("text_categories", "Rings", r"\bring\b", exclude="red|old", ascii=True), Rule("text_tags", "Off", "small", enabled=False), Rule("text_tags", "Broken", "(small"),
 ]
 
 
@@ -22,7 +22,7 @@ def rule_text_match(spark, d):
     return R.text_matches(t(spark, d, "part"), _TEXT_RULES, "p_partkey", "p_name", "p_type")
 
 
-_PART_RULES = [Rule("ingredient_tags", "Blue twice", r"\bblue\b", min_matches=2), Rule("ingredient_categories", "Any rod", "rod", exclude="old")]
+_PART_RULES = [Rule("ingredient_tags", "Blue twice", r"\bblue\b", min_matches=2, ascii=True), Rule("ingredient_categories", "Any rod", "rod", exclude="old")]
 _PART_HITS = r"""l AS (SELECT DISTINCT l_orderkey, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey),
     hits AS (SELECT l_orderkey, 'ingredient_tags' AS section, 'Blue twice' AS target FROM l WHERE regexp_matches(p_name, '\bblue\b', 'i') GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 2
         UNION ALL SELECT DISTINCT l_orderkey, 'ingredient_categories', 'Any rod' FROM l WHERE regexp_matches(p_name, 'rod', 'i') AND NOT regexp_matches(p_name, 'old', 'i'))"""
