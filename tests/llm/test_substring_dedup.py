@@ -113,3 +113,30 @@ def test_a_million_bytes(spark):
 def test_ids_of_another_type_are_refused(spark):
     with pytest.raises(TypeError, match="number the documents"):
         S.repeated_runs(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_hot_intervals_that_meet_leave_as_one(spark, monkeypatch):
+    """Copies of one text: some 140 anchors each lie in hot buckets, and one run a document leaves its task."""
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghij ") for _ in range(2_000))
+    rows = [(i, f"{i} " * 30 + base + f" {i * i}" * 20) for i in range(60)]
+    seen = []
+    monkeypatch.setattr(S, "_runs", lambda intervals, f=S._runs: (seen.append(intervals.count()), f(intervals))[1])
+    assert run(spark, rows, hot_rows=2) == brute(rows, 50)
+    assert 59 <= seen[0] < 200
+    monkeypatch.setattr(S, "MET", 5)
+    assert run(spark, rows, hot_rows=2) == brute(rows, 50)
+
+
+def test_met_intervals_are_those_of_plain_marks():
+    rng = np.random.default_rng(9)
+    rank, part, a = rng.integers(0, 4, 300), rng.integers(0, 2, 300).astype(np.int32), rng.integers(0, 900, 300)
+    b = a + rng.integers(1, 9, 300)
+    got = list(zip(*(x.tolist() for x in S.met(rank, part, a, b))))
+    marks = {(r, p): np.zeros(1000, bool) for r, p in zip(rank.tolist(), part.tolist())}
+    for r, p, x, y in zip(rank.tolist(), part.tolist(), a.tolist(), b.tolist()):
+        marks[r, p][x:y] = True
+    for r, p, x, y in got:
+        assert marks[r, p][x:y].all() and not marks[r, p][x - 1:x].any() and not marks[r, p][y]
+    assert sum(y - x for _, _, x, y in got) == sum(int(m.sum()) for m in marks.values()) and len(set(got)) == len(got)
+    assert all(len(x) == 0 for x in S.met(*(np.zeros(0, np.int64) for _ in range(4))))

@@ -48,6 +48,8 @@ BROADCAST_INTERVALS = 2_000_000
 #: Rows that a task gathers before it sends their bytes, rows of a batch that it sends, and bytes of text that it turns into arrays at once.
 GATHER = 100_000
 SENT = 10_000
+#: Intervals of hot buckets that a task gathers before it makes those that meet one.
+MET = 300_000
 #: Bytes of an initial bucket, and neighbours that are compared at once.
 STEP = 8
 SLICE = 1 << 18
@@ -374,7 +376,21 @@ _INTERVAL = "rank long, part int, a int, b int"
 
 
 def _intervals(members: np.ndarray, gone: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch({"rank": pa.array(np.ascontiguousarray(members["rank"][gone])), "part": pa.array(np.ascontiguousarray(members["part"][gone])), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
+    return _told(members["rank"][gone], members["part"][gone], a, b)
+
+
+def _told(rank: np.ndarray, part: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"rank": pa.array(np.ascontiguousarray(rank)), "part": pa.array(np.ascontiguousarray(part)), "a": pa.array(a.astype(np.int32)), "b": pa.array(b.astype(np.int32))})
+
+
+def met(rank: np.ndarray, part: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Intervals of documents with those that meet made one."""
+    order = np.lexsort((a, part, rank))
+    rank, part, a, b = rank[order], part[order], a[order], b[order]
+    doc = np.cumsum(np.concatenate([[False], (rank[1:] != rank[:-1]) | (part[1:] != part[:-1])])[: len(rank)])
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])[: len(doc)])
+    doc, a, b = merged_runs(doc, a, b)
+    return [rank[first][doc], part[first][doc], a, b]
 
 
 def _cold_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
@@ -439,6 +455,9 @@ def _hot_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
     answered = rows.join(C.sized(answers, answers.count(), BROADCAST_CONTEXTS), context).select("before", F.octet_length("bytes").alias("size"), "members", "least", "low", "high")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A sender's rows hold all anchors of its documents, so what meets in a document is one interval before it leaves the task."""
+        held = [np.zeros(0, x) for x in (np.int64, np.int32, np.int64, np.int64)]  # rank, part, a, b
+        full = MET
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -451,7 +470,15 @@ def _hot_intervals(rows: DataFrame, length: int, q: int) -> DataFrame:
             b = np.where(later, before, np.nan_to_num(high.astype(float), nan=-1))
             gone = np.flatnonzero(b >= a)
             pos = members["pos"][gone].astype(np.int64)
-            yield _intervals(members, gone, pos - b[gone].astype(np.int64), pos - a[gone].astype(np.int64) + length)
+            new = [members["rank"][gone], members["part"][gone], pos - b[gone].astype(np.int64), pos - a[gone].astype(np.int64) + length]
+            held = [np.concatenate(x) for x in zip(held, new)]
+            if len(held[0]) >= full:
+                held = met(*held)
+                if len(held[0]) >= MET:  # many documents: those that are told are let go
+                    yield _told(*held)
+                    held = [x[:0] for x in held]
+                full = len(held[0]) + MET
+        yield _told(*met(*held))
 
     return answered.mapInArrow(told, _INTERVAL)
 
