@@ -28,7 +28,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of links the document with the smallest doc_id; links join documents whose five-word
-    shingles have a Jaccard similarity of 0.8 or more."""
+    shingles have a Jaccard similarity of 0.8 or more.  SimHash under the generalised pigeonhole proposes first, MinHash bands the rest."""
     return drop_near_copies(docs)
 
 

@@ -98,3 +98,22 @@ def test_slices(spark, monkeypatch):
     rng = random.Random(9)
     rows = list(enumerate(edited(rng, t, i % 6) for t in texts(rng, 2, 200) for i in range(30)))
     assert stage(spark, rows) == brute(rows)
+
+
+def test_fingerprints_propose_first(spark, monkeypatch):
+    """Without any band, what differs in three bits of the fingerprint at most is linked, if the sets are similar."""
+    rng = random.Random(11)
+    base = texts(rng, 12, 400)
+    rows = list(enumerate([*base, *(t + " end" for t in base)]))
+    asked = []
+    monkeypatch.setattr(N.simhash, "links", lambda prints, f=N.simhash.links: (asked.append(prints.count()), f(prints))[1])
+    monkeypatch.setattr(N, "band_keys", lambda h, cuts: np.arange(1, 1 + N.BANDS * int((np.diff(cuts) > 0).sum())).reshape(-1, N.BANDS).astype(np.uint64) + (h[:1] << np.uint64(20)))
+    assert stage(spark, rows) == brute(rows) == list(range(12)) and asked
+
+
+def test_equal_fingerprints_of_other_sets_are_no_link(spark, monkeypatch):
+    monkeypatch.setattr(N.simhash, "majority", lambda h, cuts: np.zeros(len(cuts) - 1, np.uint64))
+    rng = random.Random(12)
+    base = texts(rng, 10, 100)
+    rows = list(enumerate([*base, *(edited(rng, t, 1) for t in base)]))
+    assert stage(spark, rows) == brute(rows)

@@ -1,6 +1,9 @@
 """Near copies by the Jaccard similarity of their five-word shingles.
 
-MinHash bands propose: documents that agree on all rows of a band share a key.  Sketches tell pairs
+Fingerprints propose first: SimHash over the same shingles, linked under the generalised pigeonhole
+principle of :mod:`simhash`.  Similar sets reach beyond what fingerprints of 64 bits tell (at 0.8 they
+differ in some ten), so MinHash bands propose the rest: documents that agree on all rows of a band share
+a key.  What fingerprints have linked is one document to the bands.  Sketches tell pairs
 that aren't similar: a shingle turns one of a sketch's bits over, so two sketches differ in as many
 bits at most as the sets do in shingles, and in nearly as many with four bits a shingle.  The sets of
 shingles themselves decide: only pairs whose exact similarity reaches SIMILAR are linked.
@@ -20,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import simhash
 from .components import components
 
 WORDS = 5
@@ -141,16 +145,16 @@ def _with_nodes(docs: DataFrame, column: str) -> DataFrame:
 
 
 def _signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, node, size and keys (none of an empty set)."""
+    """doc_id, node, size, fp (the fingerprint) and keys (none of an empty set)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, bounds in C.chunks(batches):
             h, cuts = shingle_sets(data, bounds)
             ends = np.concatenate([[0], np.cumsum(np.where(np.diff(cuts) > 0, BANDS, 0))]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(band_keys(h, cuts).reshape(-1).view(np.int64)))
-            yield pa.record_batch({"doc_id": rows.column("doc_id"), "node": pa.array(nodes_of(h, cuts).view(np.int64)), "size": pa.array(np.diff(cuts).astype(np.int64)), "keys": keys})
+            yield pa.record_batch({"doc_id": rows.column("doc_id"), "node": pa.array(nodes_of(h, cuts).view(np.int64)), "size": pa.array(np.diff(cuts).astype(np.int64)), "fp": pa.array(simhash.majority(C.mixed(h), cuts).view(np.int64)), "keys": keys})
 
     docs = docs.select("doc_id", "text")
-    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, keys array<long>")
+    return docs.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, size long, fp long, keys array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -260,20 +264,40 @@ def _compared(here: DataFrame, known: DataFrame, n_known: int) -> DataFrame:
     return dealt.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(work, "a long, b long").distinct()
 
 
+def _print_pairs(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b, m, n: their sizes) of nodes whose fingerprints :func:`simhash.links` connects, and of each node with the first of its fingerprint;
+    their number grows with that of the nodes."""
+    sets = marks.filter("size > 0").select("node", "size", "fp").distinct()
+    firsts = C.written(sets.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("first"), F.count(F.lit(1)).alias("n")), "prints")
+    several = C.written(firsts.filter("n > 1").select("fp", "first"), "shared-prints")
+    same = sets.join(C.sized(several, several.count(), BROADCAST_ROWS), "fp").select(F.struct("node", "size").alias("x"), F.col("first").alias("y"))
+    links = C.written(simhash.links(firsts.select("fp")), "print-links")
+    ends = C.sized(firsts, firsts.count(), BROADCAST_ROWS)
+    near = links.join(ends.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(ends.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    pairs = same.unionByName(near).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).filter((F.col("x") != F.col("y")) & _alike("x.size", "y.size"))
+    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.size").alias("m"), F.col("y.size").alias("n")).distinct()
+
+
 def _roots(docs: DataFrame, marks: DataFrame) -> DataFrame | None:
     """The nodes that links connect with a smaller one, and the smallest: node, root."""
+    told = C.written(_print_pairs(marks), "print-pairs")
+    n_told = told.count()
     keyed = marks.select("node", "size", F.explode("keys").alias("key"))
     shared = C.written(keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key"), "shared-keys")
     n_shared = shared.count()
-    if not n_shared:
+    if not n_shared and not n_told:
         return None
     members = C.written(keyed.join(C.sized(shared, n_shared, BROADCAST_ROWS), "key").distinct(), "members")
-    active = C.written(members.select("node").distinct(), "active")
+    ends = told.select(F.explode(F.array("a", "b")).alias("node"))
+    active = C.written(members.select("node").unionByName(ends).distinct(), "active")
     n_active = active.count()
     sets = C.written(C.joined(_sets(docs), active, ["node"], "left_semi", n_active, BROADCAST_ROWS).groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
     known = C.written(_sketches(sets), "sketches")
     n_known = n_active if (known.agg(F.sum(F.octet_length("sketch"))).first()[0] or 0) <= BROADCAST_BYTES else BROADCAST_SKETCHES + 1
     roots = judged = None
+    if n_told:
+        judged = C.written(_judged(_agreeing(told, known, n_known), sets), "judged")
+        roots = components(judged.filter("near").select("a", "b"))
     for star in range(STARS + 1):
         now = members.withColumn("root", F.col("node"))
         if roots is not None:
