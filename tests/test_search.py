@@ -55,3 +55,17 @@ def test_queries_equal_sql(spark, name):
     got, want = QUERIES[name](spark, SF), db.sql(SQL[name])
     rows = sorted(map(tuple, got.select(*want.columns).collect()))
     assert rows and rows == sorted(want.fetchall())
+
+
+def test_trigrams_leave_a_task_with_their_records(spark, tmp_path, monkeypatch):
+    """As many rows as a block has trigrams, not one for each record that holds them; bytes cut blocks too."""
+    texts = ["abc abc", "", "abcd", "é漢字é漢字", "ab", "\x00\x00\x00\U0010ffff"]
+    words, bounds, rows = S.posting_lists(texts)
+    assert {w: rows[a:b].tolist() for w, a, b in zip(words, bounds, bounds[1:])} == {w: [i for i, x in enumerate(texts) if w in x] for w in {w for x in texts for w in S.trigrams(x)}}
+    df = spark.range(900).select("id", F.lit("the same words in all").alias("a"))
+    S.build(df.coalesce(1), "id", ["a"], f"file://{tmp_path}/i")
+    lists = spark.read.parquet(f"file://{tmp_path}/i/lists")
+    assert lists.filter("gram = 'the'").agg(F.sum("n")).first()[0] == 900 and lists.count() < 30 * lists.select("block").distinct().count()
+    monkeypatch.setattr(S, "BYTES", 50)
+    S.build(df.coalesce(1), "id", ["a"], f"file://{tmp_path}/j")
+    assert spark.read.parquet(f"file://{tmp_path}/j/lists").select("block").distinct().count() >= 450 and S.found(spark, f"file://{tmp_path}/j", "SAME").count() == 900
