@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from ..sources.scratch import written
 from .ingest import appended
 from .ordering import numbered
 
+#: Prompts and replies that a task holds as Python objects at once.
+AT_ONCE = 256
 _ENTRY = "slug string, categories string, category string, tags string, tag string, labels string, tools string, tool string"
 
 
@@ -43,19 +45,23 @@ def instruction(role: str, lists: Mapping[str, str], example: str) -> str:
 
 def asked(rows: DataFrame, ask: Callable[[str], str | None]) -> DataFrame:
     """``rows`` with reply, what ``ask`` gives for prompt: null if it fails, which a retry can tell.  The provider is called
-    in the tasks, a batch of rows at a time."""
+    in the tasks, and only some prompts and their replies are Python objects at a time."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", reply string"
+    most = AT_ONCE
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def safely(prompt: str) -> str | None:
-            try:
-                return ask(prompt)
-            except Exception:  # a provider's failure is a missing reply
-                return None
-        for b in batches:
-            yield b.assign(reply=[safely(p) for p in b["prompt"]])
+    def safely(prompt: str) -> str | None:
+        try:
+            return ask(prompt)
+        except Exception:  # a provider's failure is a missing reply
+            return None
 
-    return rows.mapInPandas(each, schema)
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, most):
+                b = batch.slice(k, most)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([safely(p) for p in b.column("prompt").to_pylist()], pa.string())], [*b.schema.names, "reply"])
+
+    return rows.mapInArrow(each, schema)
 
 
 def entries(replies: DataFrame) -> DataFrame:
