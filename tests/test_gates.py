@@ -3,6 +3,7 @@ import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import gates as G
 from tidemill.operators import rules as R
@@ -73,6 +74,29 @@ def test_time_and_plan_hardly_grow_with_the_rules(spark):
     assert plans[1] < 1.2 * plans[0] and took[1] < 8 * took[0] + 2  # fifty times the rules, and as many matches
 
 
+def test_one_word_rules_run_no_expression(spark, monkeypatch):
+    """Each expression would read the whole text once more."""
+    monkeypatch.setattr(R, "GATED", 0)
+    monkeypatch.setattr(R, "finds_each", lambda text, pattern: F.raise_error(F.lit("an expression ran")).cast("boolean"))
+    df = spark.createDataFrame([(1, "A blue ring, \u00e9bolt; \u201cGEAR\u201d", None), (2, None, "ring")], "id int, a string, b string")
+    made = [R.Rule("s", w, rf"\b{w}\b", on) for w, on in (("Blue", "both"), ("ring", "description"), ("bolt", "both"), ("gear", "name"), ("rin", "both"))]
+    assert sorted(map(tuple, R.text_matches(df, made, "id", "a", "b").collect())) == [(1, "s", "Blue"), (1, "s", "gear"), (2, "s", "ring")]
+
+
+def test_whole_words_are_those_of_the_expressions(spark, monkeypatch):
+    odd = ["", " ", "_", "-", "7", *"\u00e9\u0301\u201c\u00aa\u00b2\u212a\u017f\u0130\u0131\u0660\u2167\u0903\ua7c0\u08be\u4e2d\u200d\u0378", "\U0001f600", "\U0001d4d0", "\U00010400", "\u00e9\u0301", " \u0301"]
+    texts = [x + w + y for w in ("book", "bOO\u212a", "sun", "\u017fun") for x in odd for y in odd]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, a string")
+    made = [R.Rule("s", f"{w}{e}", rf"\b{w}\b", exclude=e) for w in ("book", "sun", "Sun") for e in ("", "\u00e9")]
+    found = []
+    for gate in (10**6, 0):
+        monkeypatch.setattr(R, "GATED", gate)
+        found.append(sorted(map(tuple, R.step_matches(df, made, "id", "a").collect())))
+    assert found[0] == found[1] and 1000 < len(found[0]) < len(texts) * 3
+    bounds = G.Words({"book": [3], "ok": [4]}, False)
+    assert bounds.told("a Book, b\u00e9ok") == ({3}, {4}) and bounds.told("bo\u00f6ks") == (set(), set()) and bounds.told(None) == (set(), set())
+
+
 @pytest.mark.parametrize("name", ["rules_many"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()

@@ -5,16 +5,22 @@ alternatives one each.  The literals of all patterns make up one Aho-Corasick au
 broadcast; a pass over a text gives the patterns that can match, whatever their number.  They are then run by the same regular
 expressions as without a gate, so the gate changes nothing but the work.  A pattern that requires nothing, or that the driver
 can't read, always runs.
+
+A pattern of one ASCII word between bounds needs no expression at all: a text matches if the word is one of its own, and those are
+looked up.  Only words with characters of which engines might think differently go the other way.
 """
 
 from __future__ import annotations
 
+import functools
 import re
-from collections.abc import Iterator, Sequence
+import unicodedata
+from collections.abc import Iterator, Mapping, Sequence
 from re import _constants as RC
 from re import _parser as RP
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,21 +115,108 @@ class Gate:
         return found
 
 
-def gated(records: DataFrame, patterns: Sequence[str], texts: Sequence[str], name: str) -> DataFrame:
-    """``records`` with an array of the numbers of the patterns that may match one of the columns ``texts``, as ``name``.
+@functools.cache
+def beyond_ascii() -> tuple[str, str]:
+    """Characters that make up words, and those of which that can't be told, as ranges of a class.  Told are letters and digits, and
+    others, that were so in Unicode 3.2 and still are: versions of engines lie between.  What has the case of an ASCII letter isn't told either,
+    nor what is beyond 16 bits, for which classes are slow."""
+    ranges: dict[str, list[list[int]]] = {"word": [], "doubt": [[0x10000, 0x10FFFF]]}
+    for i in range(0x80, 0x10000):
+        c = chr(i)
+        then, now = unicodedata.ucd_3_2_0.category(c), unicodedata.category(c)
+        words = {x[0] == "L" or x == "Nd" for x in (then, now)}
+        doubt = len(words) > 1 or "Mn" in (then, now) or now in ("Cn", "Cs") or folded(c).isascii()
+        if not doubt and words == {False}:
+            continue
+        own = ranges["doubt" if doubt else "word"]
+        if own and own[-1][1] == i - 1:
+            own[-1][1] = i
+        else:
+            own.append([i, i])
+    return tuple("".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in r) for r in ranges.values())
+
+
+def one_word(pattern: str) -> str | None:
+    """The folded word of a pattern that is one ASCII word between bounds; None for any other pattern."""
+    found = re.fullmatch(r"\\b([0-9A-Za-z_]+)\\b", pattern)
+    return found[1].lower() if found else None
 
-    A null text holds nothing, and only patterns that always run are open for it."""
-    gate = records.sparkSession.sparkContext.broadcast(Gate(patterns))
-    own = [f for f in records.schema.fields if f.name != name]
+
+class Words:
+    """ASCII words that are looked for as whole ones, whatever their case; ``owners`` are the numbers of each folded word.
+
+    ``wide``: all letters and digits make up words; else no character beyond ASCII is told."""
+
+    def __init__(self, owners: Mapping[str, Sequence[int]], wide: bool) -> None:
+        import ahocorasick
+
+        word, doubt = beyond_ascii() if wide else ("", "\\x80-\\U0010ffff")
+        self.owners, self.token, self.doubt = dict(owners), re.compile(f"[0-9A-Za-z_{word}{doubt}]+"), re.compile(f"[{doubt}]")
+        self.automaton = ahocorasick.Automaton()
+        for w, own in self.owners.items():
+            self.automaton.add_word(w, own)
+        if owners:
+            self.automaton.make_automaton()
+
+    def told(self, text: str | None) -> tuple[set[int], set[int]]:
+        """Numbers of the words that a text holds, and of those that it may hold."""
+        found: set[int] = set()
+        may: set[int] = set()
+        if text and self.owners:
+            for token in set(self.token.findall(text)):
+                if token.isascii():
+                    found.update(self.owners.get(token.lower(), ()))
+                elif self.doubt.search(token):
+                    for _, own in self.automaton.iter(folded(token)):
+                        may.update(own)
+        return found, may - found
+
+
+def gated(records: DataFrame, patterns: Sequence[str], texts: Mapping[str, Sequence[int]], plain: Sequence[bool], values: pa.StructArray, wide: bool) -> DataFrame:
+    """``records`` with two arrays of ``values``, which has one for each pattern: ``open`` of the patterns that may match one of the
+    columns ``texts``, ``sure`` of those that match.  Texts for which nothing is open become null.
+
+    ``texts`` has the numbers of the patterns that are for a column.  Only ``plain`` ones, whose :func:`one_word` is all that
+    matters, are ever sure.  A null text holds nothing, and only patterns that always run are open for it."""
+    rest = [i for i, p in enumerate(plain) if not p]
+    owners: dict[str, dict[str, list[int]]] = {c: {} for c in texts}
+    for c, own in texts.items():
+        for i in own:
+            if plain[i]:
+                owners[c].setdefault(one_word(patterns[i]), []).append(i)
+    sent = records.sparkSession.sparkContext.broadcast((Gate([patterns[i] for i in rest]), {c: Words(o, wide) for c, o in owners.items()}, values))
+    own = records.schema.fields
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
+    kind = "array<struct<" + ", ".join(f"{f.name}: {'boolean' if f.type == pa.bool_() else 'string'}" for f in values.type) + ">>"
+
+    def listed(numbers: list[list[int]], values: pa.StructArray) -> pa.ListArray:
+        ends = [0]
+        for x in numbers:
+            ends.append(ends[-1] + len(x))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values.take(pa.array([i for x in numbers for i in x], pa.int32())))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gate, words, values = sent.value
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in texts]
-            found = [sorted(set().union(*(gate.value.open_for(c[i].as_py()) for c in columns))) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in own), pa.array(found, pa.list_(pa.int32()))], [*(f.name for f in own), name])
-
-    return records.select(*(f"`{f.name}`" for f in own)).mapInArrow(work, f"{kinds}, `{name}` array<int>")
+            opened, sure = [], []
+            columns = [(words[c], batch.column(batch.schema.get_field_index(c))) for c in texts]
+            for i in range(batch.num_rows):
+                found: set[int] = set()
+                may: set[int] = set()
+                for w, column in columns:
+                    text = column[i].as_py()
+                    held, perhaps = w.told(text)
+                    found |= held
+                    may |= perhaps
+                    may.update(rest[k] for k in gate.open_for(text))
+                sure.append(sorted(found))
+                opened.append(sorted(may - found))
+            none = pa.array([not x for x in opened])
+            kept = {f.name: batch.column(f.name) for f in own}
+            kept |= {c: pc.if_else(none, pa.scalar(None, kept[c].type), kept[c]) for c in texts}
+            yield pa.RecordBatch.from_pydict(kept | {"open": listed(opened, values), "sure": listed(sure, values)})
+
+    return records.mapInArrow(work, f"{kinds}, open {kind}, sure {kind}")
 
 
 def finds_each(text: Column, pattern: Column) -> Column:

@@ -6,14 +6,14 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-import pandas as pd
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import collapsed
-from .gates import finds_each, gated
+from .gates import finds_each, gated, one_word
 
 #: Rules up to which each is a column of its own.
 GATED = 32
@@ -111,24 +111,22 @@ def text_matches(records: DataFrame, rules: Sequence[Rule], key: str, name: str,
 
 
 def gated_matches(records: DataFrame, rules: Sequence[Rule], key: str, name: str, description: str) -> DataFrame:
-    """The same for any number of rules that are usable: only those run on a record that an automaton leaves open for it, and
-    neither the plan nor, but for the matches themselves, the time grows with the rules."""
-    known = records.sparkSession.sparkContext.broadcast([(r.section, r.target, r.pattern, r.exclude, r.match_on != "description", r.match_on != "name") for r in rules])
-    kind = "array<struct<section: string, target: string, pattern: string, exclude: string, name: boolean, description: boolean>>"
-
-    @F.pandas_udf(kind)
-    def told(numbers: pd.Series) -> pd.Series:
-        names = ("section", "target", "pattern", "exclude", "name", "description")
-        return numbers.map(lambda own: [dict(zip(names, known.value[i])) for i in own])
-
+    """The same for any number of rules that are usable: a rule of one word is looked up among a record's words, and of the others only those run
+    on a record that an automaton leaves open for it; neither the plan nor, but for the matches themselves, the time grows with the rules."""
+    names = ("section", "target", "pattern", "exclude", "name", "description")
+    known = [(r.section, r.target, r.pattern, r.exclude, r.match_on != "description", r.match_on != "name") for r in rules]
+    values = pa.StructArray.from_arrays([pa.array(c, pa.string() if k < 4 else pa.bool_()) for k, c in enumerate(zip(*known, strict=True))], names)
+    texts = {c: [i for i, k in enumerate(known) if k[at]] for at, c in ((4, "name"), (5, "description"))}
+    plain = [one_word(r.pattern) is not None and not r.exclude for r in rules]
+    wide = not records.sparkSession._jvm.java.util.regex.Pattern.compile(r"(?iu)a\b").matcher("a\u00e9").find()
     rows = records.select(F.col(key).alias("key"), F.col(name).alias("name"), F.col(description).alias("description"))
-    opened = gated(rows, [r.pattern for r in rules], ["name", "description"], "rules").filter(F.size("rules") > 0).withColumn("rules", told("rules"))
+    told = gated(rows, [r.pattern for r in rules], texts, plain, values, wide)
 
     def hit(r: Column) -> Column:
         said = lambda p: (r["name"] & finds_each(F.col("name"), p)) | (r["description"] & finds_each(F.col("description"), p))
         return said(r["pattern"]) & ~said(r["exclude"])
 
-    found = opened.select("key", F.explode(F.filter("rules", hit)).alias("hit"))
+    found = told.select("key", F.explode(F.transform(F.concat("sure", F.filter("open", hit)), lambda r: F.struct(r["section"].alias("section"), r["target"].alias("target")))).alias("hit"))
     return found.select(F.col("key").alias(key), "hit.section", "hit.target").distinct()
 
 
