@@ -92,6 +92,50 @@ def test_stages_equal_a_sequential_reader(spark, size, fan):
     assert {(r.log, r.n): r.inside for r in logs.in_stages(found.repartition(3), "log", "n", size, fan).collect()} == want
 
 
+def test_states_reach_only_logs_of_several_blocks(spark, monkeypatch):
+    """Logs of one block, nearly all there are, each cost a call in one task before."""
+    asked, entering = [], scans.entering
+    monkeypatch.setattr(scans, "entering", lambda effects, by, *a: asked.append({r[0] for r in effects.select(*by).distinct().collect()}) or entering(effects, by, *a))
+    made = logs_of(random.Random(4), {"hot": 180, None: 61, **{f"l{i}": 9 for i in range(40)}})
+    lines = spark.createDataFrame([(k, i, x) for k, v in made.items() for i, x in enumerate(v)], "log string, n long, line string")
+    got = {}
+    for r in records.whole(lines, ["log"], ["n"], "line", 60).collect():
+        got.setdefault(r.log, []).append((r.n, r.data))
+    assert asked == [{"hot", None}] and {k: sorted(v) for k, v in got.items()} == {k: sequential(v) for k, v in made.items()}
+
+
+def test_blocks_meet_batches_of_any_length(spark):
+    lines = spark.range(700).selectExpr("id % 7 AS log", "id AS n", "IF(id % 5 = 0, '[summary] {', IF(id % 3 = 0, '}', 'x')) AS line")
+    made, got = {}, {}
+    for r in lines.orderBy("n").collect():
+        made.setdefault(r.log, []).append(r.line)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in (1, 3, 64, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            rows = records.whole(lines, ["log"], ["n"], "line", 60).selectExpr("log", "n div 7 AS n", "data").collect()
+            got[n] = {k: sorted((r.n, r.data) for r in rows if r.log == k) for k in made}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all(x == {k: sequential(v) for k, v in made.items()} for x in got.values())
+
+
+def test_stages_are_known_across_blocks_and_in_a_log_without_a_name(spark):
+    lists = {0: "a,b", 4500: " , ", 4600: "B, c", 9000: "a"}
+    text = [f"[start] data-maintenance stages={lists[i].replace(' ', '')} x" if i in lists else ["", None, "[start] a", "[start] b", "[done] c (1s)", "-" * 20][i % 6] for i in range(10_000)]
+    lines = spark.createDataFrame([(k, i, x) for k in (None, 1) for i, x in enumerate(text)], "log int, n long, line string")
+    known, want = [], []
+    for i, x in enumerate(text):
+        if i in lists:
+            known = [y.strip().lower() for y in lists[i].split(",")]
+            want.append((i, "pipeline-start"))
+        elif x and x[0] == "[":
+            kind, name = x[1:].split()[:2]
+            want.append((i, f"{'stage-' if name in known else ''}{kind[:-1]}"))
+    got = logs.events(lines, "log", "n", "line").collect()
+    assert [sorted((r.n, r.kind) for r in got if r.log == k) for k in (None, 1)] == [want, want]
+
+
 @pytest.mark.parametrize("name", ["log_records", "log_stage_owners", "log_outcomes", "log_stage_results"])
 def test_queries_equal_sql(spark, name):
     db = duckdb.connect()

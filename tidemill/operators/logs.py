@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from . import scans as S
-from .ordering import running
-from .records import OPENS, whole
+from .ordering import CHUNK, latest_in
+from .records import OPENS, placed
 
 # The tags that lines begin with, and the kinds of events that they are.
 TAGS = {"warning": "warning", "warn": "warning", "db": "db", "skip": "skip", "info": "info", "dry-run": "dryrun", "plan": "plan", OPENS.strip("[] "): "summary"}
@@ -31,9 +31,10 @@ def events(lines: DataFrame, by: str, order: str, text: str) -> DataFrame:
     line = F.col(text)
     after = lambda tag: F.when(line.startswith(f"[{tag}] "), F.substr(line, F.lit(len(tag) + 4)))
     listed = F.nullif(F.regexp_extract(line, PIPELINE, 1), F.lit(""))
-    marked = running(whole(lines.select(by, order, text), [by], [order], text).withColumn("_listed", listed), [by], [order], F.col("_listed").isNotNull().cast("int"), "_run")
-    known = marked.filter("_listed IS NOT NULL").select(F.col(by).alias("_b"), F.col("_run").alias("_r"), F.filter(F.transform(F.split("_listed", ","), lambda x: F.lower(F.trim(x))), lambda x: x != "").alias("_stages"))
-    rows = marked.join(known, (F.col(by) == F.col("_b")) & (F.col("_run") == F.col("_r")), "left").drop("_b", "_r")
+    stages = F.filter(F.transform(F.split(listed, ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    said = (F.trim(line) != "") & ~F.trim(line).rlike(r"^[-=]{20,}$")
+    marked = placed(lines.select(by, order, text), [by], [order], text).filter(said).withColumn("_own", F.when(listed.isNotNull(), stages)).withColumnRenamed(S.BLOCK, CHUNK)
+    rows = latest_in(marked, [by], [S.AT], "_own", "_stages")
     start, done, error, ok = (after(t) for t in ("start", "done", "error", "ok"))
     member = lambda c: F.coalesce(F.array_contains("_stages", c), F.lit(False))
     started = F.lower(F.trim(start))
@@ -42,16 +43,16 @@ def events(lines: DataFrame, by: str, order: str, text: str) -> DataFrame:
     numbered_ok = F.trim(ok).rlike(r"^\d+/\d+\s+")
     tagged = F.coalesce(*(F.when(line.startswith(f"[{t}] "), F.lit(k)) for t, k in TAGS.items()))
     kind = (
-        F.when(line.startswith("$ "), "command").when(F.col("_listed").isNotNull(), "pipeline-start")
+        F.when(line.startswith("$ "), "command").when(F.col("_own").isNotNull(), "pipeline-start")
         .when(start.isNotNull(), F.when(member(started), "stage-start").otherwise("start"))
         .when(done.isNotNull(), F.when(member(ended), "stage-done").when(done.rlike(r"(?i)^\d+\s+stage\(s\)\s+run\b"), "pipeline-done").otherwise("done"))
         .when(error.isNotNull(), F.when(member(failed), "stage-error").otherwise("error"))
         .when(tagged.isNotNull(), tagged).when(ok.isNotNull(), F.when(numbered_ok, "ok").otherwise("verbose"))
-        .when((F.trim(line) != "") & ~F.trim(line).rlike(r"^[-=]{20,}$"), "verbose")
+        .otherwise("verbose")
     )
     number = lambda k: F.regexp_extract(F.trim(ok), NUMBERED, k)
     planned = F.trim(F.substring_index(after("plan"), ":", 1))
-    return rows.withColumn("kind", kind).filter("kind IS NOT NULL").select(
+    return rows.withColumn("kind", kind).select(
         by, order, "kind", F.when(F.col("kind") == "stage-start", started).when(F.col("kind") == "stage-done", ended).when(F.col("kind") == "stage-error", failed).alias("stage"),
         F.when(F.col("kind") == "ok", number(1).try_cast("long")).alias("done"), F.when(F.col("kind") == "ok", number(2).try_cast("long")).alias("total"),
         F.when(F.col("kind") == "ok", number(3)).when(F.col("kind") == "plan", planned).alias("item"),
@@ -93,35 +94,37 @@ def in_stages(found: DataFrame, by: str, order: str, size: int = S.SIZE, fan: in
     The marks of a stage are not inside it.
 
     The stage is the state of a scan (see :mod:`scans`): a block of events begins a stage, or ends some and leaves the rest."""
-    cut = S.blocked(found, [by], [order], size)
+    cut = S.blocked(written(found, "events"), [by], [order], size)  # ranges are sampled, which would make the events twice
     own = found.schema.fields
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
     effect = "struct<known: boolean, stage: string, cleared: array<string>>"
     form = S.pa_type(effect)
 
-    def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by(S.AT)
-        known, now, cleared, seen = False, None, [], []
-        for kind, stage in zip(table.column("kind").to_pylist(), table.column("stage").to_pylist()):
-            if kind == "stage-start":
-                known, now = True, stage
-            elif kind in ("stage-done", "stage-error"):
-                if known:
-                    now = None if now == stage else now
-                elif stage not in cleared:
-                    cleared = [*cleared, stage]
-            mark = kind in ("stage-start", "stage-done", "stage-error", "pipeline-start")
-            seen.append({"known": known or mark, "stage": None if mark else now, "cleared": [] if known or mark else cleared})
-        whole_block = {"known": known, "stage": now, "cleared": [] if known else cleared}
-        return pa.table({
-            **{f.name: table.column(f.name) for f in own}, S.BLOCK: pa.array([key[-1].as_py()] * table.num_rows, pa.int64()),
-            "_here": pa.array(seen, form), "effect": pa.array([whole_block] + [None] * (table.num_rows - 1), form),
-        })
-
-    seen = written(cut.groupBy(by, S.BLOCK).applyInArrow(look, f"{kinds}, {S.BLOCK} long, _here {effect}, effect {effect}"), "stages")
-    states = S.entering(seen.filter("effect IS NOT NULL"), [by], _stages_after, _stage_after, None, "string", fan)
+    def look(table: pa.Table, begins: list[int]) -> pa.Table:
+        marks = list(zip(table.column("kind").to_pylist(), table.column("stage").to_pylist()))
+        told, inside, ended, effects = [], [], [], []
+        for begin, end in zip(begins, begins[1:]):
+            known, now, cleared = False, None, []
+            for kind, stage in marks[begin:end]:
+                if kind == "stage-start":
+                    known, now = True, stage
+                elif kind in ("stage-done", "stage-error"):
+                    if known:
+                        now = None if now == stage else now
+                    elif stage not in cleared:
+                        cleared = [*cleared, stage]
+                mark = kind in ("stage-start", "stage-done", "stage-error", "pipeline-start")
+                told.append(known or mark)
+                inside.append(None if mark else now)
+                ended.append([] if known or mark else cleared)
+            effects.append({"known": known, "stage": now, "cleared": [] if known else cleared})
+            effects.extend([None] * (end - begin - 1))
+        here = pa.StructArray.from_arrays([pa.array(told, pa.bool_()), pa.array(inside, pa.string()), pa.array(ended, pa.list_(pa.string()))], fields=list(form))
+        return pa.table({**{f.name: table.column(f.name) for f in own}, S.BLOCK: table.column(S.BLOCK), "_here": here, "effect": pa.array(effects, form)})
+
+    seen = written(S.each_block(cut, [by], look, f"{kinds}, {S.BLOCK} long, _here {effect}, effect {effect}"), "stages")
     inside = F.when(F.col("_here.known"), F.col("_here.stage")).when(~F.coalesce(F.array_contains("_here.cleared", F.col("state")), F.lit(False)), F.col("state"))
-    return S.joined(seen, states, [by], [S.BLOCK]).withColumn("inside", inside).select(*(f"`{f.name}`" for f in own), "inside")
+    return S.reached(seen, [by], _stages_after, _stage_after, None, "string", fan).withColumn("inside", inside).select(*(f"`{f.name}`" for f in own), "inside")
 
 
 def outcomes(found: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -139,9 +142,9 @@ def outcomes(found: DataFrame, by: Sequence[str]) -> DataFrame:
 def stage_results(inside: DataFrame, by: str, order: str) -> DataFrame:
     """What a log says inside each stage (of :func:`in_stages`): its outcomes, and summary, the last JSON told that isn't a whole pipeline's."""
     rows = inside.filter("inside IS NOT NULL AND kind <> 'pipeline-done'")
-    whole_pipeline = F.exists(F.array(*map(F.lit, PIPELINE_KEYS)), lambda k: F.array_contains(F.json_object_keys("data"), k))
-    told = F.when(F.col("data").isNotNull() & ~F.coalesce(whole_pipeline, F.lit(False)), F.struct(F.col(order).alias("at"), "data"))
-    last = rows.groupBy(by, "inside").agg(F.max(told).alias("_last"))
+    whole_pipeline = F.arrays_overlap(F.json_object_keys("data"), F.array(*map(F.lit, PIPELINE_KEYS)))
+    told = rows.filter(F.col("data").isNotNull()).filter(~F.coalesce(whole_pipeline, F.lit(False)))
+    last = told.groupBy(by, "inside").agg(F.max(F.struct(F.col(order).alias("at"), "data")).alias("_last"))
     return S.joined(outcomes(rows, [by, "inside"]), last, [by, "inside"], []).withColumn("summary", F.col("_last.data")).withColumnRenamed("inside", "stage").drop("_last")
 
 

@@ -51,6 +51,21 @@ def running_in(cut: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     return summed.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col(name)).drop("_before")
 
 
+def latest_in(cut: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """``cut`` (rows of :func:`chunked`, or with other ranges as ``_chunk``) with the last value that isn't null of the rows of their key up to them."""
+    w = Window.partitionBy(*by, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    said = F.when(F.col(value).isNotNull(), F.struct(*order))
+    last = cut.groupBy(*by, CHUNK).agg(F.max_by(value, said).alias("_edge"))
+    earlier = Window.partitionBy(*by).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("_edge", F.last("_edge", ignorenulls=True).over(earlier)).filter("_edge IS NOT NULL")
+    told = F.broadcast(last.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(by)), F.col(CHUNK).alias("_kc"), "_edge"))
+    same = F.col(CHUNK) == F.col("_kc")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    found = cut.withColumn(name, F.last(value, ignorenulls=True).over(w)).join(told, same, "left")
+    return found.withColumn(name, F.coalesce(name, "_edge")).drop("_edge", "_kc", *(f"_k{i}" for i in range(len(by))))
+
+
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
     """``rows`` with their number, from 1, among the rows of their key (of all, if ``by`` is empty) in ``order``."""
     cut = chunked(rows, by, order)

@@ -71,6 +71,11 @@ def whole(lines: DataFrame, by: Sequence[str], order: Sequence[str], text: str,
     """``lines`` without those that a record took, and with data: the JSON of the record that a line opens, null if it is none.
 
     ``order`` tells the lines of a log apart (ties are ordered somehow); a null line is an empty one, and a null key a log of its own."""
+    return placed(lines, by, order, text, size, fan).drop(S.AT, S.BLOCK)
+
+
+def placed(lines: DataFrame, by: Sequence[str], order: Sequence[str], text: str, size: int = S.SIZE, fan: int = S.FAN) -> DataFrame:
+    """The same with the places in the log and the blocks that the lines had before (see :mod:`scans`)."""
     clash = {"data", "_at", "_block", "_free", "effect", "state"} & set(lines.columns)
     if clash:
         raise ValueError(f"columns of these names are made here: {sorted(clash)}")
@@ -78,23 +83,28 @@ def whole(lines: DataFrame, by: Sequence[str], order: Sequence[str], text: str,
     cut = S.with_next(S.blocked(lines, by, order, size), size, MOST - 1)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own)
 
-    def look(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        table = table.sort_by(S.AT)
-        first = key[-1].as_py() * size
-        said = table.column(text).to_pylist()
-        n = sum(at < first + size for at in table.column(S.AT).to_pylist())
-        steps, data = [1] * n, [None] * n
-        for i in range(n):
-            if (said[i] or "").startswith(OPENS):
-                steps[i], data[i] = record([said[i][len(OPENS):], *said[i + 1:i + MOST]])
-        leaves, free = effect(steps)
-        mine = table.slice(0, n)
+    def look(table: pa.Table, begins: list[int]) -> pa.Table:
+        said, at, blocks = (table.column(c).to_pylist() for c in (text, S.AT, S.BLOCK))
+        mine, data, free, effects = [], [], [], []
+        for begin, end in zip(begins, begins[1:]):
+            n = min(end - begin, (blocks[begin] + 1) * size - at[begin])  # what is behind is the next block's
+            steps = [1] * n
+            mine.extend(range(begin, begin + n))
+            data.extend([None] * n)
+            for i in range(n):
+                line = said[begin + i]
+                if line and line.startswith(OPENS):
+                    steps[i], data[i - n] = record([line[len(OPENS):], *said[begin + i + 1:min(begin + i + MOST, end)]])
+            leaves, open_in = effect(steps)
+            free.extend(open_in)
+            effects.append(leaves)
+            effects.extend([None] * (n - 1))
+        kept = table.take(pa.array(mine, pa.int64()))
         return pa.table({
-            **{f.name: mine.column(f.name) for f in own}, S.BLOCK: pa.array([key[-1].as_py()] * n, pa.int64()), "data": pa.array(data, pa.string()),
-            "_free": pa.array(free, pa.int64()), "effect": pa.array([leaves] + [None] * (n - 1), pa.list_(pa.int32())),
+            **{f.name: kept.column(f.name) for f in own}, S.AT: kept.column(S.AT), S.BLOCK: kept.column(S.BLOCK), "data": pa.array(data, pa.string()),
+            "_free": pa.array(free, pa.int64()), "effect": pa.array(effects, pa.list_(pa.int32())),
         })
 
-    seen = written(cut.groupBy(*by, S.BLOCK).applyInArrow(look, f"{kinds}, {S.BLOCK} long, data string, _free long, effect array<int>"), "records")
-    states = S.entering(seen.filter("effect IS NOT NULL"), by, compose, lambda e, s: e[s], 0, "int", fan)
-    told = S.joined(seen, states, by, [S.BLOCK])
-    return told.filter("shiftrightunsigned(_free, state) & 1 = 1").select(*(f"`{f.name}`" for f in own), "data")
+    seen = written(S.each_block(cut, by, look, f"{kinds}, {S.AT} long, {S.BLOCK} long, data string, _free long, effect array<int>"), "records")
+    told = S.reached(seen, by, compose, lambda e, s: e[s], 0, "int", fan)
+    return told.filter("shiftrightunsigned(_free, state) & 1 = 1").select(*(f"`{f.name}`" for f in own), "data", S.AT, S.BLOCK)

@@ -3,14 +3,15 @@
 Rows of a key are cut into blocks of equal length.  What a block does to every state that may reach it is its effect,
 and effects compose: those of ``FAN`` neighbouring blocks become one, and so on until a key's effects fit one task.
 From there back down each block learns the state that reaches it.  Nothing but effects and states
-passes from block to block.
+passes from block to block.  Most keys are one block: those are read many at a time, and no state has to reach them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,40 @@ def with_next(rows: DataFrame, size: int, ahead: int) -> DataFrame:
     return rows.withColumn(BLOCK, F.explode(F.when(early, F.array(F.col(BLOCK) - 1, F.col(BLOCK))).otherwise(F.array(BLOCK))))
 
 
+def each_block(cut: DataFrame, by: Sequence[str], look: Callable[[pa.Table, list[int]], pa.Table], kinds: str) -> DataFrame:
+    """``look`` on the blocks of :func:`blocked` or :func:`with_next`, many at a time: it gets whole blocks, in order, and where each begins, and
+    then the end.  Of a block no more than its own rows are waited for."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            table = pa.Table.from_batches([*rest, batch])
+            at, block = (table.column(c).to_numpy() for c in (AT, BLOCK))
+            # a key's block begins at no place that could follow one of the same block of another key
+            begins = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (at[1:] != at[:-1] + 1)) + 1).tolist()]
+            if len(begins) > 1:
+                yield from look(table.slice(0, begins[-1]).combine_chunks(), begins).to_batches()
+            rest = table.slice(begins[-1]).combine_chunks().to_batches()
+        if rest:
+            table = pa.Table.from_batches(rest)
+            yield from look(table, [0, table.num_rows]).to_batches()
+
+    return cut.repartition(*by, BLOCK).sortWithinPartitions(*by, BLOCK, AT).mapInArrow(work, kinds)
+
+
+def reached(seen: DataFrame, by: Sequence[str], compose: Callable[[Any, Any], Any], apply: Callable[[Any, Any], Any], initial: Any, state: str, fan: int = FAN) -> DataFrame:
+    """``seen``, whose column effect is null but for one row a block, with the state that reaches each row's block (see :func:`entering`).
+    Only keys of several blocks are asked about; the first of a key's blocks is the 0th."""
+    effects = seen.filter("effect IS NOT NULL").select(*by, BLOCK, "effect")
+    several = effects.filter(F.col(BLOCK) == 1).select(*by)
+    keys = [f"_j{i}" for i in range(len(by))]
+    same = F.lit(True)
+    for c, k in zip(by, keys):
+        same = same & F.col(c).eqNullSafe(F.col(k))
+    asked = written(effects.join(several.toDF(*keys), same, "left_semi"), "several")
+    told = joined(seen, entering(asked, by, compose, apply, initial, state, fan), by, [BLOCK])
+    return told.withColumn("state", F.when(F.col(BLOCK) == 0, F.lit(initial).cast(state)).otherwise(F.col("state")))
+
+
 def joined(left: DataFrame, right: DataFrame, by: Sequence[str], more: Sequence[str], how: str = "left") -> DataFrame:
     """Joins on ``by``, where null equals null, and on ``more``; ``right``'s other columns are added."""
     keys = {c: f"_j{i}" for i, c in enumerate((*by, *more))}
