@@ -50,6 +50,42 @@ def test_a_stream_over_a_gap(spark, tmp_path):
     assert got["over"] == [(base + 5 * DAY, True)]
 
 
+def _streamed(spark, tmp_path, kind, batches, up):
+    """What batches of (key, at, start, every) fire, and the stream's last progress."""
+    src, out = tmp_path / "in", []
+    src.mkdir()
+    for i, rows in enumerate(batches):
+        (src / f"{i}.json").write_text("\n".join(json.dumps(dict(zip("ktse", r))) for r in rows))
+        events = spark.readStream.schema("k string, t long, s long, e long").json(str(src)).selectExpr(f"{kind} AS k", "timestamp_seconds(t) AS t", "timestamp_seconds(s) AS s", "e")
+        found = S.fired(events.selectExpr("*", "true AS m"), "k", "t", "s", "e", "m", up)
+        query = found.selectExpr("key", "unix_seconds(fires_at) AS at", "missed").writeStream.foreachBatch(lambda b, _: out.extend(map(tuple, b.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    return out, query.lastProgress
+
+
+@pytest.mark.parametrize("kind", ["CAST(k AS LONG)", "CAST(k AS BINARY)", "timestamp_micros(CAST(k AS LONG))"])
+def test_schedules_that_share_a_bucket(spark, tmp_path, monkeypatch, kind):
+    """Many keys, one of them null; each fires at its own times, though two buckets hold all, and a changed one goes on from where it was."""
+    monkeypatch.setattr(S, "BUCKETS", 2, raising=False)
+    base = 1_704_067_200  # 2024-01-01
+    keys = [None, *(str(2**53 + i) for i in range(40))]
+    plans = {k: (base + 37 * i, 3600 * (i % 5)) for i, k in enumerate(keys)}
+    changed = {k: (s, 5400) for k, (s, e) in list(plans.items())[:10] if e}
+    batches = [[(k, base + 5, *p) for k, p in plans.items()], [(keys[1], base + DAY, None, None)], [(k, base + DAY + 60, *p) for k, p in changed.items()], [(keys[1], base + 2 * DAY, None, None)]]
+    got, progress = _streamed(spark, tmp_path, kind, batches, "2024-01-01 00:00:00")
+    plain = lambda k: bytes(k) if isinstance(k, bytearray) else k
+    value = {plain(r[0]): r[1] for r in spark.createDataFrame([(k,) for k in keys], "k string").selectExpr(f"{kind} AS v", "k").collect()}
+    want = set()
+    for k, (start, every) in plans.items():
+        times = range(start, base + 2 * DAY + 1, every) if every else [start]
+        if k in changed:  # from where its last firing left it, which is the day's end
+            then = range(start, base + 2 * DAY + 1, 5400)
+            times = [*(t for t in times if t <= base + DAY), *(t for t in then if t > base + DAY)]
+        want |= {(k, t, False) for t in times if t > base} | ({(k, start, True)} if start <= base else set())
+    assert sorted(((value[plain(k)], *x) for k, *x in got), key=str) == sorted(want, key=str)
+    assert progress["stateOperators"][0]["numRowsTotal"] < len(keys)  # a few for each bucket, where each key had its own
+
+
 @pytest.mark.parametrize("name", ["schedules_fired"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
